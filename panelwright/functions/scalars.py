@@ -27,7 +27,7 @@ def running_sum(x: F.Column) -> F.Column:
     """Cumulative sum of an array column."""
     return F.aggregate(
         x, F.array().cast("array<double>"),
-        lambda acc, v: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + v)))
+        lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + v)))
 
 
 def positions(x: F.Column, test) -> F.Column:

@@ -8,9 +8,10 @@ and subjects, and prefix differences give any time segment.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,33 @@ def _sse_one_action(layout: Moments, v: np.ndarray) -> np.ndarray:
     return sum(np.maximum(r, 0.0) for r in y)
 
 
+def fit_rows(sums: DataFrame, key: str, p: int) -> DataFrame:
+    """(key, n, coef, sse) from rows of sums.
+
+    ``coef`` is the (2+2p) x p matrix, one response after the other, in the
+    order 1, A, S1..Sp, A*S1..A*Sp.
+    """
+    layout = Moments(p)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = pdf[layout.names].to_numpy(float)
+            xx, xy, yy = layout.design(m)
+            coef = min_norm_solve(xx, xy)
+            fitted = np.einsum("...ij,...ij->...", xy, coef)
+            yield pd.DataFrame({
+                key: pdf[key], "n": m[:, 0], "coef": list(coef.transpose(0, 2, 1).reshape(len(m), -1)),
+                "sse": np.maximum(yy.sum(-1) - fitted, 0.0)})
+
+    kind = sums.schema[key].dataType.simpleString()
+    return sums.mapInPandas(solve, f"{key} {kind}, n double, coef array<double>, sse double")
+
+
+def fit_by(trans: DataFrame, key: str, p: int) -> DataFrame:
+    """Least squares of the next state on [1, A, S, A*S] per key."""
+    return fit_rows(moments_by(trans, [key], p), key, p)
+
+
 # --- p = 1 closed forms as columns
 
 def line_sse(n, s, y, ss, sy, yy) -> F.Column:

@@ -1,4 +1,4 @@
 from panelwright.queries.base import ORACLES, QUERIES
-from panelwright.queries import detection, prepare  # noqa: F401
+from panelwright.queries import detection, prepare, summaries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
