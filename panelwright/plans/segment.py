@@ -9,10 +9,11 @@ rows are never shuffled inside the loop and no lineage grows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from panelwright.functions.criteria import criterion
 from panelwright.operators.moments import Moments, min_norm_solve, moments_by
 from panelwright.session import materialize
 
-# Coefficients of all clusters are held by the driver and written into the plan.
+# Coefficients of all clusters are held by the driver.
 MAX_CLUSTERS = 64
 
 
@@ -34,8 +35,8 @@ class Segmentation:
     loss: float
     k: int
     iterations: int
-    coefs: np.ndarray
-    scores: list[F.Column] = field(default_factory=list)
+    coefs: np.ndarray | None
+    scored: DataFrame | None = None
 
 
 def subject_moments(trans: DataFrame, p: int, tau: DataFrame | int | None = None) -> DataFrame:
@@ -88,56 +89,132 @@ def _fit(m: np.ndarray, p: int) -> np.ndarray:
     return min_norm_solve(xx, xy)
 
 
-def _with_overrides(label: F.Column, overrides: dict) -> F.Column:
-    for subject, k in overrides.items():
-        label = F.when(F.col("subject") == F.lit(subject), F.lit(int(k))).otherwise(label)
-    return label
+class _Run:
+    """State of one K between iterations: who labels a subject, and who does next."""
 
+    def __init__(self, k: int, init: str | None, seed: int):
+        self.k, self.init, self.seed = k, init, seed
+        self.weights: np.ndarray | None = None
+        self.overrides: dict = {}
+        self.coefs: np.ndarray | None = None
+        self.loss, self.iterations = 0.0, 0
 
-class _Run:
-    """State of one K between iterations."""
+    def frozen(self) -> tuple:
+        return self.init, self.weights, dict(self.overrides)
+
+
+def _labels(pdf: pd.DataFrame, m: np.ndarray, k: int, state: tuple) -> tuple[np.ndarray, np.ndarray | None]:
+    """Labels and errors of a batch under a frozen state."""
+    init, weights, overrides = state
+    if weights is None:
+        return pdf[init].to_numpy().astype(int), None
+    errs = m @ weights.T
+    lab = np.argmin(errs, axis=1)
+    if overrides:
+        moved = pdf["subject"].map(overrides)
+        lab = np.where(moved.notna(), moved.fillna(0), lab).astype(int)
+    return lab, errs
 
-    def __init__(self, k: int, label: F.Column):
-        self.k, self.label = k, label
-        self.coefs = None
-        self.errors: list[F.Column] = []
-        self.next = label
-        self.loss = 0.0
-        self.iterations = 0
 
+def _label_sums(subj: DataFrame, states: dict[int, tuple], new: dict[int, np.ndarray] | None, p: int):
+    """{k: {label: (n, changed, loss, weighted sums)}} in one pass for all K.
+
+    Every task adds up its subjects and sends at most K rows per K; ``new`` are
+    the weights to reassign with (none: sums under the current labels).
+    """
+    names = Moments(p).names
+    q = len(names)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = {k: np.zeros((k, 3 + q)) for k in states}
+        for pdf in batches:
+            m = pdf[names].to_numpy(float)
+            inv = 1.0 / m[:, :1]
+            for k, state in states.items():
+                old, errs = _labels(pdf, m, k, state)
+                lab, loss = old, np.zeros(len(m))
+                if new is not None:
+                    errs = m @ new[k].T
+                    lab = np.argmin(errs, axis=1)
+                    loss = errs[np.arange(len(m)), lab] * inv[:, 0]
+                part = np.column_stack([np.ones(len(m)), lab != old, loss, m * inv])
+                np.add.at(acc[k], lab, part)
+        rows = [(k, j, acc[k][j].tolist()) for k in states for j in range(k) if acc[k][j, 0] > 0]
+        yield pd.DataFrame(rows, columns=["k", "label", "v"])
+
+    parts = subj.mapInPandas(fold, "k int, label int, v array<double>").select(
+        "k", "label", *[F.col("v")[i].alias(f"v{i}") for i in range(3 + q)])
+    rows = parts.groupBy("k", "label").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(3 + q)]).collect()
+    out: dict[int, dict] = {k: {} for k in states}
+    for r in rows:
+        v = np.array(r[2:], dtype=float)
+        out[r["k"]][r["label"]] = (int(v[0]), int(v[1]), float(v[2]), v[3:])
+    return out
+
+
+def _assign(subj: DataFrame, k: int, state: tuple, p: int) -> DataFrame:
+    """(subject, cluster, err) under a frozen state."""
+    names = Moments(p).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = pdf[names].to_numpy(float)
+            lab, errs = _labels(pdf, m, k, state)
+            err = np.zeros(len(m)) if errs is None else errs[np.arange(len(m)), lab]
+            yield pd.DataFrame({"subject": pdf["subject"], "cluster": lab.astype(np.int32), "err": err})
 
-def _repair(subj: DataFrame, run: _Run, counts: dict[int, int], moments: dict[int, np.ndarray],
-            names: Sequence[str]) -> tuple[dict, float, int]:
+    kind = subj.schema["subject"].dataType.simpleString()
+    return subj.mapInPandas(run, f"subject {kind}, cluster int, err double")
+
+
+def _nearest(subj: DataFrame, k: int, target: int, state: tuple, new: np.ndarray, p: int, n: int) -> list:
+    """The n subjects with the smallest error under cluster ``target``."""
+    names = Moments(p).names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = pdf[names].to_numpy(float)
+            old, _ = _labels(pdf, m, k, state)
+            errs = m @ new.T
+            best = np.lexsort((pdf["subject"].to_numpy(), errs[:, target]))[:n]
+            yield pd.DataFrame({"subject": pdf["subject"].to_numpy()[best], "old": old[best].astype(np.int32),
+                                "err": errs[best, target], "errs": list(errs[best]), "m": list(m[best])})
+
+    kind = subj.schema["subject"].dataType.simpleString()
+    near = subj.mapInPandas(run, f"subject {kind}, old int, err double, errs array<double>, m array<double>")
+    return near.orderBy("err", "subject").limit(n).collect()
+
+
+def _repair(subj: DataFrame, run: _Run, new: np.ndarray, got: dict, p: int) -> tuple[dict, float, int]:
     """Give every empty cluster the subject that fits it best.
 
     A subject already moved, or alone in its cluster, is passed over. At most
     2K subjects can be passed over, so the 2K+1 best candidates are enough.
     """
     overrides: dict = {}
-    loss_shift, change_shift = 0.0, 0
-    errs = F.array(*run.errors)
-    for k in range(run.k):
-        if counts.get(k, 0) > 0:
+    shift, moved = 0.0, 0
+    counts = {j: v[0] for j, v in got.items()}
+    sums = {j: v[3] for j, v in got.items()}
+    for j in range(run.k):
+        if counts.get(j, 0) > 0:
             continue
-        near = (
-            subj.select("subject", run.label.alias("old"), run.next.alias("new"), errs.alias("errs"), *names)
-            .orderBy(F.col("errs")[k].asc(), F.col("subject").asc()).limit(2 * run.k + 1).collect()
-        )
-        for row in near:
-            held = overrides.get(row["subject"], row["new"])
+        for row in _nearest(subj, run.k, j, run.frozen(), new, p, 2 * run.k + 1):
+            held = int(np.argmin(row["errs"]))
             if row["subject"] in overrides or counts.get(held, 0) <= 1:
                 continue
-            n = row["m_n"]
-            loss_shift += row["errs"][held] / n - row["errs"][k] / n
-            change_shift += int(row["old"] != k) - int(row["old"] != held)
-            v = np.array([row[c] for c in names]) / n
-            moments[held] = moments[held] - v
-            moments[k] = v
+            n = row["m"][0]
+            shift += row["errs"][held] / n - row["errs"][j] / n
+            moved += int(row["old"] != j) - int(row["old"] != held)
+            v = np.array(row["m"]) / n
+            sums[held] = sums[held] - v
+            sums[j] = v
             counts[held] -= 1
-            counts[k] = 1
-            overrides[row["subject"]] = k
+            counts[j] = 1
+            overrides[row["subject"]] = j
             break
-    return overrides, loss_shift, change_shift
+    for j, v in sums.items():
+        got[j] = (counts[j], 0, 0.0, v)
+    return overrides, shift, moved
 
 
 def cluster_by_dynamics_grid(
@@ -152,69 +229,50 @@ def cluster_by_dynamics_grid(
 
     ``subj`` is a materialised (subject, sums) table. ``init`` gives the start
     label per K as a column of ``subj``; the default is a hash of the subject.
-    All K that have not converged share one pass per iteration.
+    All K that have not converged share one pass per iteration. The scores are
+    a matrix product per batch of subjects.
     """
     if max(ks) > MAX_CLUSTERS:
-        raise ValueError(f"at most {MAX_CLUSTERS} clusters: their coefficients are part of the plan")
-    names = Moments(p).names
-    scaled = [F.sum(F.col(c) / F.col("m_n")).alias(c) for c in names]
-    runs = {k: _Run(k, (init or {}).get(k, hashed_labels(k, seed))) for k in ks}
-    grid = subj.select("*", F.explode(F.array(*[F.lit(k) for k in ks])).alias("_k"))
-
-    def per_run(pick) -> F.Column:
-        col = None
-        for k, run in active.items():
-            cond = F.col("_k") == k
-            col = F.when(cond, pick(run)) if col is None else col.when(cond, pick(run))
-        return col
+        raise ValueError(f"at most {MAX_CLUSTERS} clusters: their coefficients are held by the driver")
+    q = len(Moments(p).names)
+    begin = {f"_start{k}": (init or {}).get(k, hashed_labels(k, seed)) for k in ks}
+    subj = subj.withColumns(begin)
+    runs = {k: _Run(k, f"_start{k}", seed) for k in ks}
+
+    def fitted(k: int, got: dict) -> np.ndarray:
+        m = np.zeros((k, q))
+        for j, v in got.items():
+            m[j] = v[3]
+        return _fit(m, p)
 
     active = dict(runs)
-    start = grid.groupBy("_k", per_run(lambda r: r.label).alias("_label")).agg(*scaled).collect()
-    sums = {k: np.zeros((k, len(names))) for k in ks}
-    for r in start:
-        sums[r["_k"]][r["_label"]] = [r[c] for c in names]
+    got = _label_sums(subj, {k: r.frozen() for k, r in active.items()}, None, p)
     step = 0
     while active:
         step += 1
+        new = {}
         for k, run in active.items():
-            run.coefs = _fit(sums[k], p)
-            run.errors = error_columns(run.coefs, p)
-            run.next = _argmin(F.array(*run.errors))
-        live = grid.filter(F.col("_k").isin(list(active)))
-        scored = live.withColumn("_old", per_run(lambda r: r.label)).withColumn(
-            "_errs", per_run(lambda r: F.array(*r.errors)))
-        scored = scored.withColumn("_label", _argmin(F.col("_errs")))
-        rows = scored.groupBy("_k", "_label").agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum((F.col("_old") != F.col("_label")).cast("bigint")).alias("_changed"),
-            F.sum(F.array_min("_errs") / F.col("m_n")).alias("_loss"),
-            *scaled,
-        ).collect()
+            run.coefs = fitted(k, got[k])
+            new[k] = np.array([Moments(p).sse_weights(c) for c in run.coefs])
+        got = _label_sums(subj, {k: r.frozen() for k, r in active.items()}, new, p)
         for k, run in list(active.items()):
-            mine = [r for r in rows if r["_k"] == k]
-            counts = {r["_label"]: r["_n"] for r in mine}
-            moments = {r["_label"]: np.array([r[c] for c in names]) for r in mine}
-            changed = sum(r["_changed"] for r in mine)
-            run.loss = -sum(r["_loss"] for r in mine)
+            mine = got[k]
+            changed = sum(v[1] for v in mine.values())
+            run.loss = -sum(v[2] for v in mine.values())
             run.iterations = step
-            if len(counts) < k:
-                over, shift, moved = _repair(subj, run, counts, moments, names)
-                run.next = _with_overrides(run.next, over)
+            overrides: dict = {}
+            if len(mine) < k:
+                overrides, shift, moved = _repair(subj, run, new[k], mine, p)
                 run.loss += shift
                 changed += moved
+            run.weights, run.overrides = new[k], overrides
             if changed == 0 or step >= max_iter:
-                run.label = run.next
                 del active[k]
-                continue
-            run.label = run.next
-            sums[k] = np.zeros((k, len(names)))
-            for j, v in moments.items():
-                sums[k][j] = v
-    return {
-        k: Segmentation(subj.select("subject", run.label.alias("cluster")), run.loss, k, run.iterations,
-                        run.coefs, run.errors)
-        for k, run in runs.items()
-    }
+    out = {}
+    for k, run in runs.items():
+        scored = _assign(subj, k, run.frozen(), p)
+        out[k] = Segmentation(scored.select("subject", "cluster"), run.loss, k, run.iterations, run.coefs, scored)
+    return out
 
 
 def cluster_by_dynamics(subj: DataFrame, k: int, p: int, init: F.Column | None = None,

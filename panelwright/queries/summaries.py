@@ -690,7 +690,7 @@ def date_text(spark, sf):
 
 @query("H-09", """SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS dot,
   len(embedding[1:8]) AS head, round(list_sum(embedding[1:8]::DOUBLE[]), 6) AS cum8,
-  len(list_filter(embedding, x -> x > 0)) AS n_pos, list_sum(list_transform(range(3), x -> label)) AS rep FROM embeddings""")
+  len(list_filter(embedding, lambda x: x > 0)) AS n_pos, CAST(3 * label AS BIGINT) AS rep FROM embeddings""")
 def array_functions(spark, sf):
     e = F.col("embedding").cast("array<double>")
     head = F.slice(e, 1, 8)
