@@ -1,4 +1,4 @@
 from panelwright.queries.base import ORACLES, QUERIES
-from panelwright.queries import detection, prepare, segmenting, summaries  # noqa: F401
+from panelwright.queries import detection, policies, prepare, segmenting, summaries  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
