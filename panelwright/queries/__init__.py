@@ -1,4 +1,5 @@
 from panelwright.queries.base import ORACLES, QUERIES
-from panelwright.queries import detection, policies, prepare, segmenting, summaries  # noqa: F401
+from panelwright.queries import (  # noqa: F401
+    detection, policies, prepare, segmenting, summaries, testing)
 
 __all__ = ["ORACLES", "QUERIES"]
