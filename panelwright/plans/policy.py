@@ -16,7 +16,8 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import (
+    DecisionTreeRegressionModel, DecisionTreeRegressor, LinearRegression)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,6 +177,33 @@ def fitted_q_iteration(
     return fit
 
 
+def q_iteration_with(rows: DataFrame, fitter, gamma: float, updates: int):
+    """Fitted-Q iteration with any regressor.
+
+    ``fitter(rows) -> model`` gets the rows with a ``target`` column and
+    returns an object whose ``columns(features, cluster)`` gives Q per action,
+    such as :class:`LinearQ`.
+    """
+    model = fitter(rows.withColumn("target", F.col("r")))
+    d = _width(rows)
+    for _ in range(updates):
+        best = F.greatest(*model.columns(_cols("z", d), F.col("cluster")))
+        model = fitter(rows.withColumn("target", F.col("r") + F.lit(float(gamma)) * best))
+    return model
+
+
+def mllib_linear(rows: DataFrame, reg: float = 0.0) -> LinearQ:
+    """A fitter for :func:`q_iteration_with`: MLlib linear regression per action."""
+    d = _width(rows)
+    data = VectorAssembler(inputCols=[f"x{i}" for i in range(d)], outputCol="features").transform(rows)
+    est = LinearRegression(featuresCol="features", labelCol="target", fitIntercept=False, regParam=reg,
+                           solver="normal", standardization=False)
+    coefs = {}
+    for a in [r["a"] for r in rows.select("a").distinct().collect()]:
+        coefs[0, a] = est.fit(data.filter(F.col("a") == a)).coefficients.toArray()
+    return LinearQ(coefs)
+
+
 # --- acting
 
 def greedy(rows: DataFrame, model: LinearQ, prefix: str = "x") -> DataFrame:
