@@ -237,7 +237,7 @@ def _reject(seen: DataFrame, grid: ScanGrid) -> DataFrame:
     before = F.greatest(F.col("h.kappa") - grid.step, F.lit(grid.kappa_min))
     return seen.groupBy("cluster").agg(hit.alias("h")).select(
         "cluster",
-        F.coalesce(F.lit(grid.n_times - 1) - before, F.lit(0)).cast("int").alias("tau"),
+        F.when(F.col("h").isNull(), 0).otherwise(F.lit(grid.n_times - 1) - before).cast("int").alias("tau"),
         F.col("h.kappa").alias("kappa"), F.col("h.stat").alias("stat"), F.col("h.threshold").alias("threshold"),
     )
 

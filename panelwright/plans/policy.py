@@ -193,14 +193,17 @@ def q_iteration_with(rows: DataFrame, fitter, gamma: float, updates: int):
 
 
 def mllib_linear(rows: DataFrame, reg: float = 0.0) -> LinearQ:
-    """A fitter for :func:`q_iteration_with`: MLlib linear regression per action."""
+    """A fitter for :func:`q_iteration_with`: MLlib linear regression per action.
+
+    The first feature is the constant; MLlib fits it as the intercept.
+    """
     d = _width(rows)
-    data = VectorAssembler(inputCols=[f"x{i}" for i in range(d)], outputCol="features").transform(rows)
-    est = LinearRegression(featuresCol="features", labelCol="target", fitIntercept=False, regParam=reg,
-                           solver="normal", standardization=False)
+    data = VectorAssembler(inputCols=[f"x{i}" for i in range(1, d)], outputCol="features").transform(rows)
+    est = LinearRegression(featuresCol="features", labelCol="target", regParam=reg, solver="normal")
     coefs = {}
     for a in [r["a"] for r in rows.select("a").distinct().collect()]:
-        coefs[0, a] = est.fit(data.filter(F.col("a") == a)).coefficients.toArray()
+        fit = est.fit(data.filter(F.col("a") == a))
+        coefs[0, a] = np.concatenate([[fit.intercept], fit.coefficients.toArray()])
     return LinearQ(coefs)
 
 

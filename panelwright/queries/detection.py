@@ -17,7 +17,7 @@ from panelwright.sources.tables import (
 
 GRID = ScanGrid(N_TIMES)
 # Limit used where a query is checked against SQL; simulated limits are used elsewhere.
-LIMIT = 3.0
+LIMIT = 5.0
 KAPPA_MEAN = (40, 60)
 
 
@@ -84,8 +84,8 @@ BEST = """best AS (SELECT cluster, kappa, max(stat) AS stat, arg_min(u, ROW(-sta
 def tau_sql(limit: float) -> str:
     end = N_TIMES - 1
     return f"""hit AS (SELECT cluster, min(kappa) FILTER (stat >= {limit}) AS kappa FROM best GROUP BY cluster)
-SELECT hit.cluster, CASE WHEN hit.kappa IS NULL THEN 0 ELSE {end} - greatest(hit.kappa - 1, {GRID.kappa_min}) END AS tau,
-       hit.kappa, round(best.stat, 4) AS stat FROM hit LEFT JOIN best USING (cluster, kappa)"""
+SELECT hit.cluster, CAST(CASE WHEN hit.kappa IS NULL THEN 0 ELSE {end} - greatest(hit.kappa - 1, {GRID.kappa_min}) END AS INTEGER) AS tau,
+       CAST(hit.kappa AS INTEGER) AS kappa, round(best.stat, 4) AS stat FROM hit LEFT JOIN best USING (cluster, kappa)"""
 
 
 LABELLED = "lab AS (SELECT trans.*, cluster FROM trans JOIN region_of USING (subject))"
@@ -98,7 +98,7 @@ def _tau(found):
     return found.select("cluster", "tau", "kappa", F.round("stat", 4).alias("stat"))
 
 
-@query("G-13", f"{POOLED}, {scan_sql()}, {BEST} SELECT kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM best")
+@query("G-13", f"{POOLED}, {scan_sql()}, {BEST} SELECT CAST(kappa AS INTEGER) AS kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM best")
 def pooled_scan(spark, sf):
     """Pooled detection: the best split of every window."""
     return cp.best_splits(narrow_transitions(spark, sf), GRID).select("kappa", "u", F.round("stat", 4).alias("stat"))
@@ -150,13 +150,13 @@ def first_rejection(spark, sf):
     return cp.first_rejection(best, limits, GRID).select("cluster", "tau", "kappa")
 
 
-@query("E-07", f"{BY_REGION}, {scan_sql()}, {BEST} SELECT cluster, kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM best")
+@query("E-07", f"{BY_REGION}, {scan_sql()}, {BEST} SELECT cluster, CAST(kappa AS INTEGER) AS kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM best")
 def best_split_by_region(spark, sf):
     stats = cp.split_statistics(narrow_transitions(spark, sf), GRID, assignment=region_assignment(spark, sf))
     return cp.best_split(stats).select("cluster", "kappa", "u", F.round("stat", 4).alias("stat"))
 
 
-@query("C-04", f"{POOLED}, {scan_sql()} SELECT kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM stats")
+@query("C-04", f"{POOLED}, {scan_sql()} SELECT CAST(kappa AS INTEGER) AS kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM stats")
 def candidate_statistics(spark, sf):
     """Every (kappa, u) candidate scored against the per-time sums."""
     stats = cp.split_statistics(narrow_transitions(spark, sf), GRID)

@@ -8,9 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "panelwright") -> SparkSession:
+_local_dirs: dict[str, str] = {}
+
+
+def local_session(cores: int | str = 8, app: str = "panelwright", checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster the caller brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -20,8 +23,10 @@ def local_session(cores: int | str = 8, app: str = "panelwright") -> SparkSessio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,8 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-        path = tempfile.mkdtemp(prefix="panelwright-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _local_dirs.setdefault(spark.sparkContext.applicationId, "")
+        if not path:
+            path = _local_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="panelwright-")
     return path.rstrip("/")
 
 
