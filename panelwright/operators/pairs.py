@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.operators.ranking import with_row_number
+
 
 def series_correlation(panel: DataFrame, state: str, block: int = 256) -> DataFrame:
     """(i, j, corr), i < j: correlation of two subjects over their common steps.
@@ -17,12 +19,12 @@ def series_correlation(panel: DataFrame, state: str, block: int = 256) -> DataFr
     blocks is one task that multiplies two block x T matrices. Rows travel once
     per block, not once per partner subject.
     """
-    top = panel.agg(F.max("subject")).first()[0] or 0
-    n_blocks = int(top) // block + 1
-    seats = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    own = F.floor(F.col("subject") / block).cast("int")
-    rows = panel.select("subject", "t", F.col(state).cast("double").alias("x"), own.alias("own")).select(
-        "*", F.explode(seats).alias("other")
+    numbered = with_row_number(panel.select("subject").distinct(), "subject")
+    place = numbered.select("subject", F.floor((F.col("rn") - 1) / block).cast("int").alias("own"),
+                            F.floor((F.col("n") - 1) / block).cast("int").alias("last"))
+    seats = F.sequence(F.lit(0), F.col("last"))
+    rows = panel.select("subject", "t", F.col(state).cast("double").alias("x")).join(place, "subject").select(
+        "subject", "t", "x", "own", F.explode(seats).alias("other")
     ).select("subject", "t", "x", "own",
              F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
 

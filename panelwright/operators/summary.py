@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.scalars import mean_se_text
+from panelwright.operators.ranking import cumulative_counts
 
 
 # --- labels
@@ -162,26 +163,17 @@ def smallest(df: DataFrame, key: str, order: Sequence[str], n: int) -> DataFrame
 
 
 def exceedance(stats: DataFrame, stat: str, values: DataFrame, col: str) -> DataFrame:
-    """Add ``pvalue`` to a small table of statistics: the share of ``values`` above each.
+    """Add ``pvalue``: the share of ``values`` above each statistic.
 
-    The statistics cut the value axis; one pass counts the values per cut and
-    a running sum over the cuts gives every share. The table of statistics has
-    one row per cluster or window.
+    Statistics join the value axis with weight 0; running counts over the axis
+    then give every share, so no statistic meets a value as a pair.
     """
-    cuts = sorted({float(r[0]) for r in stats.select(stat).distinct().collect()})
-    at = F.lit(cuts)
-    # Number of cuts strictly below the value: the value exceeds exactly those.
-    below = F.size(F.filter(at, lambda c: c < F.col(col)))
-    counts = {r["b"]: r["n"] for r in values.groupBy(below.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    share, above = {}, 0
-    for i in range(len(cuts), 0, -1):
-        above += counts.get(i, 0)
-        share[cuts[i - 1]] = above / total
-    out = F.lit(None).cast("double")
-    for c, v in share.items():
-        out = F.when(F.col(stat) == F.lit(c), F.lit(v)).otherwise(out)
-    return stats.withColumn("pvalue", out)
+    axis = values.select(F.col(col).cast("double").alias("x"), F.lit(1).alias("w")).unionByName(
+        stats.select(F.col(stat).cast("double").alias("x"), F.lit(0).alias("w")))
+    cum = cumulative_counts(axis, [], "x", "w")
+    share = (F.col("n") - F.col("below") - F.col("c")) / F.col("n")
+    return stats.withColumn("_x", F.col(stat).cast("double")).join(
+        cum.select(F.col("value").alias("_x"), share.alias("pvalue")), "_x").drop("_x")
 
 
 # --- two-group multivariate test

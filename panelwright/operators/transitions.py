@@ -105,7 +105,7 @@ def fill_dense(panel: DataFrame, horizon: int, fills: dict[str, float | int]) ->
 
 def post_change(trans: DataFrame, assignment: DataFrame, changepoint: DataFrame) -> DataFrame:
     """Rows at or after the change point of the subject's cluster, with the cluster."""
-    labels = assignment.join(F.broadcast(changepoint.select("cluster", "tau")), "cluster")
+    labels = assignment.join(changepoint.select("cluster", "tau"), "cluster")
     return trans.join(labels, "subject").filter(F.col("t") >= F.col("tau")).drop("tau")
 
 

@@ -118,9 +118,14 @@ class PanelSegmenter:
                 draws=self.draws, threshold=self.threshold, seed=self.seed)
         run = cp.detect_mean_change if self.example == "mean" else cp.detect_marginal_change
         bounds = (self.grid.kappas()[0], self.grid.kappas()[-1])
-        levels = trans.select("subject", "t", "s1").unionByName(
-            trans.filter(F.col("t") == self.n_times - 2).select("subject", (F.col("t") + 1).alias("t"), F.col("y1").alias("s1")))
-        return run(levels, self.n_times, bounds, self.grid.eps, self.c1, self.c2, assignment)
+        return run(self._levels(trans), self.n_times, bounds, self.grid.eps, self.c1, self.c2, assignment)
+
+    def _levels(self, trans: DataFrame) -> DataFrame:
+        """(subject, t, s1..sp): the states of all time points, the last one from the last step."""
+        states = [f"s{i + 1}" for i in range(self.p)]
+        last = trans.filter(F.col("t") == self.n_times - 2).select(
+            "subject", (F.col("t") + 1).alias("t"), *[F.col(f"y{i + 1}").alias(c) for i, c in enumerate(states)])
+        return trans.select("subject", "t", *states).unionByName(last)
 
     def _cluster(self, trans: DataFrame, tau: DataFrame | int, start: DataFrame | None):
         """A Segmentation of the subjects on the steps at or after their tau."""
@@ -128,7 +133,7 @@ class PanelSegmenter:
             return self.clusterer(trans, tau, self.k, start)
         states = [f"s{i + 1}" for i in range(self.p)]
         if self.example != "cdist":
-            lev = segment.subject_levels(trans, states[:1], tau)
+            lev = segment.subject_levels(self._levels(trans), states, tau)
             labels = segment.cluster_by_mean(lev, int(self.k), 0).select("subject", "cluster")
             return segment.Segmentation(materialize(labels, "labels"), 0.0, int(self.k), 1, None)
         subj = segment.subject_moments(trans, self.p, tau)
@@ -150,7 +155,7 @@ class PanelSegmenter:
 
     def _state(self, assignment: DataFrame, taus: DataFrame) -> DataFrame:
         """(subject, cluster, tau), written once per round."""
-        out = assignment.join(F.broadcast(taus.select("cluster", "tau")), "cluster")
+        out = assignment.join(taus.select("cluster", "tau"), "cluster")
         return materialize(out.select("subject", "cluster", "tau"), "labels")
 
     def _ic(self, state: DataFrame, loss: float, k: int) -> float:

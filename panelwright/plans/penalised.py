@@ -115,7 +115,7 @@ def _fold_sums(rows: DataFrame, keys: Sequence[str], p: int, nfold: int, seed: i
     sums = moments_by(rows.withColumn("fold", subject_fold(nfold, seed)), [*keys, "fold"], p)
     sizes = rows.groupBy("cluster").agg(F.countDistinct("subject").alias("n_subjects"))
     # One row per cluster.
-    return sums.join(F.broadcast(sizes), "cluster")
+    return sums.join(sizes, "cluster")
 
 
 def penalised_cv(rows: DataFrame, p: int, param_grid: dict[str, list], nfold: int = 5, penalty: str = "SCAD",
@@ -167,7 +167,7 @@ def changepoint_quality(rows: DataFrame, taus: DataFrame, n_times: int, p: int,
     counting nonzero coefficients.
     """
     layout, grid = Moments(p), parameter_grid(param_grid)
-    after = rows.join(F.broadcast(taus.select("cluster", "tau")), "cluster").filter("t >= tau")
+    after = rows.join(taus.select("cluster", "tau"), "cluster").filter("t >= tau")
 
     def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         folds = pdf[layout.names].to_numpy(float)
@@ -191,7 +191,7 @@ def changepoint_quality(rows: DataFrame, taus: DataFrame, n_times: int, p: int,
 def fitted_values(rows: DataFrame, models: DataFrame, p: int) -> DataFrame:
     """(subject, t, cluster, y1.., fit1..): observed and fitted next states."""
     d = 2 + 2 * p
-    j = rows.join(F.broadcast(models.select("cluster", "coef")), "cluster")
+    j = rows.join(models.select("cluster", "coef"), "cluster")
     terms = [F.lit(1.0), F.col("a"), *[F.col(f"s{i + 1}") for i in range(p)],
              *[F.col("a") * F.col(f"s{i + 1}") for i in range(p)]]
     fits = []

@@ -225,7 +225,7 @@ def greedy_from_table(rows: DataFrame, models: DataFrame, prefix: str = "x") ->
     d = _width(rows)
     wide = models.groupBy("cluster").agg(*[
         F.max(F.when(F.col("action") == a, F.col("coef"))).alias(f"_c{a}") for a in ACTIONS])
-    j = rows.join(F.broadcast(wide), "cluster")
+    j = rows.join(wide, "cluster")
 
     def q(a: int) -> Column:
         out = F.lit(0.0)
@@ -524,11 +524,12 @@ def tree_rows(trans: DataFrame, states: Sequence[str]) -> DataFrame:
 
 
 def tree_q_iteration(rows: DataFrame, gamma: float = 0.95, max_depth: int = 3, min_leaf: int = 40, max_iter: int = 3,
-                     max_bins: int = 64, seed: int = 1, tol: float = 1e-6) -> TreeQ:
+                     max_bins: int = 64, seed: int = 1, tol: float = 1e-6, early_stopping: bool = False) -> TreeQ:
     """Fitted-Q iteration with a regression tree per action.
 
     The target of a round depends on the rows and on the last trees only, so
-    the plan does not grow with the rounds.
+    the plan does not grow with the rounds. Rounds end as in the linear case:
+    after max_iter + 1 of them, or when the fitted values settle.
     """
     actions = [r["a"] for r in rows.select("a").distinct().orderBy("a").collect()]
 
@@ -543,19 +544,30 @@ def tree_q_iteration(rows: DataFrame, gamma: float = 0.95, max_depth: int = 3, m
         return TreeQ(trees)
 
     model = grow(rows, F.col("r"))
-    previous = None
-    for _ in range(max_iter):
+    smallest = float("inf")
+
+    def taken(prefix: str) -> Column:
+        out = F.lit(0.0)
+        for a in actions:
+            out = F.when(F.col("a") == a, F.col(f"{prefix}{a}")).otherwise(out)
+        return out
+
+    for step in range(max_iter + 1):
         scored = model.add_values(rows, "next", "n")
         best = F.greatest(*[F.col(f"n{a}") for a in actions]) if len(actions) > 1 else F.col(f"n{actions[0]}")
         nxt = grow(scored, F.col("r") + F.lit(gamma) * best)
-        own = nxt.add_values(model.add_values(rows, "now", "o"), "now", "w")
-        pick = lambda pre: sum((F.when(F.col("a") == a, F.col(f"{pre}{a}")).otherwise(0.0) for a in actions), F.lit(0.0))
-        row = own.agg(F.sum(F.pow(pick("w") - pick("o"), F.lit(2))).alias("d"), F.sum(F.pow(pick("o"), F.lit(2))).alias("s")).first()
+        if step == max_iter:
+            return nxt
+        own = nxt.add_values(rows, "now", "w")
+        # The first round is compared with zero, as no fitted values precede it.
+        own = model.add_values(own, "now", "o") if step else own
+        before = taken("o") if step else F.lit(0.0)
+        row = own.agg(F.sum(F.pow(taken("w") - before, F.lit(2))).alias("d"), F.sum(F.pow(before, F.lit(2))).alias("s")).first()
         model = nxt
         err = float(np.sqrt(row["d"]) / (np.sqrt(row["s"]) + 1e-6))
-        if err <= tol or err == previous:
+        if err <= tol or (early_stopping and abs(err - smallest) < 1e-5):
             break
-        previous = err
+        smallest = min(smallest, err)
     return model
 
 
@@ -596,7 +608,7 @@ def select_linear_cv(
     """
     spark = trans.sparkSession
     if times is not None:
-        trans = trans.join(F.broadcast(times.select("t").distinct()), "t", "left_semi")
+        trans = trans.join(times.select("t").distinct(), "t", "left_semi")
     base = trans.join(folds.select("subject", "fold"), "subject")
     n_folds = base.agg(F.max("fold")).first()[0] + 1
     out = []

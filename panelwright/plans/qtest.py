@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.features import FeatureMap
+from panelwright.operators.ranking import quantiles
 from panelwright.plans import policy
 from panelwright.session import materialize
 
@@ -120,13 +121,11 @@ def q_change_test(
     noise_beta = np.einsum("gij,gjb->gib", inv, scores) / n[:, None, None]
 
     # Points of the box and of the normal reference law.
-    probs = F.array(F.lit(0.05), F.lit(0.95))
-    facts = trans.agg(*[F.percentile(c, probs).alias(f"q_{c}") for c in states],
-                      *[F.avg(c).alias(f"m_{c}") for c in states],
+    facts = trans.agg(*[F.avg(c).alias(f"m_{c}") for c in states],
                       *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a in states for b in states]).first()
     rng = np.random.Generator(np.random.Philox(key=[seed, 7]))
-    low = np.array([facts[f"q_{c}"][0] for c in states])
-    high = np.array([facts[f"q_{c}"][1] for c in states])
+    ends = [quantiles(trans, [], c, {"low": 0.05, "high": 0.95}).first() for c in states]
+    low, high = np.array([e["low"] for e in ends]), np.array([e["high"] for e in ends])
     box = rng.uniform(low, high, size=(grid_points, p))
     cov = np.array([[facts[f"c_{a}_{b}"] for b in states] for a in states])
     ref = rng.multivariate_normal([facts[f"m_{c}"] for c in states], cov, size=grid_points)

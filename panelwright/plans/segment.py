@@ -124,6 +124,7 @@ def _label_sums(subj: DataFrame, states: dict[int, tuple], new: dict[int, np.nda
     """
     names = Moments(p).names
     q = len(names)
+    cols = [f"v{i}" for i in range(3 + q)]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = {k: np.zeros((k, 3 + q)) for k in states}
@@ -139,12 +140,11 @@ def _label_sums(subj: DataFrame, states: dict[int, tuple], new: dict[int, np.nda
                     loss = errs[np.arange(len(m)), lab] * inv[:, 0]
                 part = np.column_stack([np.ones(len(m)), lab != old, loss, m * inv])
                 np.add.at(acc[k], lab, part)
-        rows = [(k, j, acc[k][j].tolist()) for k in states for j in range(k) if acc[k][j, 0] > 0]
-        yield pd.DataFrame(rows, columns=["k", "label", "v"])
+        rows = [(k, j, *acc[k][j]) for k in states for j in range(k) if acc[k][j, 0] > 0]
+        yield pd.DataFrame(rows, columns=["k", "label", *cols])
 
-    parts = subj.mapInPandas(fold, "k int, label int, v array<double>").select(
-        "k", "label", *[F.col("v")[i].alias(f"v{i}") for i in range(3 + q)])
-    rows = parts.groupBy("k", "label").agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(3 + q)]).collect()
+    schema = "k int, label int, " + ", ".join(f"{c} double" for c in cols)
+    rows = subj.mapInPandas(fold, schema).groupBy("k", "label").sum(*cols).collect()
     out: dict[int, dict] = {k: {} for k in states}
     for r in rows:
         v = np.array(r[2:], dtype=float)

@@ -264,7 +264,7 @@ def parameter_product(spark, sf):
     params = parameter_frame(spark, {"max_depth": [3, 4, 5], "min_samples_leaf": [40, 50, 60]}).select(
         F.col("params")["max_depth"].alias("depth"), F.col("params")["min_samples_leaf"].alias("leaf"))
     per_t = narrow_transitions(spark, sf).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    return per_t.join(F.broadcast(params), F.col("t") >= F.col("depth") * F.col("leaf") / 10).groupBy(
+    return per_t.join(params, F.col("t") >= F.col("depth") * F.col("leaf") / 10).groupBy(
         "depth", "leaf").agg(F.sum("n").alias("n"))
 
 

@@ -130,7 +130,7 @@ l AS (SELECT cluster, after, '1' AS term, c0 AS coef FROM w UNION ALL SELECT clu
 SELECT l.cluster, l.after, l.term, 'y1' AS response, round(l.coef, 4) AS coef, round(l.coef - r.coef, 4) AS contrast FROM l
 JOIN l r ON r.cluster = 0 AND r.after = 0 AND r.term = l.term""")
 def segment_contrasts(spark, sf):
-    labels = region_assignment(spark, sf).join(F.broadcast(region_tau(spark, sf)), "cluster").withColumn(
+    labels = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster").withColumn(
         "tau", F.col("tau") + 20)
     out = segment.block_contrasts(narrow_transitions(spark, sf), labels, 1)
     return out.withColumn("coef", F.round("coef", 4)).withColumn("contrast", F.round("contrast", 4))
@@ -176,7 +176,7 @@ def fit_tune_k_each_iter(spark, sf):
 def method_presets(spark, sf):
     """Labels and change points of every method, one row per method and label."""
     trans = scaled_transitions(spark, sf, ("s1",))
-    truth = region_assignment(spark, sf).join(F.broadcast(region_tau(spark, sf)), "cluster")
+    truth = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster")
     fast = dict(kappa_min=30, kappa_interval=5, draws=1000, max_iter_gmr=5)
     out = None
     for method in alternate.PRESETS:

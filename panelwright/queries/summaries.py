@@ -30,7 +30,7 @@ def label_join(spark, sf):
 
 @query("C-02", f"WITH {REGION} SELECT subject, cluster, CAST(cluster * 10 AS INTEGER) AS tau FROM region_of")
 def changepoint_join(spark, sf):
-    return region_assignment(spark, sf).join(F.broadcast(region_tau(spark, sf)), "cluster").select(
+    return region_assignment(spark, sf).join(region_tau(spark, sf), "cluster").select(
         "subject", "cluster", "tau")
 
 
@@ -118,7 +118,7 @@ def cluster_pairing(spark, sf):
 @query("C-08", f"{BASE}, {LINE} SELECT subject, t, lab.a, round(c + b * s1, 4) AS q FROM lab JOIN fit USING (cluster, a)")
 def model_lookup(spark, sf):
     rows = label(narrow_transitions(spark, sf), region_assignment(spark, sf))
-    return rows.join(F.broadcast(region_lines(spark, sf)), ["cluster", "a"]).select(
+    return rows.join(region_lines(spark, sf), ["cluster", "a"]).select(
         "subject", "t", "a", F.round(F.col("c") + F.col("b") * F.col("s1"), 4).alias("q"))
 
 
@@ -130,7 +130,7 @@ def model_distance(spark, sf):
     """Distance of every two cluster models; the model table has one row per cluster."""
     wide = region_lines(spark, sf).groupBy("cluster").agg(*[
         F.max(F.when(F.col("a") == a, F.col(c))).alias(f"{c}{a}") for a in (0, 1) for c in "cb"])
-    x, y = wide.alias("x"), F.broadcast(wide).alias("y")
+    x, y = wide.alias("x"), wide.alias("y")
     sq = F.lit(0.0)
     for c in ("c0", "b0", "c1", "b1"):
         sq = sq + F.pow(F.col(f"x.{c}") - F.col(f"y.{c}"), F.lit(2))
@@ -211,7 +211,7 @@ def first_index(spark, sf):
 @query("D-08", f"""WITH {PANEL}, {REGION} SELECT subject, round(avg(s1), 6) AS mean FROM panel JOIN region_of USING (subject)
 WHERE t >= cluster * 10 GROUP BY subject""")
 def subject_mean_after(spark, sf):
-    tau = region_assignment(spark, sf).join(F.broadcast(region_tau(spark, sf)), "cluster")
+    tau = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster")
     lev = segment.subject_levels(supplier_month_narrow(spark, sf), ["s1"], tau)
     return lev.select("subject", F.round(F.col("s") / F.col("n"), 6).alias("mean"))
 
@@ -228,7 +228,7 @@ def cluster_mean_var(spark, sf):
   round(avg(s1 ** 3) FILTER (t >= cluster * 10), 2) AS cube_after FROM panel JOIN region_of USING (subject) GROUP BY cluster""")
 def before_after_means(spark, sf):
     rows = label(supplier_month_narrow(spark, sf), region_assignment(spark, sf)).join(
-        F.broadcast(region_tau(spark, sf)), "cluster").withColumn("cube", F.pow("s1", F.lit(3)))
+        region_tau(spark, sf), "cluster").withColumn("cube", F.pow("s1", F.lit(3)))
     out = summary.before_after(rows, ["s1", "cube"])
     return out.select("cluster", F.round("s1_before", 6).alias("s1_before"), F.round("s1_after", 6).alias("s1_after"),
                       F.round("cube_before", 2).alias("cube_before"), F.round("cube_after", 2).alias("cube_after"))
@@ -329,17 +329,18 @@ def method_horizon_table(spark, sf):
 
 @query("D-22", f"WITH {PANEL}, {REGION} SELECT cluster, round(quantile_cont(s1, 0.99), 6) AS q FROM panel JOIN region_of USING (subject) GROUP BY cluster")
 def percentile_linear(spark, sf):
-    return label(supplier_month_narrow(spark, sf), region_assignment(spark, sf)).groupBy("cluster").agg(
-        F.round(F.percentile("s1", F.lit(0.99)), 6).alias("q"))
+    rows = label(supplier_month_narrow(spark, sf), region_assignment(spark, sf))
+    return ranking.quantiles(rows, ["cluster"], "s1", {"q": 0.99}).select("cluster", F.round("q", 6).alias("q"))
 
 
 @query("D-23", f"""WITH {PANEL} SELECT round(quantile_cont(s1, 0.05), 6) AS s1_lo, round(quantile_cont(s1, 0.95), 6) AS s1_hi,
   round(quantile_cont(s3, 0.05), 7) AS s3_lo, round(quantile_cont(s3, 0.95), 7) AS s3_hi FROM panel""")
 def state_bounds(spark, sf):
-    probs = F.array(F.lit(0.05), F.lit(0.95))
-    q = supplier_month(spark, sf).agg(F.percentile("s1", probs).alias("q1"), F.percentile("s3", probs).alias("q3"))
-    return q.select(F.round(F.col("q1")[0], 6).alias("s1_lo"), F.round(F.col("q1")[1], 6).alias("s1_hi"),
-                    F.round(F.col("q3")[0], 7).alias("s3_lo"), F.round(F.col("q3")[1], 7).alias("s3_hi"))
+    """5% and 95% of every state, the states as groups of one long table."""
+    long = supplier_month(spark, sf).unpivot(["subject", "t"], ["s1", "s3"], "state", "x")
+    q = ranking.quantiles(long, ["state"], "x", {"lo": 0.05, "hi": 0.95})
+    return q.agg(*[F.max(F.when(F.col("state") == c, F.round(e, 6 if c == "s1" else 7))).alias(f"{c}_{e}")
+                   for c in ("s1", "s3") for e in ("lo", "hi")])
 
 
 @query("D-24", f"""WITH {PANEL}, {REGION}, m AS (SELECT cluster, avg(s1) + 50 AS stat FROM panel JOIN region_of USING (subject) GROUP BY cluster)
@@ -377,7 +378,7 @@ FACTS = f"""{QUAL}, f AS (SELECT 5.0::DOUBLE AS k, (SELECT count(*) FROM region_
 
 def facts(spark, sf):
     """One row with all that the criterion needs."""
-    labels = region_assignment(spark, sf).join(F.broadcast(region_tau(spark, sf)), "cluster")
+    labels = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster")
     subj = segment.subject_moments(narrow_transitions(spark, sf), 1)
     loss = segment.cluster_quality(subj, labels, 1, 5).agg(F.sum("loss_normalized")).scalar()
     length = F.lit(N_TIMES - 1) - F.col("tau")
@@ -570,7 +571,7 @@ def nth_smallest(spark, sf):
   round(sqrt((x.c - y.c) ** 2 + (x.b - y.b) ** 2), 4) AS dist FROM z x JOIN z y ON x.cluster < y.cluster ORDER BY dist DESC""")
 def sorted_distances(spark, sf):
     z = region_lines(spark, sf).filter("a = 0")
-    x, y = z.alias("x"), F.broadcast(z).alias("y")
+    x, y = z.alias("x"), z.alias("y")
     dist = F.sqrt(F.pow(F.col("x.c") - F.col("y.c"), F.lit(2)) + F.pow(F.col("x.b") - F.col("y.b"), F.lit(2)))
     return x.join(y, F.col("x.cluster") < F.col("y.cluster")).select(
         F.col("x.cluster").alias("i"), F.col("y.cluster").alias("j"), F.round(dist, 4).alias("dist")
@@ -582,7 +583,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY size DESC) AS rn FROM e)
 SELECT setting, size, CASE rn WHEN 1 THEN 'Strong' WHEN 2 THEN 'Moderate' ELSE 'Weak' END AS effect FROM r""")
 def named_effects(spark, sf):
     sizes = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("setting")).agg(F.count(F.lit(1)).alias("size"))
-    return sizes.join(F.broadcast(summary.name_effects(sizes, "size")), "size").select("setting", "size", "effect")
+    return sizes.join(summary.name_effects(sizes, "size"), "size").select("setting", "size", "effect")
 
 
 # --- sets

@@ -204,3 +204,13 @@ def test_criterion(spark):
     dyn = row.select(criteria.criterion("Nlog(NT)/T", dynamic_t=True)).first()[0]
     assert abs(dyn - (-30 - 6 * n * np.log(n * 20) / 20)) < 1e-9
     assert abs(row.select(criteria.criterion("BIC")).first()[0] - (-10 * np.log(3) - 2 * np.log(10))) < 1e-9
+
+
+def test_mean_example_runs_on_levels(spark):
+    rows = [(i, t, float((i >= 5) * 10 + (t >= 25) * 4 + (i * 7 + t * 3) % 5 / 5), t % 2) for i in range(10) for t in range(51)]
+    df = spark.createDataFrame(rows, "subject bigint, t int, s1 double, a int")
+    est = alternate.PanelSegmenter(51, k=2, init="clusters", example="mean", max_iter=2, kappa_min=20, c1=1e-6).fit(
+        transitions(df, ["s1"]))
+    lab = {r["subject"]: r["cluster"] for r in est.result.collect()}
+    tau = {r["tau"] for r in est.result.collect()}
+    assert len({lab[i] for i in range(5)}) == 1 and lab[0] != lab[9] and all(20 <= x <= 30 for x in tau)

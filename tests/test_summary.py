@@ -78,3 +78,19 @@ def test_series_correlation(spark):
     for block in (2, 3, 100):
         got = {(r["i"], r["j"]): r["corr"] for r in pairs.series_correlation(df, "s1", block).collect()}
         assert len(got) == 21 and all(abs(v - want[i][j]) < 1e-10 for (i, j), v in got.items())
+
+
+def test_quantiles_equal_numpy_with_ties_and_groups(spark):
+    from panelwright.operators import ranking
+
+    rng = np.random.default_rng(2)
+    # A third of group 0 is one value.
+    v0 = np.concatenate([rng.normal(size=400), np.full(200, 0.25)])
+    v1 = rng.integers(0, 5, 31).astype(float)
+    df = spark.createDataFrame([(0, float(x)) for x in v0] + [(1, float(x)) for x in v1] + [(1, None)], "g int, x double")
+    probs = {"a": 0.05, "b": 0.5, "c": 0.99, "d": 0.0, "e": 1.0}
+    for r in ranking.quantiles(df, ["g"], "x", probs).collect():
+        for name, p in probs.items():
+            assert abs(r[name] - np.quantile(v0 if r["g"] == 0 else v1, p)) < 1e-12
+    whole = ranking.quantiles(df, [], "x", {"m": 0.5}).first()["m"]
+    assert abs(whole - np.median(np.concatenate([v0, v1]))) < 1e-12
