@@ -220,7 +220,7 @@ def policy_sink(spark, sf):
 def tree_q_iteration(spark, sf):
     """Regression trees as Q functions: greedy action counts and mean value."""
     rows = materialize(policy.tree_rows(scaled(spark, sf), ["s1"]), "tree-rows")
-    model = policy.tree_q_iteration(rows, GAMMA, max_depth=3, min_leaf=40, max_iter=2)
+    model = policy.tree_q_iteration(rows, GAMMA, max_depth=3, min_leaf=40, max_iter=1)
     scored = model.add_values(rows, "now", "q")
     act = F.when(F.col("q1") > F.col("q0"), 1).otherwise(0)
     return scored.groupBy(act.alias("action")).agg(
@@ -233,7 +233,7 @@ def select_model_cv(spark, sf):
     trans = scaled(spark, sf)
     folds = ranking.contiguous_chunks(trans.select("subject").distinct(), "subject", 2)
     grid = [{"max_depth": d, "min_samples_leaf": 40} for d in (2, 4)]
-    return policy.select_tree_cv(trans, folds, ["s1"], grid, GAMMA, max_iter=1).withColumn(
+    return policy.select_tree_cv(trans, folds, ["s1"], grid, GAMMA, max_iter=0).withColumn(
         "test_error", F.round("test_error", 6))
 
 
