@@ -44,5 +44,14 @@ def recode(col: F.Column, names: Mapping[str, str]) -> F.Column:
     return out
 
 
+def half_even(x: F.Column, digits: int) -> F.Column:
+    """x, with an exact tie at ``digits`` decimals moved to the even side.
+
+    Java formats ties upwards; printed tables elsewhere round them to even.
+    """
+    tie = F.abs(x * F.lit(2.0 * 10**digits)) % 2 == 1
+    return F.when(tie, F.bround(x, digits)).otherwise(x)
+
+
 def mean_se_text(mean: F.Column, se: F.Column, digits: int = 3) -> F.Column:
-    return F.format_string(f"%.{digits}f (%.{digits}f)", mean, se)
+    return F.format_string(f"%.{digits}f (%.{digits}f)", half_even(mean, digits), half_even(se, digits))

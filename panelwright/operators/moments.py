@@ -34,21 +34,16 @@ class Moments:
     def names(self) -> list[str]:
         return [f"m_{t}" for t in self.terms] + [f"k_{t}" for t in self.terms]
 
-    def _product(self, term: str, states, nexts) -> F.Column:
+    def _product(self, term: str, states, nexts) -> str:
         if term == "n":
-            return F.lit(1.0)
-        out = None
-        for kind, digits in _split(term):
-            c = F.col((states if kind == "s" else nexts)[digits]).cast("double")
-            out = c if out is None else out * c
-        return out
+            return "1.0D"
+        names = [(states if kind == "s" else nexts)[i] for kind, i in _split(term)]
+        return " * ".join(f"cast(`{c}` as double)" for c in names)
 
     def sums(self, states: Sequence[str], nexts: Sequence[str], action: str = "a") -> list[F.Column]:
-        out = [F.sum(self._product(t, states, nexts)).alias(f"m_{t}") for t in self.terms]
-        out += [
-            F.sum(F.when(F.col(action) == 1, self._product(t, states, nexts)).otherwise(0.0)).alias(f"k_{t}")
-            for t in self.terms
-        ]
+        each = {t: self._product(t, states, nexts) for t in self.terms}
+        out = [F.expr(f"sum({x})").alias(f"m_{t}") for t, x in each.items()]
+        out += [F.expr(f"sum(case when `{action}` = 1 then {x} else 0.0D end)").alias(f"k_{t}") for t, x in each.items()]
         return out
 
     # Matrix form, batched over leading axes.

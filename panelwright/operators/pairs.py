@@ -13,7 +13,7 @@ from panelwright.operators.ranking import with_row_number
 
 
 def series_correlation(panel: DataFrame, state: str, block: int = 256) -> DataFrame:
-    """(i, j, corr), i < j: correlation of two subjects over their common steps.
+    """(i, j, corr), i < j: correlation of two subjects over their common steps, NaN where undefined.
 
     A blocked matrix product: subjects are cut into blocks, and each pair of
     blocks is one task that multiplies two block x T matrices. Rows travel once
@@ -41,11 +41,14 @@ def series_correlation(panel: DataFrame, state: str, block: int = 256) -> DataFr
         n = lm.astype(float) @ rm.T.astype(float)
         sx, sy = lv @ rm.T.astype(float), lm.astype(float) @ rv.T
         sxx, syy, sxy = (lv * lv) @ rm.T.astype(float), lm.astype(float) @ (rv * rv).T, lv @ rv.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            corr = (n * sxy - sx * sy) / np.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+        flat = (vx <= 1e-9 * n * sxx) | (vy <= 1e-9 * n * syy)
+        corr = np.where(flat, np.nan, (n * sxy - sx * sy) / np.sqrt(np.where(flat, 1.0, vx * vy)))
         li, rj = left.index.to_numpy(), right.index.to_numpy()
         keep = (li[:, None] < rj[None, :]) & (n > 0)
         i, j = np.nonzero(keep)
         return pd.DataFrame({"i": li[i], "j": rj[j], "corr": corr[i, j]})
 
-    return rows.groupBy("b1", "b2").applyInPandas(correlate, "i bigint, j bigint, corr double")
+    out = rows.groupBy("b1", "b2").applyInPandas(correlate, "i bigint, j bigint, corr double")
+    # A series that is constant over the common steps has no correlation.
+    return out.withColumn("corr", F.coalesce("corr", F.lit(float("nan"))))

@@ -7,7 +7,8 @@ so attaching new labels does not shuffle them again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -172,15 +173,17 @@ class PanelSegmenter:
     # loops
 
     def fit(self, trans: DataFrame, changepoints: DataFrame | None = None,
-            assignment: DataFrame | None = None) -> Estimate:
-        """``changepoints``: (subject, tau); ``assignment``: (subject, cluster)."""
-        held = materialize(trans, "transitions").repartition("subject").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if self.init == "changepoints":
-                return self.detect_and_segment(held, changepoints, assignment)
-            return self.segment_and_detect(held, assignment)
-        finally:
-            held.unpersist()
+            assignment: DataFrame | None = None, prepared: bool = False) -> Estimate:
+        """``changepoints``: (subject, tau); ``assignment``: (subject, cluster).
+
+        ``prepared`` says that ``trans`` comes from :func:`held`.
+        """
+        if not prepared:
+            with held(trans) as rows:
+                return self.fit(rows, changepoints, assignment, prepared=True)
+        if self.init == "changepoints":
+            return self.detect_and_segment(trans, changepoints, assignment)
+        return self.segment_and_detect(trans, assignment)
 
     def segment_and_detect(self, trans: DataFrame, assignment: DataFrame | None = None) -> Estimate:
         """Clusters first. Stops when the change points settle, or the loss does."""
@@ -245,15 +248,34 @@ class PanelSegmenter:
         return Estimate(state, used, loss, self._ic(state, loss, used), m, losses, k_path)
 
 
+@contextmanager
+def held(trans: DataFrame) -> Iterator[DataFrame]:
+    """Transitions written once and kept partitioned by subject while a run lasts."""
+    rows = materialize(trans, "transitions").repartition("subject").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def _tune(ks: Sequence[int], rows: DataFrame, init_labels: dict[int, DataFrame], changepoints: DataFrame | None,
+          settings: dict) -> tuple[Estimate, DataFrame]:
+    if "limits" not in settings:
+        # The limits do not depend on K: drawn once for all runs.
+        settings["limits"] = PanelSegmenter(k=1, **settings)._limits(rows.sparkSession)
+    runs = {k: PanelSegmenter(k=k, **settings).fit(rows, changepoints, init_labels.get(k), prepared=True) for k in ks}
+    table = rows.sparkSession.createDataFrame(
+        [(i, k, r.k, float(r.loss), float(r.ic)) for i, (k, r) in enumerate(runs.items())],
+        "pos int, k int, k_used int, loss double, ic double")
+    best = max(ks, key=lambda k: runs[k].ic)
+    return runs[best], table
+
+
 def fit_tune_k(ks: Sequence[int], trans: DataFrame, init_labels: dict[int, DataFrame] | None = None,
                changepoints: DataFrame | None = None, **settings) -> tuple[Estimate, DataFrame]:
     """One full run per K; the largest criterion wins, the first on ties."""
-    runs = {k: PanelSegmenter(k=k, **settings).fit(trans, changepoints, (init_labels or {}).get(k)) for k in ks}
-    spark = trans.sparkSession
-    table = spark.createDataFrame([(i, k, r.k, float(r.loss), float(r.ic)) for i, (k, r) in enumerate(runs.items())],
-                                  "pos int, k int, k_used int, loss double, ic double")
-    best = table.orderBy(F.col("ic").desc(), "pos").first()["k"]
-    return runs[best], table
+    with held(trans) as rows:
+        return _tune(ks, rows, init_labels or {}, changepoints, dict(settings))
 
 
 def fit_tune_k_each_iter(ks: Sequence[int], trans: DataFrame, rounds: int = 1,
@@ -263,14 +285,15 @@ def fit_tune_k_each_iter(ks: Sequence[int], trans: DataFrame, rounds: int = 1,
     labels: dict[int, DataFrame] = {}
     log, best = [], None
     settings = {**settings, "max_iter": 1}
-    for i in range(rounds):
-        best, table = fit_tune_k(ks, trans, labels, changepoints, **settings)
-        runs = table.orderBy("pos").collect()
-        top = max(r["ic"] for r in runs)
-        chosen = next(r["k"] for r in runs if r["ic"] == top)
-        log += [(i, r["k"], r["loss"], r["ic"], r["k"] == chosen) for r in runs]
-        labels[chosen] = best.result.select("subject", "cluster")
-        changepoints = best.result.select("subject", "tau")
+    with held(trans) as rows:
+        for i in range(rounds):
+            if "limits" not in settings:
+                settings["limits"] = PanelSegmenter(k=1, **settings)._limits(rows.sparkSession)
+            runs = {k: PanelSegmenter(k=k, **settings).fit(rows, changepoints, labels.get(k), prepared=True) for k in ks}
+            chosen = max(ks, key=lambda k: runs[k].ic)
+            log += [(i, k, float(r.loss), float(r.ic), k == chosen) for k, r in runs.items()]
+            labels = {k: r.result.select("subject", "cluster") for k, r in runs.items()}
+            best, changepoints = runs[chosen], runs[chosen].result.select("subject", "tau")
     return best, trans.sparkSession.createDataFrame(
         log, "iter int, k int, loss double, ic double, chosen boolean")
 

@@ -57,11 +57,8 @@ def hashed_labels(k: int, seed: int) -> F.Column:
 
 
 def _error(weights: np.ndarray, names: Sequence[str]) -> F.Column:
-    out = F.lit(0.0)
-    for w, c in zip(weights, names):
-        if w != 0.0:
-            out = out + F.lit(float(w)) * F.col(c)
-    return out
+    terms = [f"{float(w)!r}D * {c}" for w, c in zip(weights, names) if w != 0.0]
+    return F.expr(" + ".join(terms) if terms else "0.0D")
 
 
 def error_columns(coefs: np.ndarray, p: int) -> list[F.Column]:

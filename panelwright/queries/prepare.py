@@ -282,7 +282,7 @@ def validation_report(spark, sf):
     return tr.validation_report(user_day(spark, sf).select("subject", "t", "a", "s1"), 30, ["s1"])
 
 
-@query("C-12", f"""WITH {NATION_MONTH} SELECT x.subject AS i, y.subject AS j, round(corr(x.s1, y.s1), 6) AS corr
+@query("C-12", f"""WITH {NATION_MONTH} SELECT x.subject AS i, y.subject AS j, round(corr(x.s1, y.s1), 6) + 0.0 AS corr
 FROM panel x JOIN panel y ON x.t = y.t AND x.subject < y.subject GROUP BY ALL""")
 def subject_correlation(spark, sf):
     return pairs.series_correlation(nation_month(spark, sf), "s1", block=8).select(

@@ -103,12 +103,12 @@ def stream_scoring(spark, sf):
     return runner.run_to_table(scored, "scored").select("subject", "t", "opt_action", F.round("opt_value", 5).alias("opt_value"))
 
 
-@query("T-06", """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS cluster, round(avg(value), 4) AS reward, count(*) AS n FROM events
+@query("T-06", """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS cluster, round(avg(value), 7) AS reward, count(*) AS n FROM events
 GROUP BY GROUPING SETS ((strftime(ts, '%Y-%m-%d')), (strftime(ts, '%Y-%m-%d'), event_type))""")
 def reward_report(spark, sf):
     report = sp.reward_report(event_stream(spark, sf), "ts", "value", "event_type")
     rows = runner.run_to_table(report, "reward", "update", ["start", "cluster"])
-    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "cluster", F.round("reward", 4).alias("reward"), "n")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "cluster", F.round("reward", 7).alias("reward"), "n")
 
 
 @query("T-07", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY event_type")

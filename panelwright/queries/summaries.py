@@ -579,8 +579,9 @@ def sorted_distances(spark, sf):
 
 
 @query("F-08", """WITH e AS (SELECT o_orderstatus AS setting, count(*) AS size FROM orders GROUP BY 1),
-r AS (SELECT *, row_number() OVER (ORDER BY size DESC) AS rn FROM e)
-SELECT setting, size, CASE rn WHEN 1 THEN 'Strong' WHEN 2 THEN 'Moderate' ELSE 'Weak' END AS effect FROM r""")
+r AS (SELECT *, dense_rank() OVER (ORDER BY size DESC) AS rn FROM e)
+SELECT setting, size, CASE WHEN (SELECT count(DISTINCT size) FROM e) <> 3 THEN CAST(size AS VARCHAR)
+  WHEN rn = 1 THEN 'Strong' WHEN rn = 2 THEN 'Moderate' ELSE 'Weak' END AS effect FROM r""")
 def named_effects(spark, sf):
     sizes = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("setting")).agg(F.count(F.lit(1)).alias("size"))
     return sizes.join(summary.name_effects(sizes, "size"), "size").select("setting", "size", "effect")
