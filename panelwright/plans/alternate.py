@@ -228,7 +228,7 @@ class PanelSegmenter:
                 state = materialize(found.assignment.join(before, "subject"), "labels")
             else:
                 state = self._state(found.assignment, self._detect(trans, found.assignment))
-            subj = segment.subject_moments(trans, self.p, state)
+            subj = materialize(segment.subject_moments(trans, self.p, state), "subject-moments")
             quality = segment.cluster_quality(subj, state.select("subject", "cluster"), self.p, k)
             losses.append(quality.agg(F.sum("loss_normalized")).first()[0])
             same_tau = not self._moved(state, before)
