@@ -703,21 +703,8 @@ def array_functions(spark, sf):
         F.aggregate(F.array_repeat("label", 3), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("rep"))
 
 
-# Display names of the estimation methods.
-METHOD_NAMES = {
-    "proposed": "DIRL",
-    "oracle": "Oracle",
-    "overall": "DHRL",
-    "only_cp": "Homogeneous",
-    "only_clusters": "Stationary",
-    "cluster_atend": "TCD",
-    "cp_indi": "ITCPD",
-    "cluster_atend2": "TCD2",
-}
-
-
-@query("H-10", """SELECT event_id, CASE event_type WHEN 'signup' THEN 'Oracle' WHEN 'click' THEN 'DIRL' WHEN 'view' THEN 'DHRL' ELSE event_type END AS name FROM events""")
+@query("H-10", """SELECT event_id, CASE event_type WHEN 'signup' THEN 'Sign-up' WHEN 'click' THEN 'Click' WHEN 'view' THEN 'Page view' ELSE event_type END AS name FROM events""")
 def recode_names(spark, sf):
-    method = scalars.recode(F.col("event_type"), {"signup": "oracle", "click": "proposed", "view": "overall"})
-    return table(spark, sf, "events").select("event_id", method.alias("m")).select(
-        "event_id", scalars.recode(F.col("m"), METHOD_NAMES).alias("name"))
+    """Raw names to display names; a name without a display form stays."""
+    shown = {"signup": "Sign-up", "click": "Click", "view": "Page view"}
+    return table(spark, sf, "events").select("event_id", scalars.recode(F.col("event_type"), shown).alias("name"))
