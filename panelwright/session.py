@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_dirs: dict[str, str] = {}
-
-
 def local_session(cores: int | str = 8, app: str = "panelwright", checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster the caller brings its own."""
     builder = (
@@ -30,17 +26,15 @@ def local_session(cores: int | str = 8, app: str = "panelwright", checkpoint_dir
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, read from the session.
 
-    Only a local master may fall back on a folder of its own.
+    Where a local master leaves it unset, a folder below the warehouse serves.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-        path = _local_dirs.setdefault(spark.sparkContext.applicationId, "")
-        if not path:
-            path = _local_dirs[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="panelwright-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return path.rstrip("/")
 
 
@@ -55,6 +49,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts lineage and survives the loss of executors; loops reuse the table
     instead of recomputing the scan that produced it.
     """
-    path = run_path(df.sparkSession, label)
-    df.write.parquet(path)
+    return materialize_at(df, run_path(df.sparkSession, label))
+
+
+def materialize_at(df: DataFrame, path: str) -> DataFrame:
+    """``materialize`` at a path of the caller's, who can ``drop_path`` it later."""
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``materialize_at`` wrote and no plan reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
