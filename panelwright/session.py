@@ -53,8 +53,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def materialize_at(df: DataFrame, path: str) -> DataFrame:
-    """``materialize`` at a path of the caller's, who can ``drop_path`` it later."""
-    df.write.option("compression", "zstd").parquet(path)
+    """``materialize`` at a path of the caller's, who can ``drop_path`` it later.
+
+    The shuffle files of the write are removed when it ends: the table replaces them.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
