@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import langid, repeats
+from panelwright.llm import langid, merge_replay, packing, piece_count, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +58,28 @@ FROM words LEFT JOIN kept USING (doc_id)
 def op2(spark, sf_dir):
     kept = repeats.remove_repeats(texts(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op3_token_count")
+def op3(spark, sf_dir):
+    counted = piece_count.count_tokens(texts(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query("op5_byte_bpe")
+def op5(spark, sf_dir):
+    coded = merge_replay.encode_decode(
+        texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_packing")
+def op7(spark, sf_dir):
+    return packing.pack(texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_simhash")
+def op9(spark, sf_dir):
+    found = simhash.near_copies(texts(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
