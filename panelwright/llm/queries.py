@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import langid, merge_replay, packing, piece_count, repeats, simhash, stable_hash, vafile
+from panelwright.llm import (
+    langid, merge_replay, packing, passages, piece_count, repeats, resample, simhash, stable_hash, vafile)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +122,14 @@ FROM embeddings LEFT JOIN n ON vec_id = n.a LEFT JOIN low ON vec_id = low.a
 """)
 def op8(spark, sf_dir):
     return stable_hash.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    return resample.resample(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf_dir):
+    flagged = passages.flag(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return flagged.select("doc_id", (~passages.learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted")

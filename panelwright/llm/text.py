@@ -116,3 +116,52 @@ def group_words(group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = joined(group)
     starts, ends = word_spans(data)
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+_KIND = np.full(256, 2, np.uint8)
+_KIND[_SPACE] = 0
+_KIND[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+
+
+class Tokens:
+    """Tokens of a group of texts: runs of word bytes (letters, digits, _, non-ASCII) and runs of other marks.
+
+    ``hashes`` ignore the case of ASCII letters; ``marks`` tells the runs of marks;
+    ``shape`` is 0 lower case, 1 capitalised, 2 all capitals, 3 mixed, 4 a number,
+    5 marks; ``first`` is the index of each text's first token (one more than texts).
+    """
+
+    def __init__(self, group: list[bytes], shapes: bool = False):
+        data, offsets = joined(group)
+        kind = _KIND[data]
+        cuts = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        starts = np.append(0, cuts)
+        ends = np.append(cuts, len(data))
+        kept = kind[starts] > 0
+        starts, ends = starts[kept], ends[kept]
+        self.marks = kind[starts] == 2
+        self.hashes = span_hashes(_LOWER[data], starts, ends)
+        self.first = np.searchsorted(starts, offsets)
+        if shapes:
+            upper = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(_UPPER[data], out=upper[1:])
+            n_upper = upper[ends] - upper[starts]
+            size = ends - starts
+            shape = np.where(n_upper == 0, 0, np.where((n_upper == size) & (size > 1), 2, 3))
+            shape[(n_upper == 1) & _UPPER[data[starts]]] = 1
+            shape[(data[starts] >= 48) & (data[starts] < 58)] = 4
+            shape[self.marks] = 5
+            self.shape = shape
+
+
+def text_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the values of each text."""
+    total = np.zeros(len(first) - 1)
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        total[full] = np.add.reduceat(values, first[full])
+    return total
