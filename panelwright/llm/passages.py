@@ -2,7 +2,9 @@
 
 A token's score is its log-odds between toxic and other labelled documents under
 an informative Dirichlet prior (the whole corpus's token counts), lowered by two
-standard errors, less a constant that every token pays. Most tokens score below
+standard errors, less a constant that every token pays. Words and their first
+``PREFIX`` bytes are counted, and the clearer odds of the two hold, so a rare word
+is judged by its stem. Most tokens score below
 zero, so the sum drifts down and rises only inside a toxic passage. One linear scan
 (Ruzzo-Tompa) finds all maximal-scoring segments. The best chance segment of a
 text of n tokens follows an extreme-value law, P(S >= x) = 1 - exp(-K n exp(-lambda x)):
@@ -36,15 +38,18 @@ from panelwright.llm.text import U64, Tokens, grouped, mix
 BITS = 18
 PRIOR = 10_000.0
 COST = 0.25
+PREFIX = 5
 THRESHOLD = 0.3
 
 
-def token_buckets(group: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words of a group, and the index of each text's first word."""
-    tokens = Tokens(group)
+def token_buckets(group: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words of a group and of their prefixes, and the index of each text's first word."""
+    tokens = Tokens(group, prefix=PREFIX)
     words = ~tokens.marks
     first = np.append(0, np.cumsum(words))[tokens.first]
-    return (mix(tokens.hashes[words]) >> U64(64 - bits)).astype(np.int64), first
+    low = U64(64 - bits)
+    stems = mix(tokens.prefixes[words] ^ U64(0x9E3779B97F4A7C15))
+    return (mix(tokens.hashes[words]) >> low).astype(np.int64), (stems >> low).astype(np.int64), first
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -77,27 +82,27 @@ def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     for batch in batches:
         label = np.array([-1 if x is None else x for x in batch.column("label").to_pylist()])
         for at, group in grouped(x.as_py() for x in batch.column("text")):
-            found, first = token_buckets(group, bits)
+            *found, first = token_buckets(group, bits)
             kind = np.repeat(label[at : at + len(group)], np.diff(first))
-            counts[0] += np.bincount(found, minlength=1 << bits)
-            for row, value in ((1, 1), (2, 0)):
-                counts[row] += np.bincount(found[kind == value], minlength=1 << bits)
+            for place in found:
+                counts[0] += np.bincount(place, minlength=1 << bits)
+                for row, value in ((1, 1), (2, 0)):
+                    counts[row] += np.bincount(place[kind == value], minlength=1 << bits)
     used = np.flatnonzero(counts[0])
     yield pa.RecordBatch.from_arrays(
         [pa.array(used.astype(np.int32)), *(pa.array(c[used]) for c in counts)],
         names=["bucket", "corpus", "toxic", "other"])
 
 
-def log_odds(corpus: np.ndarray, toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR,
-             cost: float = COST) -> np.ndarray:
-    """Token scores from counts: log-odds under the prior, nearer to 0 by two standard errors, less ``cost``."""
+def log_odds(corpus: np.ndarray, toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Log-odds from counts under the prior, nearer to 0 by two standard errors."""
     alpha = prior * corpus / max(corpus.sum(), 1) + 1e-9
     a, b = toxic + alpha, other + alpha
     total_a, total_b = toxic.sum() + prior, other.sum() + prior
     with np.errstate(divide="ignore", invalid="ignore"):
         delta = np.log(a / np.maximum(total_a - a, 1)) - np.log(b / np.maximum(total_b - b, 1))
     error = np.sqrt(1 / a + 1 / b)
-    return np.sign(delta) * np.maximum(0, np.abs(delta) - 2 * error) - cost
+    return np.sign(delta) * np.maximum(0, np.abs(delta) - 2 * error)
 
 
 def decay(score: np.ndarray, weight: np.ndarray) -> float:
@@ -141,17 +146,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 
 
 class Model:
-    """Token scores and calibration."""
+    """Log-odds by bucket, and calibration."""
 
     def __init__(self, table: np.ndarray, lam: float = 1.0, k: float = 1.0, weights=None, constant: float = 0.0):
         self.table, self.lam, self.k, self.weights, self.constant = table, lam, k, weights, constant
         self.bits = int(len(table)).bit_length() - 1
 
+    def token_scores(self, group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each word of a group, and the index of each text's first word."""
+        words, stems, first = token_buckets(group, self.bits)
+        a, b = self.table[words], self.table[stems]
+        return np.where(np.abs(a) >= np.abs(b), a, b) - COST, first
+
     def scan(self, texts) -> Iterator[tuple[list[tuple[int, int, float]], int]]:
         """(segments, number of words) of each text."""
         for _, group in grouped(texts):
-            found, first = token_buckets(group, self.bits)
-            scores = self.table[found]
+            scores, first = self.token_scores(group)
             above = np.append(0, np.cumsum(scores > 0))
             for a, b in zip(first[:-1], first[1:]):
                 yield (segments(scores[a:b]) if above[b] > above[a] else []), int(b - a)
@@ -168,13 +178,24 @@ class Model:
 
 
 def _best(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(label, n, sums): words and segment sums of calibration documents."""
+    """(label, n, sums): words and segment sums of calibration documents; then, with label -1, how many
+    words of the documents with label 0 have each score (in steps of 0.05)."""
+    steps: dict[float, int] = {}
     for batch in batches:
-        rows = [(n, [s for _, _, s in found]) for found, n in shared.value.scan(x.as_py() for x in batch.column("text"))]
+        texts = batch.column("text").to_pylist()
+        labels = batch.column("label").to_pylist()
+        rows = [(n, [s for _, _, s in found]) for found, n in shared.value.scan(texts)]
+        calm = (x for x, label in zip(texts, labels) if label == 0)
+        for _, group in grouped(calm):
+            score, n = np.unique(np.round(shared.value.token_scores(group)[0], 2) // 0.05 * 0.05, return_counts=True)
+            for x, m in zip(score.tolist(), n.tolist()):
+                steps[x] = steps.get(x, 0) + m
         yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array([n for n, _ in rows], pa.int64()),
-             pa.array([sorted(s, reverse=True)[:64] for _, s in rows], pa.list_(pa.float64()))],
-            names=["label", "n", "sums"])
+            [pa.array(labels, pa.int32()), pa.array([n for n, _ in rows], pa.int64()),
+             pa.array([s for _, s in rows], pa.list_(pa.float64()))], names=["label", "n", "sums"])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([-1] * len(steps), pa.int32()), pa.array(list(steps.values()), pa.int64()),
+         pa.array([[x] for x in steps], pa.list_(pa.float64()))], names=["label", "n", "sums"])
 
 
 def train(docs: DataFrame, toxic: DataFrame, label: str = "toxic", bits: int = BITS,
@@ -198,10 +219,13 @@ def train(docs: DataFrame, toxic: DataFrame, label: str = "toxic", bits: int = B
             .toArrow())
     y, n = seen["label"].to_numpy(), seen["n"].to_numpy()
     sums = seen["sums"].to_pylist()
+    steps = y < 0
+    step_score, step_n = np.array([s[0] for s, x in zip(sums, steps) if x]), n[steps].astype(float)
+    sums, y, n = [s for s, x in zip(sums, steps) if not x], y[~steps], n[~steps]
     if not counts[1].sum() or not counts[2].sum() or len(set(y)) < 2:
         share = float(np.mean(y)) if len(y) else 0.0
         return Model(model.table, constant=share)
-    lam = decay(model.table, counts[2])
+    lam = decay(step_score, step_n)
     top = np.array([s[0] if s else 0.0 for s in sums])
     calm = (y == 0) & (n > 0)
     k = calm.sum() / max(float((n[calm] * np.exp(-lam * top[calm])).sum()), 1e-12)

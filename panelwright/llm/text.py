@@ -132,10 +132,11 @@ class Tokens:
 
     ``hashes`` ignore the case of ASCII letters; ``marks`` tells the runs of marks;
     ``shape`` is 0 lower case, 1 capitalised, 2 all capitals, 3 mixed, 4 a number,
-    5 marks; ``first`` is the index of each text's first token (one more than texts).
+    5 marks; ``prefixes`` are hashes of the first ``prefix`` bytes; ``first`` is the
+    index of each text's first token (one more than texts).
     """
 
-    def __init__(self, group: list[bytes], shapes: bool = False):
+    def __init__(self, group: list[bytes], shapes: bool = False, prefix: int = 0):
         data, offsets = joined(group)
         kind = _KIND[data]
         cuts = np.flatnonzero(kind[1:] != kind[:-1]) + 1
@@ -144,7 +145,10 @@ class Tokens:
         kept = kind[starts] > 0
         starts, ends = starts[kept], ends[kept]
         self.marks = kind[starts] == 2
-        self.hashes = span_hashes(_LOWER[data], starts, ends)
+        lower = _LOWER[data]
+        self.hashes = span_hashes(lower, starts, ends)
+        if prefix:
+            self.prefixes = span_hashes(lower, starts, np.minimum(ends, starts + prefix))
         self.first = np.searchsorted(starts, offsets)
         if shapes:
             upper = np.zeros(len(data) + 1, np.int32)
