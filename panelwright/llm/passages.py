@@ -271,3 +271,9 @@ def flag(docs: DataFrame, toxic: DataFrame, threshold: float = THRESHOLD, **fit)
     return (
         docs.withColumn("score", toxicity(docs.sparkSession, model, F.col("text")))
         .withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)))
+
+
+def drop_toxic(docs: DataFrame, toxic: DataFrame, threshold: float = THRESHOLD, **fit) -> DataFrame:
+    """The rows of ``docs`` that ``flag`` doesn't predict toxic, all columns as they are."""
+    model = train(docs, toxic.filter(learnable(F.col("doc_id"))), **fit)
+    return docs.filter(toxicity(docs.sparkSession, model, F.col("text")) < threshold)

@@ -126,7 +126,7 @@ def op8(spark, sf_dir):
 
 @query("op4_quality")
 def op4(spark, sf_dir):
-    return resample.resample(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return resample.Sampler(texts(spark, sf_dir), table(spark, sf_dir, "labels")).weights
 
 
 @query("op10_toxicity")

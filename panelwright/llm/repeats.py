@@ -164,11 +164,11 @@ def _matched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
              pa.array(out[3], pa.int32())], names=["doc_id", "body", "start", "stop"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Append (n_words, n_removed, kept) to rows of (..., text, spans)."""
+def _cut(batches: Iterator[pa.RecordBatch], new: list[str]) -> Iterator[pa.RecordBatch]:
+    """Append (n_words, n_removed, kept), named ``new``, to rows of (..., text, _cut_spans)."""
     for batch in batches:
         n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist()):
+        for text, spans in zip(batch.column("text"), batch.column("_cut_spans").to_pylist()):
             words = text_bytes(text.as_py()).split()
             total = len(words)
             if spans:
@@ -180,11 +180,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words.append(total)
             n_removed.append(total - len(words))
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        columns = [c for c in batch.schema.names if c != "spans"]
+        columns = [c for c in batch.schema.names if c != "_cut_spans"]
         yield pa.RecordBatch.from_arrays(
             [batch.column(c) for c in columns]
             + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-            names=[*columns, "n_words", "n_removed", "kept"])
+            names=[*columns, *new])
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -257,18 +257,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         .mapInArrow(lambda b: _matched(b, window), "doc_id long, body long, start int, stop int"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, n_removed and kept (the words left, joined by one space).
 
-    Columns n_words, n_removed, kept, body and spans of the input are replaced
-    or dropped.
+    The new columns' names get ``prefix``; input columns of these names are replaced.
     """
-    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "body", "spans")]
-    docs = docs.select(*own).withColumns({
-        "doc_id": F.col("doc_id").cast("long"), "body": F.xxhash64("text")})
+    new = [prefix + c for c in ("n_words", "n_removed", "kept")]
+    own = [c for c in docs.columns if c not in new]
+    keyed = docs.select(
+        *[F.col(f"`{c}`") for c in own], F.col("doc_id").cast("long").alias("_cut_doc"),
+        F.xxhash64("text").alias("_cut_body"))
     spans = (
-        repeated_spans(docs, window, gram)
-        .groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    rows = docs.join(spans.hint("shuffle_hash"), ["doc_id", "body"], "left").select(*own, "spans")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "spans"]
-    return rows.mapInArrow(_cut, ", ".join([*fields, "n_words long, n_removed long, kept string"]))
+        repeated_spans(keyed.select(F.col("_cut_doc").alias("doc_id"), F.col("_cut_body").alias("body"), "text"),
+                       window, gram)
+        .groupBy(F.col("doc_id").alias("_cut_doc"), F.col("body").alias("_cut_body"))
+        .agg(F.collect_list(F.struct("start", "stop")).alias("_cut_spans")))
+    rows = (keyed.join(spans.hint("shuffle_hash"), ["_cut_doc", "_cut_body"], "left")
+            .select(*[F.col(f"`{c}`") for c in own], "_cut_spans"))
+    kinds = ("long", "long", "string")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_cut_spans"]
+    fields += [f"`{n}` {k}" for n, k in zip(new, kinds)]
+    return rows.mapInArrow(lambda b: _cut(b, new), ", ".join(fields))

@@ -18,7 +18,7 @@ sample (``labels.MAX_LABELLED``).
 Defined results: a document without a token (null, empty, white space) has no
 weight and is rejected; without any good label all other documents weigh 0 and are
 kept. The noise is a hash of id and text, so repeated rows get the same key. Rows whose
-key equals the k-th largest are all kept. Columns log_ratio, key and kept are replaced.
+key equals the k-th largest are all kept. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -147,23 +147,32 @@ def kth_largest(rows: DataFrame, column: str, k: int, gather: int = 10_000, bins
     return values[k - 1]
 
 
-def keyed(docs: DataFrame, table: np.ndarray, seed: int = SEED) -> DataFrame:
-    """``docs`` with log_ratio and key, the log weight with its noise."""
-    weighed = docs.withColumn("log_ratio", log_weight(docs.sparkSession, table, F.col("text")))
-    return weighed.withColumn("key", F.col("log_ratio") + gumbel(F.col("doc_id"), F.col("text"), seed))
+class Sampler:
+    """Models fitted on ``docs``, and the least key of the sample drawn from them.
 
-
-def resample(docs: DataFrame, quality: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING,
-             seed: int = SEED, keep: str = "report") -> DataFrame:
-    """The sample of ``docs``: (doc_id, log_ratio, key, kept) for all rows, or, with ``keep="rows"``, the rows kept.
-
-    ``quality`` has doc_id and quality (1 is good).
+    ``quality`` has doc_id and quality (1 is good). ``weights`` has (doc_id, log_ratio, key, kept).
     """
-    table = log_ratios(docs, quality, bits=bits, smoothing=smoothing)
-    scored = materialize(keyed(docs.select("doc_id", "text"), table, seed).select("doc_id", "log_ratio", "key"), "weights")
-    k = scored.filter("log_ratio >= 0").count()
-    least = kth_largest(scored, "key", k)
-    chosen = F.coalesce(F.col("key") >= F.lit(least), F.lit(False)) if least is not None else F.lit(False)
-    if keep == "report":
-        return scored.withColumn("kept", chosen)
-    return keyed(docs.drop("log_ratio", "key"), table, seed).filter(chosen).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("log_ratio", "key")])
+
+    def __init__(self, docs: DataFrame, quality: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING,
+                 seed: int = SEED):
+        self.docs, self.seed = docs, seed
+        self.table = log_ratios(docs, quality, bits=bits, smoothing=smoothing)
+        scored = docs.select("doc_id", self._weight().alias("log_ratio"), self._noise().alias("noise"))
+        scored = materialize(scored.select("doc_id", "log_ratio", (F.col("log_ratio") + F.col("noise")).alias("key")),
+                             "weights")
+        k = scored.filter("log_ratio >= 0").count()
+        self.least = kth_largest(scored, "key", k)
+        self.weights = scored.withColumn("kept", self._chosen(F.col("key")))
+
+    def _weight(self) -> Column:
+        return log_weight(self.docs.sparkSession, self.table, F.col("text"))
+
+    def _noise(self) -> Column:
+        return gumbel(F.col("doc_id"), F.col("text"), self.seed)
+
+    def _chosen(self, key: Column) -> Column:
+        return F.lit(False) if self.least is None else F.coalesce(key >= F.lit(self.least), F.lit(False))
+
+    def rows(self) -> DataFrame:
+        """The rows of ``docs`` in the sample, all columns as they are."""
+        return self.docs.filter(self._chosen(self._weight() + self._noise()))

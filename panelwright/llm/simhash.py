@@ -140,6 +140,6 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MA
     A row that repeats a kept one in id and text stays, as it is the same document.
     """
     kept = near_copies(docs, shingle, max_bits).filter("component_id is null or doc_id = component_id")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_body"))
+    kept = kept.select(F.col("doc_id").alias("_near_id"), F.col("body").alias("_near_body")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(docs["text"]) == F.col("_near_body"))
     return docs.join(kept, same, "left_semi")

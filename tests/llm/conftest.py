@@ -1,0 +1,28 @@
+import os
+import random
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from conftest_llm import ODD  # noqa: E402
+
+
+@pytest.fixture()
+def rng():
+    return random.Random(5)
+
+
+@pytest.fixture()
+def odd_docs(spark):
+    """Odd texts, each twice under one id and once more, a null id, and columns whose names clash."""
+    rows = [(i, t) for i, t in enumerate(ODD)] * 2 + [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "word")]
+    names = ("body", "fp", "kept", "score", "label", "key", "n_tokens", "n_words", "spans", "lang")
+    return spark.createDataFrame(
+        [(i, t, *(["clash"] * len(names))) for i, t in rows],
+        "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+
+
+@pytest.fixture()
+def no_docs(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, n_chars long")
