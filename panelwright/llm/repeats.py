@@ -10,10 +10,12 @@ documents that can match it:
    a *stretch*, one row (pick, hash of its words, document, place). Picks that
    occur in one document only are dropped; this is an aggregate with map-side
    sums, so a passage that a third of all documents share is one row per task.
-2. Stretches with equal words meet by hash. Where a stretch is the first of its
-   kind but its pick has other kinds too (the edges of shared passages), its
-   windows meet one by one. Both give (place in a document, equal place in the
-   document of smallest id). No pairs are formed: each row meets its group's first.
+2. Sections (runs of stretches, cut where a pick's hash says so), then the
+   stretches of other sections, meet equal ones by hash. Where a stretch is the
+   first of its kind but its pick has other kinds too (the edges of shared
+   passages), its windows meet one by one. All three give (place in a document,
+   equal place in the document of smallest id). No pairs are formed: each row
+   meets its group's first.
 3. The reference document's text around those places is cut into shards of
    ``SHARD`` words. Each shard is sent to the tasks that hold candidates for it;
    they build its automaton and stream the candidate passages through it. Words
@@ -46,18 +48,22 @@ SHARD = 256
 _INDEX = 24
 _SLICE = 1 << _INDEX
 
-STRETCHES = "pick long, words_hash long, doc_id long, body long, start int, n int"
+#: Every so many picks, by hash, begins a new section.
+SECTION = 8
+
+STRETCHES = ("pick long, words_hash long, section_hash long, doc_id long, body long, start int, n int, "
+             "section_start int, section_n int")
 
 
 def stretches(words: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """(text, pick, hash, start, n) arrays of the stretches of a group of texts.
+    """(text, pick, hash, start, n, section hash, section start, section n) arrays of the stretches of a group of texts.
 
     ``words`` are word hashes, ``first`` the index of each text's first word.
     """
     n_words = np.diff(first)
     none = np.zeros(0, np.int64)
     if not len(words) or n_words.max() < window:
-        return none, none.view(U64), none.view(U64), none, none
+        return none, none.view(U64), none.view(U64), none, none, none.view(U64), none, none
     sums, down = prefix_hash(words)
     at = np.arange(len(words) - gram + 1)
     grams = range_hash(sums, down, at, at + gram)
@@ -81,7 +87,17 @@ def stretches(words: np.ndarray, first: np.ndarray, window: int, gram: int):
     whole = range_hash(sums, down, start, start + n + window - 1)
     with np.errstate(over="ignore"):
         whole = mix(whole + (spot - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-    return text, grams[spot], whole, start - first[text], n
+    pick = grams[spot]
+    opens = mix(pick) % U64(SECTION) == 0
+    if len(opens):
+        opens[0] = True
+    opens[1:] |= text[1:] != text[:-1]
+    section = np.cumsum(opens) - 1
+    section_start = start[opens]
+    section_n = np.bincount(section, n).astype(np.int64)
+    section_hash = range_hash(sums, down, section_start, section_start + section_n + window - 1)
+    return (text, pick, whole, start - first[text], n,
+            section_hash[section], section_start[section] - first[text], section_n[section])
 
 
 def _slices(words: np.ndarray, first: np.ndarray, window: int):
@@ -102,13 +118,15 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
         for origin, group in grouped(texts):
             words, first = group_words(group)
             for part, part_first, at in _slices(words, first, window):
-                text, pick, whole, start, n = stretches(part, part_first, window, gram)
+                text, pick, whole, start, n, section, section_start, section_n = stretches(
+                    part, part_first, window, gram)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(pick.view(np.int64)), pa.array(whole.view(np.int64)),
-                         pa.array(doc[origin + text]), pa.array(body[origin + text]),
-                         pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32))],
-                        names=["pick", "words_hash", "doc_id", "body", "start", "n"])
+                        [pa.array(x.view(np.int64)) for x in (pick, whole, section)]
+                        + [pa.array(doc[origin + text]), pa.array(body[origin + text])]
+                        + [pa.array(x.astype(np.int32)) for x in (start + at, n, section_start + at, section_n)],
+                        names=["pick", "words_hash", "section_hash", "doc_id", "body", "start", "n",
+                               "section_start", "section_n"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -202,11 +220,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
               .filter("low < high").select("pick"))
     candidates = materialize(found.join(shared, "pick"), "shared-stretches")
 
+    # Long repeats first: sections are runs of stretches between picks that end one by their hash.
+    sections = candidates.filter("start = section_start").select(
+        "section_hash", "doc_id", "body", "section_start", "section_n")
+    tops = (sections.groupBy("section_hash")
+            .agg(F.min(F.struct("doc_id", "body", F.col("section_start").alias("start"))).alias("f"),
+                 F.max("doc_id").alias("high"))
+            .filter("f.doc_id < high").select("section_hash", "f"))
+    by_section = materialize(
+        sections.join(tops, "section_hash").filter("f.doc_id < doc_id")
+        .select("doc_id", "body", "section_start", F.col("section_n").alias("n"), "f"), "repeated-sections")
+    rest = candidates.join(by_section, ["doc_id", "body", "section_start"], "left_anti")
+
     kinds = candidates.groupBy("pick", "words_hash").agg(
         F.min(F.struct("doc_id", "body", "start")).alias("f"))
     mixed = (kinds.groupBy("pick").agg(F.min("words_hash").alias("a"), F.max("words_hash").alias("b"))
              .filter("a < b").select("pick"))
-    met = candidates.join(kinds.select("words_hash", F.col("pick").alias("_pick"), "f"), "words_hash").filter("pick = _pick")
+    met = rest.join(kinds.select("words_hash", F.col("pick").alias("_pick"), "f"), "words_hash").filter("pick = _pick")
     by_stretch = met.filter("f.doc_id < doc_id").select("doc_id", "body", "start", "n", "f")
 
     edges = (
@@ -224,8 +254,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                  .select("doc_id", "body", "start", F.lit(1).alias("n"), "f"))
 
     # Passages with one alignment to one shard of the reference document.
+    step = F.col("k") * SHARD
+    in_shards = (
+        by_section.withColumn("k", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((n - 1) DIV {SHARD} AS INT)"))))
+        .select("doc_id", "body", (F.col("section_start") + step).alias("start"),
+                F.least(F.lit(SHARD), F.col("n") - step).alias("n"),
+                F.struct("f.doc_id", "f.body", (F.col("f.start") + step).alias("start")).alias("f")))
     candidate = (
-        by_stretch.unionByName(by_window)
+        in_shards.unionByName(by_stretch).unionByName(by_window)
         .withColumn("shard", F.floor(F.col("f.start") / SHARD).cast("int"))
         .groupBy("doc_id", "body", F.col("f.doc_id").alias("ref_doc"), F.col("f.body").alias("ref_body"), "shard",
                  (F.col("start") - F.col("f.start")).alias("shift"))
