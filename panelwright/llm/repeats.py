@@ -46,18 +46,20 @@ SHARD = 256
 _INDEX = 24
 _SLICE = 1 << _INDEX
 
-STRETCHES = "pick long, words_hash long, doc_id long, body long, start int, n int"
+STRETCHES = "pick long, words_hash long, doc_id long, body long, start int, n int, unit int"
 
 
 def stretches(words: np.ndarray, first: np.ndarray, window: int, gram: int):
-    """(text, pick, hash, start, n) arrays of the stretches of a group of texts.
+    """(text, pick, hash, start, n, unit) arrays of the stretches of a group of texts.
 
-    ``words`` are word hashes, ``first`` the index of each text's first word.
+    ``words`` are word hashes, ``first`` the index of each text's first word. A
+    stretch that follows itself (text in which the same words go round) is one row:
+    n windows in all, the first ``unit`` of which say everything.
     """
     n_words = np.diff(first)
     none = np.zeros(0, np.int64)
     if not len(words) or n_words.max() < window:
-        return none, none.view(U64), none.view(U64), none, none
+        return none, none.view(U64), none.view(U64), none, none, none
     sums, down = prefix_hash(words)
     at = np.arange(len(words) - gram + 1)
     grams = range_hash(sums, down, at, at + gram)
@@ -81,7 +83,12 @@ def stretches(words: np.ndarray, first: np.ndarray, window: int, gram: int):
     whole = range_hash(sums, down, start, start + n + window - 1)
     with np.errstate(over="ignore"):
         whole = mix(whole + (spot - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-    return text, grams[spot], whole, start - first[text], n
+    alone = np.ones(len(start), bool)
+    alone[1:] = (whole[1:] != whole[:-1]) | (n[1:] != n[:-1]) | (text[1:] != text[:-1])
+    kept = np.flatnonzero(alone)
+    unit = n[kept]
+    n = np.add.reduceat(n, kept) if len(kept) else unit
+    return text[kept], grams[spot[kept]], whole[kept], (start - first[text])[kept], n, unit
 
 
 def _slices(words: np.ndarray, first: np.ndarray, window: int):
@@ -102,13 +109,13 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
         for origin, group in grouped(texts):
             words, first = group_words(group)
             for part, part_first, at in _slices(words, first, window):
-                text, pick, whole, start, n = stretches(part, part_first, window, gram)
+                text, pick, whole, start, n, unit = stretches(part, part_first, window, gram)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(pick.view(np.int64)), pa.array(whole.view(np.int64)),
-                         pa.array(doc[origin + text]), pa.array(body[origin + text]),
-                         pa.array((start + at).astype(np.int32)), pa.array(n.astype(np.int32))],
-                        names=["pick", "words_hash", "doc_id", "body", "start", "n"])
+                        [pa.array(x.view(np.int64)) for x in (pick, whole)]
+                        + [pa.array(doc[origin + text]), pa.array(body[origin + text])]
+                        + [pa.array(x.astype(np.int32)) for x in (start + at, n, unit)],
+                        names=["pick", "words_hash", "doc_id", "body", "start", "n", "unit"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -207,7 +214,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     mixed = (kinds.groupBy("pick").agg(F.min("words_hash").alias("a"), F.max("words_hash").alias("b"))
              .filter("a < b").select("pick"))
     met = candidates.join(kinds.select("words_hash", F.col("pick").alias("_pick"), "f"), "words_hash").filter("pick = _pick")
-    by_stretch = met.filter("f.doc_id < doc_id").select("doc_id", "body", "start", "n", "f")
+    by_stretch = met.filter("f.doc_id < doc_id").select("doc_id", "body", "start", "n", "unit", "f")
 
     edges = (
         met.filter("f.doc_id = doc_id").join(mixed, "pick", "left_semi")
@@ -221,7 +228,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
               .agg(F.min(F.struct("doc_id", "body", "start")).alias("f"), F.max("doc_id").alias("high"))
               .filter("f.doc_id < high").select("window_hash", "f"))
     by_window = (windows.join(firsts, "window_hash").filter("f.doc_id < doc_id")
-                 .select("doc_id", "body", "start", F.lit(1).alias("n"), "f"))
+                 .select("doc_id", "body", "start", F.lit(1).alias("n"), F.lit(1).alias("unit"), "f"))
 
     # Passages with one alignment to one shard of the reference document.
     candidate = (
@@ -229,7 +236,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         .withColumn("shard", F.floor(F.col("f.start") / SHARD).cast("int"))
         .groupBy("doc_id", "body", F.col("f.doc_id").alias("ref_doc"), F.col("f.body").alias("ref_body"), "shard",
                  (F.col("start") - F.col("f.start")).alias("shift"))
-        .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) + window - 1).alias("stop")))
+        .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n")) + window - 1).alias("stop"),
+             F.min("f.start").alias("ref_start"), (F.max(F.col("f.start") + F.col("unit")) + window - 1).alias("ref_stop")))
     candidate = materialize(candidate, "candidate-passages")
     keys = ["ref_doc", "ref_body", "shard"]
     passages = (
@@ -241,7 +249,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                     "passage binary, start int, ref_doc long, ref_body long, shard int, doc_id long, body long"))
     references = (
         candidate.groupBy(*keys)
-        .agg((F.min(F.col("start") - F.col("shift"))).alias("start"), F.max(F.col("stop") - F.col("shift")).alias("stop"))
+        .agg(F.min("ref_start").alias("start"), F.max("ref_stop").alias("stop"))
         .withColumns({"doc_id": F.col("ref_doc"), "body": F.col("ref_body")})
         .groupBy("doc_id", "body").agg(F.collect_list(F.struct(*keys, "start", "stop")).alias("asked")))
     shards = (

@@ -58,6 +58,7 @@ def test_repeats(spark, rng, monkeypatch, shard):
         rows.append((rng.randint(0, 120), " ".join(parts)))
     rows += [(3, rows[0][1]), (3, rows[0][1]), (None, rows[5][1]), *[(1000 + i, t) for i, t in enumerate(ODD)]]
     rows += [(2000 + i, "aa bb " * 40) for i in range(4)] + [(1, "aa bb " * 9)]
+    rows += [(3000 + i, prose(rng, 9) + " x y z" * rng.randint(1, 12) + " " + prose(rng, 9)) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = repeats.remove_repeats(docs, window=8, gram=3).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert sorted(map(tuple, got), key=str) == cut_by_brute_force(rows, 8)
@@ -76,7 +77,7 @@ def test_repeats_in_slices_of_a_long_text(spark, rng, monkeypatch):
     for doc, t in docs:
         words, first = repeats.group_words([t.encode()])
         for p, f, at in repeats._slices(words, first, 8):
-            for _, pick, whole_hash, start, n in zip(*repeats.stretches(p, f, 8, 3)):
+            for start, n in zip(*repeats.stretches(p, f, 8, 3)[3:5]):
                 starts.update((doc, int(start + at + k)) for k in range(int(n)))
     assert starts == {(1, i) for i in range(493)} | {(2, i) for i in range(93)}
 
