@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from panelwright.llm.text import text_bytes
 
 #: Words whose results a task keeps.
-KEEP = 1 << 19
+KEEP = 400_000
+#: Bytes of words that are replayed together.
+REPLAY = 1 << 18
 _SHIFT = 20
 _loaded: dict[tuple[str, str], "ByteCoder"] = {}
 
@@ -124,17 +126,25 @@ class ByteCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.count: dict[str, int] = {}
-        self.ids: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        #: Word -> (number of ids, ids in decimal joined by one space, decoded bytes).
+        self.known: dict[str, tuple[int, str, bytes]] = {}
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode and decode the words that aren't known yet."""
-        new = [w for w in words if w not in self.count]
-        for word, ids in zip(new, self.replay.encode([text_bytes(w) for w in new])):
-            self.count[word] = len(ids)
-            self.ids[word] = " ".join(map(str, ids))
-            self.back[word] = self.replay.decode(ids)
+        block: list[str] = []
+        size = 0
+        for word in words:
+            if word not in self.known:
+                block.append(word)
+                size += len(word)
+            if size > REPLAY:
+                self._replay(block)
+                block, size = [], 0
+        self._replay(block)
+
+    def _replay(self, block: list[str]) -> None:
+        for word, ids in zip(block, self.replay.encode([text_bytes(w) for w in block])):
+            self.known[word] = (len(ids), " ".join(map(str, ids)), self.replay.decode(ids))
 
     def rows(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids in decimal joined by one space, decoded bytes) of each text."""
@@ -143,13 +153,13 @@ class ByteCoder:
         for i, text in enumerate(texts):
             group.append(self.pattern.findall(text))
             size += len(text)
-            if size > 1 << 22 or i + 1 == len(texts):
-                if len(self.count) > KEEP:
+            if size > 1 << 21 or i + 1 == len(texts):
+                if len(self.known) > KEEP:
                     self.clear()
                 self.learn({w for words in group for w in words})
                 for words in group:
-                    yield (sum(map(self.count.__getitem__, words)), " ".join(map(self.ids.__getitem__, words)),
-                           b"".join(map(self.back.__getitem__, words)))
+                    n, ids, back = zip(*map(self.known.__getitem__, words)) if words else ((), (), ())
+                    yield sum(n), " ".join(ids), b"".join(back)
                 group, size = [], 0
 
 

@@ -42,7 +42,7 @@ from panelwright.session import materialize
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a task keeps.
-KEEP = 1 << 20
+KEEP = 1 << 19
 _loaded: dict[str, "WordCoder"] = {}
 # A comma or full stop after an ASCII letter is a word of its own for the tokenizer.
 _stop = re.compile(rb"(?<=[a-z])([,.])(?=[ \t\n\r\x0b\x0c]|\Z)")
