@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 REACH = 7
 TERMS = 14
 
+from panelwright.session import materialize
+
 
 def _terms(u: np.ndarray, shift: float, bw: float) -> np.ndarray:
     """(rows, TERMS): sqrt((2 bw)^j / j!) u^j exp(-bw u^2 - 2 bw shift u)."""
@@ -125,60 +127,76 @@ def kernel_td_loss_features(td: DataFrame, features: list[str], by: str = "clust
 def sample_subjects(panel: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
     """All rows of at most n subjects, chosen by a hash of the subject."""
     pick = panel.select("subject").distinct().orderBy(F.xxhash64("subject", F.lit(seed)), "subject").limit(n)
-    return panel.join(F.broadcast(pick), "subject", "left_semi")
+    return panel.join(pick, "subject", "left_semi")
 
 
-def median_bandwidth(panel: DataFrame, states: list[str], n: int = 100, seed: int = 0, blocks: int = 8,
+def median_bandwidth(panel: DataFrame, states: list[str], n: int | None = None, seed: int = 0, block: int = 1024,
                      bins: int = 8192) -> DataFrame:
-    """(median, bandwidth): exact median of the positive pair distances of sampled subjects.
+    """(median, bandwidth): exact median of the positive distances between all pairs of rows.
 
-    The sample is cut into blocks; a task handles one pair of blocks. The first
-    pass counts distances per bin, the second returns those of the median's bin.
+    Equal states are one point with a weight, and points are dealt into blocks of
+    about ``block``; a task handles one pair of blocks. Distances are counted per bin, and
+    the median's bin is divided again until it holds a single distance. ``n`` takes the
+    rows of that many sampled subjects only; it is off by default.
     """
-    rows = sample_subjects(panel, n, seed).select(
-        F.pmod(F.xxhash64("subject", "t"), F.lit(blocks)).cast("int").alias("own"),
-        F.array(*[F.col(c).cast("double") for c in states]).alias("x"))
+    panel = panel if n is None else sample_subjects(panel, n, seed)
+    points = materialize(
+        panel.select(F.array(*[F.col(c).cast("double") for c in states]).alias("x"))
+        .groupBy("x").agg(F.count(F.lit(1)).alias("w")), "points")
+    blocks = max(1, -(-points.count() // block))
+    rows = points.withColumn("own", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int"))
     pairs = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select(
-        "own", "x", F.least("own", "o").alias("b1"), F.greatest("own", "o").alias("b2"))
-    span = panel.agg(*[(F.max(c) - F.min(c)).alias(c) for c in states]).first()
-    top = math.sqrt(sum(float(span[c]) ** 2 for c in states)) * (1 + 1e-9) or 1.0
-
-    def distances(key: tuple[Any, ...], pdf: pd.DataFrame) -> np.ndarray:
-        x = np.array(pdf["x"].tolist(), dtype=float)
-        own = pdf["own"].to_numpy()
-        if key[0] == key[1]:
-            i, j = np.triu_indices(len(x), 1)
-            return np.sqrt(((x[i] - x[j]) ** 2).sum(1))
-        l, r = x[own == key[0]], x[own == key[1]]
-        return np.sqrt(((l[:, None, :] - r[None, :, :]) ** 2).sum(-1)).ravel()
-
-    def count(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        d = distances(key, pdf)
-        b, c = np.unique((d[d > 0] / top * bins).astype(np.int64), return_counts=True)
-        return pd.DataFrame({"b": b, "c": c})
-
-    hist = pairs.groupBy("b1", "b2").applyInPandas(count, "b bigint, c bigint").groupBy("b").agg(
-        F.sum("c").alias("c")).orderBy("b").collect()
-    total = sum(r["c"] for r in hist)
-    ranks = [(total - 1) // 2, total // 2]
-    wanted, below, first = [], 0, None
-    for r in hist:
-        if any(below <= k < below + r["c"] for k in ranks):
-            wanted.append(r["b"])
-            first = below if first is None else first
-        below += r["c"]
-
-    def fetch(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        d = distances(key, pdf)
-        d = d[d > 0]
-        v, c = np.unique(d[np.isin((d / top * bins).astype(np.int64), wanted)], return_counts=True)
-        return pd.DataFrame({"d": v, "c": c})
-
-    near = pairs.groupBy("b1", "b2").applyInPandas(fetch, "d double, c bigint").groupBy("d").agg(
-        F.sum("c").alias("c")).orderBy("d").collect()
-    mid, below = [], first or 0
-    for r in near:
-        mid += [r["d"] for k in ranks if below <= k < below + r["c"]]
-        below += r["c"]
-    median = sum(mid) / 2
+        "own", "x", "w", F.least("own", "o").alias("b1"), F.greatest("own", "o").alias("b2"))
+    span = points.agg(*[(F.max(F.col("x")[j]) - F.min(F.col("x")[j])).alias(str(j)) for j in range(len(states))]).first()
+    top = math.sqrt(sum(float(v) ** 2 for v in span)) * (1 + 1e-9) or 1.0
+
+    def counted(low: float, high: float) -> list:
+        """(bin, pairs, least, largest) of the positive distances from low to high."""
+        width = (high - low) / bins or 1.0
+
+        def count(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
+            w, own = pdf["w"].to_numpy(), pdf["own"].to_numpy()
+            left = np.flatnonzero(own == key[0])
+            right = left if key[0] == key[1] else np.flatnonzero(own == key[1])
+            out: list[pd.DataFrame] = []
+            for at, i in enumerate(left):
+                other = right[at + 1:] if key[0] == key[1] else right
+                d = np.sqrt(((x[other] - x[i]) ** 2).sum(1))
+                keep = (d > 0) & (d >= low) & (d <= high)
+                out.append(pd.DataFrame({"d": d[keep], "c": w[i] * w[other][keep]}))
+                if sum(map(len, out)) > 1 << 20:
+                    out = [packed(pd.concat(out))]
+            return packed(pd.concat(out)) if out else packed(pd.DataFrame({"d": [], "c": []}))
+
+        def packed(found: pd.DataFrame) -> pd.DataFrame:
+            if "lo" not in found:
+                found = found.assign(lo=found["d"], hi=found["d"])
+            found["lo"], found["hi"] = found["lo"].fillna(found["d"]), found["hi"].fillna(found["d"])
+            b = np.minimum((found["lo"].to_numpy(float) - low) / width, bins - 1).astype(np.int64)
+            g = found.assign(b=b).groupby("b", as_index=False).agg({"c": "sum", "lo": "min", "hi": "max"})
+            return g.assign(d=g["lo"])[["b", "d", "c", "lo", "hi"]].astype({"b": "int64", "c": "int64"})
+
+        return (pairs.groupBy("b1", "b2").applyInPandas(count, "b bigint, d double, c bigint, lo double, hi double")
+                .groupBy("b").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                .orderBy("b").collect())
+
+    first = counted(0.0, top)
+    total = sum(r["c"] for r in first)
+    if not total:
+        return panel.sparkSession.createDataFrame([(None, None)], "median double, bandwidth double")
+
+    def nth(rank: int) -> float:
+        cells = first
+        while True:
+            for r in cells:
+                if rank < r["c"]:
+                    break
+                rank -= r["c"]
+            if r["lo"] == r["hi"]:
+                return r["lo"]
+            cells = counted(r["lo"], r["hi"])
+
+    low = nth((total - 1) // 2)
+    median = low if total % 2 else (low + nth(total // 2)) / 2
     return panel.sparkSession.createDataFrame([(median, 1.0 / median)], "median double, bandwidth double")

@@ -134,9 +134,11 @@ class PanelSegmenter:
             return self.clusterer(trans, tau, self.k, start)
         states = [f"s{i + 1}" for i in range(self.p)]
         if self.example != "cdist":
+            if not isinstance(self.k, int):
+                raise ValueError("clustering by means or marginals needs one number of clusters, not a list")
             lev = segment.subject_levels(self._levels(trans), states, tau)
-            labels = segment.cluster_by_mean(lev, int(self.k), 0).select("subject", "cluster")
-            return segment.Segmentation(materialize(labels, "labels"), 0.0, int(self.k), 1, None)
+            labels = segment.cluster_by_mean(lev, self.k, 0).select("subject", "cluster")
+            return segment.Segmentation(materialize(labels, "labels"), 0.0, self.k, 1, None)
         subj = segment.subject_moments(trans, self.p, tau)
         if isinstance(self.k, int):
             init = None

@@ -19,8 +19,7 @@ from panelwright.functions.scalars import TINY
 from panelwright.operators.moments import Moments, action_sse, batch_sse, moments_by
 from panelwright.plans import nulls
 
-# A cluster's grid is spread over tasks by kappa from this horizon on.
-SPREAD_FROM = 512
+# A cluster's grid is always spread over tasks, so many windows in each.
 KAPPA_BLOCK = 16
 
 
@@ -141,7 +140,7 @@ def split_statistics(
     assignment: DataFrame | None = None,
     lr_scale: float = 1.0,
     per_observation: bool = False,
-    spread: bool | None = None,
+    spread: bool = True,
     mom: DataFrame | None = None,
     best_only: bool = False,
 ) -> DataFrame:
@@ -154,7 +153,6 @@ def split_statistics(
     """
     if mom is None:
         mom = time_moments(label(trans, assignment), p)
-    spread = grid.n_times >= SPREAD_FROM if spread is None else spread
     return _score_grid(mom, grid, p, lr_scale, per_observation, best_only, spread)
 
 
@@ -179,7 +177,7 @@ def first_rejection(best: DataFrame, limits: DataFrame, grid: ScanGrid) -> DataF
     and 0 without a rejection. All windows are scored in one pass, so stopping
     early would save nothing.
     """
-    return _reject(best.join(F.broadcast(limits), "kappa"), grid)
+    return _reject(best.join(limits, "kappa"), grid)
 
 
 def with_pvalues(best: DataFrame, sample: DataFrame) -> DataFrame:

@@ -13,15 +13,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from panelwright.session import materialize
+
 NULL_SCHEMA = "kappa int, rep bigint, stat double"
 
 
 def _bridge_block(rng: np.random.Generator, reps: int, kappas: Sequence[int], df: int) -> np.ndarray:
     """(reps, len(kappas)): max over u of the squared norm of the bridge."""
     top = max(kappas)
-    walk = np.cumsum(rng.standard_normal((reps, top, df)), axis=1)
+    # Drawn step by step, so a window's draws do not depend on the longest one asked for.
+    walk = np.cumsum(rng.standard_normal((top, reps, df)).transpose(1, 0, 2), axis=1)
     out = np.empty((reps, len(kappas)))
     for j, k in enumerate(kappas):
         u = np.arange(1, k, dtype=float)
@@ -33,7 +37,7 @@ def _bridge_block(rng: np.random.Generator, reps: int, kappas: Sequence[int], df
 
 def _chi2_block(rng: np.random.Generator, reps: int, counts: Sequence[int], df: int) -> np.ndarray:
     """(reps, len(counts)): max of m chi-square(df) draws for every m."""
-    draws = rng.chisquare(df, size=(reps, max(counts)))
+    draws = rng.chisquare(df, size=(max(counts), reps)).T
     best = np.maximum.accumulate(draws, axis=1)
     return best[:, [m - 1 for m in counts]]
 
@@ -60,7 +64,7 @@ def null_sample(
         for pdf in batches:
             for b in pdf["id"]:
                 reps = min(block, draws - int(b) * block)
-                rng = np.random.Generator(np.random.Philox(key=[seed, int(b) * 1000 + df]))
+                rng = np.random.Generator(np.random.Philox(key=[seed, int(b) << 20 | df]))
                 stat = _bridge_block(rng, reps, kappas, df) if kind == "bridge" else _chi2_block(rng, reps, counts, df)
                 rep = int(b) * block + np.arange(reps)
                 yield pd.DataFrame({
@@ -80,34 +84,34 @@ def thresholds(sample: DataFrame, alpha: float) -> DataFrame:
 
 
 class NullCache:
-    """Draws kept as Parquet under ``root`` by (kind, df, draws, seed); read before drawing.
+    """Draws kept as Parquet under ``root`` by (kind, df, draws, seed) and, for each window, its length
+    and number of splits; read before drawing.
 
-    Only window lengths that the stored table lacks are drawn and appended.
+    Only windows that the store lacks are drawn. Each has a folder of its own that is
+    overwritten, so two writers of one window leave one sample.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, kind: str, df: int, draws: int, seed: int) -> str:
-        return f"{self.root}/kind={kind}/df={df}/draws={draws}/seed={seed}"
+    def _path(self, kind: str, df: int, draws: int, seed: int, kappa: int, splits: int | None) -> str:
+        own = f"kappa={kappa}" if splits is None else f"kappa={kappa}-splits={splits}"
+        return f"{self.root}/{kind}-df{df}-draws{draws}-seed{seed}/{own}"
 
-    def _stored(self, path: str) -> set[int]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return set()
-        have = self.spark.read.schema(NULL_SCHEMA).parquet(path).select("kappa").distinct()
-        return {r["kappa"] for r in have.collect()}
+    def _read(self, path: str) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(NULL_SCHEMA).parquet(path)
+        except AnalysisException:
+            return None
 
     def sample(self, kappas: Sequence[int], df: int, draws: int, kind: str = "bridge",
                split_counts: Sequence[int] | None = None, seed: int = 1) -> DataFrame:
-        path = self._path(kind, df, draws, seed)
-        missing = sorted(set(map(int, kappas)) - self._stored(path))
+        counts = dict(zip(map(int, kappas), split_counts)) if split_counts is not None else {}
+        paths = {int(k): self._path(kind, df, draws, seed, int(k), counts.get(int(k))) for k in kappas}
+        missing = [k for k, path in sorted(paths.items()) if self._read(path) is None]
         if missing:
-            counts = None
-            if split_counts is not None:
-                by_kappa = dict(zip(kappas, split_counts))
-                counts = [by_kappa[k] for k in missing]
-            fresh = null_sample(self.spark, missing, df, draws, kind, counts, seed)
-            fresh.write.mode("append").partitionBy("kappa").parquet(path)
-        return self.spark.read.schema(NULL_SCHEMA).parquet(path).filter(F.col("kappa").isin([int(k) for k in kappas]))
+            fresh = materialize(null_sample(
+                self.spark, missing, df, draws, kind, [counts[k] for k in missing] if counts else None, seed), "null-draws")
+            for k in missing:
+                fresh.filter(F.col("kappa") == k).write.mode("overwrite").parquet(paths[k])
+        return self.spark.read.schema(NULL_SCHEMA).parquet(*paths.values())

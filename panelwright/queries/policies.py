@@ -158,7 +158,7 @@ def kernel_td_loss(spark, sf):
 @query("C-10", f"""WITH {PANEL}, i AS (SELECT s1, row_number() OVER (ORDER BY subject, t) AS id FROM panel)
 SELECT median(d) AS median, round(1 / median(d), 8) AS bandwidth FROM (SELECT abs(p.s1 - q.s1) AS d FROM i p JOIN i q ON p.id < q.id) WHERE d > 0""")
 def median_bandwidth(spark, sf):
-    """Median positive distance over the steps of at most 100 subjects (all there are at this size)."""
+    """Median positive distance over the steps of all subjects."""
     return kernel.median_bandwidth(supplier_month_narrow(spark, sf), ["s1"]).select(
         "median", F.round("bandwidth", 8).alias("bandwidth"))
 

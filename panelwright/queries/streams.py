@@ -14,13 +14,13 @@ from panelwright.streaming import panel as sp
 from panelwright.streaming import runner
 
 STEP = 25
-BATCHES = 4
 
 
 def arriving(spark, df, label_, by="t"):
     """Write ``df`` as one batch of files per 25 steps, in order; yields after each."""
     path = run_path(spark, label_)
-    for b in range(BATCHES):
+    last = df.agg(F.max(by)).first()[0]
+    for b in range(0 if last is None else int(last) // STEP + 1):
         df.filter(F.floor(F.col(by) / STEP) == b).write.mode("append").parquet(path)
         yield path
 
@@ -123,7 +123,7 @@ def late_and_duplicate(spark, sf):
   s1 - avg(s1) OVER (PARTITION BY subject ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS d FROM panel)
 SELECT subject, t, round(fwd, 6) AS fwd, round(coalesce(sum(d) OVER (PARTITION BY subject ORDER BY t), 0), 6) AS dev FROM w""")
 def online_cusum(spark, sf):
-    """Per-subject state over four arriving batches."""
+    """Per-subject state over the arriving batches."""
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf)
     spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -37,8 +37,8 @@ def daily_panel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Partitioned by the run key; a rerun replaces its own partitions only."""
-    (df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Partitioned by the run key; a rerun replaces its own partitions only. A key may have several files."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*keys).parquet(path))
 
 
@@ -60,7 +60,7 @@ def pending(work: DataFrame, path: str, keys: Sequence[str], refit: bool = False
 
 def write_small_csv(df: DataFrame, path: str) -> None:
     """One CSV file; for tables of a few rows per candidate time only."""
-    df.coalesce(1).write.option("header", True).csv(path)
+    df.repartition(1).write.option("header", True).csv(path)
 
 
 def write_models(models: DataFrame, path: str) -> None:

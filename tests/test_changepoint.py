@@ -169,16 +169,29 @@ def test_chi2_null(spark):
 def test_null_cache_reads_what_it_has(spark, tmp_path):
     cache = nulls.NullCache(spark, str(tmp_path / "cache"))
     a = cache.sample([5, 6], 2, 300).orderBy("kappa", "rep").toPandas()
-    path = cache._path("bridge", 2, 300, 1)
     before = sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet"))
     b = cache.sample([5, 6, 7], 2, 300).orderBy("kappa", "rep").toPandas()
     after = sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet"))
-    assert path and set(before) <= set(after) and set(b["kappa"]) == {5, 6, 7}
+    assert set(before) <= set(after) and set(b["kappa"]) == {5, 6, 7}
     assert np.array_equal(a["stat"], b[b.kappa < 7]["stat"])
     cache.sample([5, 7], 2, 300).count()
     assert sorted(p.name for p in (tmp_path / "cache").rglob("*.parquet")) == after
 
 
+def test_null_cache_tells_split_counts_apart(spark, tmp_path):
+    cache = nulls.NullCache(spark, str(tmp_path / "cache"))
+    mean = [cache.sample([30], 8, 500, "chi2", [n]).agg(F.avg("stat")).first()[0] for n in (2, 28, 2)]
+    assert mean[0] == mean[2] and mean[1] > mean[0] + 5
+
+
+def test_draws_do_not_depend_on_the_request(spark):
+    for kind, counts in (("bridge", {30: None, 40: None}), ("chi2", {30: 5, 40: 20})):
+        n = None if kind == "bridge" else list(counts.values())
+        alone = nulls.null_sample(spark, [30], 3, 400, kind, n and n[:1]).orderBy("rep").toPandas()
+        both = nulls.null_sample(spark, [30, 40], 3, 400, kind, n).filter("kappa = 30").orderBy("rep").toPandas()
+        assert np.allclose(alone["stat"], both["stat"], rtol=0, atol=1e-12)
+
+
 def test_pvalues(spark):
     best = spark.createDataFrame([(0, 5, 2, 2.5)], "cluster int, kappa int, u int, stat double")
     sample = spark.createDataFrame([(5, i, float(i)) for i in range(10)], nulls.NULL_SCHEMA)

@@ -237,7 +237,12 @@ def test_median_bandwidth(spark, pdf):
     x = two[["s1", "s2"]].to_numpy()
     i, j = np.triu_indices(len(x), 1)
     d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
-    got = kernel.median_bandwidth(spark.createDataFrame(two), ["s1", "s2"], blocks=3).first()
+    got = kernel.median_bandwidth(spark.createDataFrame(two), ["s1", "s2"], block=100, bins=16).first()
+    assert abs(got["median"] - np.median(d[d > 0])) < 1e-12
+    many = panel_frame(range(150), 12, changed)
+    x = many["s1"].round(2).to_numpy()
+    d = np.abs(x[:, None] - x[None, :])[np.triu_indices(len(x), 1)]
+    got = kernel.median_bandwidth(spark.createDataFrame(many.assign(s1=x)), ["s1"]).first()
     assert abs(got["median"] - np.median(d[d > 0])) < 1e-12
     few = kernel.sample_subjects(spark.createDataFrame(pdf), 3)
     assert few.select("subject").distinct().count() == 3 and few.count() == 75
