@@ -1,11 +1,20 @@
-import os
+"""Texts and fixtures for the tests of this folder."""
+
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from conftest_llm import ODD  # noqa: E402
+#: Words of two invented languages.
+NORTH = "skov elv bjerg snavs trold havn mark dyb".split()
+SOUTH = "casa rio monte torre campo puerto luna sol".split()
+
+
+def prose(rng, n, words=NORTH):
+    return " ".join(rng.choice(words) + rng.choice(["", "e", "en", "a", "os"]) for _ in range(n))
+
+
+#: Texts that every operator must take: null, empty, white space, marks, one word, one long word, other scripts.
+ODD = [None, "", " \t\n", "!!! ...", "word", "x" * 5000, "漢字 \U0001f642 é", "a  b\x0bc\x0cd", "<|endoftext|> 's"]
 
 
 @pytest.fixture()

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from conftest_llm import NORTH, ODD, SOUTH, prose
+from corpus_fixtures import NORTH, ODD, SOUTH, no_docs, odd_docs, prose, rng  # noqa: F401
 from panelwright.llm import components, passages, repeats, resample, simhash, stable_hash, vafile
 from panelwright.llm.automaton import SuffixAutomaton
 from panelwright.llm.queries import ORACLES, QUERIES

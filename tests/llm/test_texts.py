@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from conftest_llm import NORTH, ODD, SOUTH, prose
+from corpus_fixtures import NORTH, ODD, SOUTH, no_docs, odd_docs, prose, rng  # noqa: F401
 from panelwright.llm import langid, merge_replay, packing, piece_count, text
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
