@@ -231,7 +231,7 @@ class PanelSegmenter:
             else:
                 state = self._state(found.assignment, self._detect(trans, found.assignment))
             subj = materialize(segment.subject_moments(trans, self.p, state), "subject-moments")
-            quality = segment.cluster_quality(subj, state.select("subject", "cluster"), self.p, k)
+            quality = segment.cluster_quality(subj, state.select("subject", "cluster"), self.p)
             losses.append(quality.agg(F.sum("loss_normalized")).first()[0])
             same_tau = not self._moved(state, before)
             same_labels = previous is not None and adjusted_rand(previous, state).first()["ari"] == 1.0

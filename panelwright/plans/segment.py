@@ -23,8 +23,8 @@ from panelwright.functions.criteria import criterion
 from panelwright.operators.moments import Moments, min_norm_solve, moments_by
 from panelwright.session import materialize
 
-# Coefficients of all clusters are held by the driver.
-MAX_CLUSTERS = 64
+# Errors of a batch are computed for so many (subject, cluster) pairs at a time.
+PAIRS = 1 << 21
 
 
 @dataclass
@@ -100,17 +100,29 @@ class _Run:
         return self.init, self.weights, dict(self.overrides)
 
 
+def _nearest_cluster(m: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster of smallest error, the first on ties, and that error for every row of sums."""
+    size = max(1, PAIRS // len(weights))
+    lab, err = np.zeros(len(m), dtype=int), np.zeros(len(m))
+    for at in range(0, len(m), size):
+        errs = m[at: at + size] @ weights.T
+        best = np.argmin(errs, axis=1)
+        lab[at: at + size], err[at: at + size] = best, errs[np.arange(len(best)), best]
+    return lab, err
+
+
 def _labels(pdf: pd.DataFrame, m: np.ndarray, k: int, state: tuple) -> tuple[np.ndarray, np.ndarray | None]:
-    """Labels and errors of a batch under a frozen state."""
+    """Labels of a batch under a frozen state, and the error under the own label."""
     init, weights, overrides = state
     if weights is None:
         return pdf[init].to_numpy().astype(int), None
-    errs = m @ weights.T
-    lab = np.argmin(errs, axis=1)
+    lab, err = _nearest_cluster(m, weights)
     if overrides:
         moved = pdf["subject"].map(overrides)
-        lab = np.where(moved.notna(), moved.fillna(0), lab).astype(int)
-    return lab, errs
+        at = np.flatnonzero(moved.notna())
+        lab[at] = moved.iloc[at].astype(int)
+        err[at] = (m[at] * weights[lab[at]]).sum(1)
+    return lab, err
 
 
 def _label_sums(subj: DataFrame, states: dict[int, tuple], new: dict[int, np.ndarray] | None, p: int):
@@ -129,12 +141,11 @@ def _label_sums(subj: DataFrame, states: dict[int, tuple], new: dict[int, np.nda
             m = pdf[names].to_numpy(float)
             inv = 1.0 / m[:, :1]
             for k, state in states.items():
-                old, errs = _labels(pdf, m, k, state)
+                old, _ = _labels(pdf, m, k, state)
                 lab, loss = old, np.zeros(len(m))
                 if new is not None:
-                    errs = m @ new[k].T
-                    lab = np.argmin(errs, axis=1)
-                    loss = errs[np.arange(len(m)), lab] * inv[:, 0]
+                    lab, err = _nearest_cluster(m, new[k])
+                    loss = err * inv[:, 0]
                 part = np.column_stack([np.ones(len(m)), lab != old, loss, m * inv])
                 np.add.at(acc[k], lab, part)
         rows = [(k, j, *acc[k][j]) for k in states for j in range(k) if acc[k][j, 0] > 0]
@@ -150,18 +161,18 @@ def _label_sums(subj: DataFrame, states: dict[int, tuple], new: dict[int, np.nda
 
 
 def _assign(subj: DataFrame, k: int, state: tuple, p: int) -> DataFrame:
-    """(subject, cluster, err) under a frozen state."""
+    """(subject, cluster, err, m_n) under a frozen state."""
     names = Moments(p).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             m = pdf[names].to_numpy(float)
-            lab, errs = _labels(pdf, m, k, state)
-            err = np.zeros(len(m)) if errs is None else errs[np.arange(len(m)), lab]
-            yield pd.DataFrame({"subject": pdf["subject"], "cluster": lab.astype(np.int32), "err": err})
+            lab, err = _labels(pdf, m, k, state)
+            yield pd.DataFrame({"subject": pdf["subject"], "cluster": lab.astype(np.int32),
+                                "err": np.zeros(len(m)) if err is None else err, "m_n": m[:, 0]})
 
     kind = subj.schema["subject"].dataType.simpleString()
-    return subj.mapInPandas(run, f"subject {kind}, cluster int, err double")
+    return subj.mapInPandas(run, f"subject {kind}, cluster int, err double, m_n double")
 
 
 def _nearest(subj: DataFrame, k: int, target: int, state: tuple, new: np.ndarray, p: int, n: int) -> list:
@@ -227,10 +238,9 @@ def cluster_by_dynamics_grid(
     ``subj`` is a materialised (subject, sums) table. ``init`` gives the start
     label per K as a column of ``subj``; the default is a hash of the subject.
     All K that have not converged share one pass per iteration. The scores are
-    a matrix product per batch of subjects.
+    a matrix product per batch of subjects, in blocks of ``PAIRS``. The driver holds
+    (2 + 2p) p numbers for each of the K clusters.
     """
-    if max(ks) > MAX_CLUSTERS:
-        raise ValueError(f"at most {MAX_CLUSTERS} clusters: their coefficients are held by the driver")
     q = len(Moments(p).names)
     begin = {f"_start{k}": (init or {}).get(k, hashed_labels(k, seed)) for k in ks}
     subj = subj.withColumns(begin)
@@ -295,15 +305,34 @@ def density_loss(subj: DataFrame, coefs: np.ndarray, p: int) -> DataFrame:
     return long.agg(F.sum(F.exp(-z * z / 2) / (scale * F.lit(float(np.sqrt(2 * np.pi))))).alias("loss"))
 
 
-def cluster_quality(subj: DataFrame, assignment: DataFrame, p: int, k: int) -> DataFrame:
+def error_weights(labelled: DataFrame, p: int) -> DataFrame:
+    """(cluster, w): the weights that turn a subject's sums into its error under the cluster's fit.
+
+    The fits are solved where the cluster's sums are, so any number of clusters will do.
+    """
+    layout = Moments(p)
+    sums = labelled.groupBy("cluster").agg(*[F.sum(F.col(c) / F.col("m_n")).alias(c) for c in layout.names])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            coefs = _fit(pdf[layout.names].to_numpy(float), p)
+            yield pd.DataFrame({"cluster": pdf["cluster"], "w": [layout.sse_weights(c) for c in coefs]})
+
+    kind = labelled.schema["cluster"].dataType.simpleString()
+    return sums.mapInPandas(solve, f"cluster {kind}, w array<double>")
+
+
+def cluster_quality(subj: DataFrame, assignment: DataFrame, p: int) -> DataFrame:
     """(cluster, n_subjects, loss_normalized, loss_unnormalized) of the own-cluster fit.
 
     Normalised: minus the sum over subjects of SSE / steps. The overall quality
-    is the sum of the normalised column.
+    is the sum of the normalised column. ``subj`` is read twice: materialise it first.
     """
-    rows = subj.join(assignment, "subject")
-    errs = F.array(*error_columns(weighted_fit(rows, k, p), p))
-    own = F.greatest(F.get(errs, F.col("cluster")), F.lit(0.0))
+    names = Moments(p).names
+    labelled = subj.join(assignment, "subject")
+    terms = [F.col(c) * F.get("w", F.lit(i)) for i, c in enumerate(names)]
+    own = F.greatest(sum(terms[1:], terms[0]), F.lit(0.0))
+    rows = labelled.join(error_weights(labelled, p), "cluster")
     return rows.select("cluster", own.alias("e"), "m_n").groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_subjects"),
         (-F.sum(F.col("e") / F.col("m_n"))).alias("loss_normalized"),

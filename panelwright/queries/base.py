@@ -32,10 +32,14 @@ panel AS (
          sum(l_quantity) AS s1, avg(l_extendedprice) AS s2, avg(l_discount) AS s3,
          CASE WHEN 3 * sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) > count(*)
               THEN 1 ELSE 0 END AS a
-  FROM lineitem WHERE l_shipdate < TIMESTAMP '2001-11-01'
+  FROM lineitem
   GROUP BY 1, 2)
 """
 
+# Time points of the panel, and its last one.
+N_SQL = "(SELECT max(t) + 1 FROM panel)"
+END_SQL = "(SELECT max(t) FROM panel)"
+
 TRANS = PANEL + """,
 lagged AS (
   SELECT subject, t, a, s1, s2, s3,

@@ -10,12 +10,11 @@ from panelwright.operators.scaling import zscore
 from panelwright.operators.transitions import fill_dense, transitions
 from panelwright.plans import changepoint as cp
 from panelwright.plans import nulls
-from panelwright.queries.base import PANEL, REGION, TRANS, query
+from panelwright.queries.base import END_SQL, N_SQL, PANEL, REGION, TRANS, query
 from panelwright.session import run_path
 from panelwright.sources.tables import (
-    N_TIMES, region_assignment, supplier_month, supplier_month_narrow)
+    horizon, region_assignment, supplier_month, supplier_month_narrow)
 
-GRID = ScanGrid(N_TIMES)
 # Limit used where a query is checked against SQL; simulated limits are used elsewhere.
 LIMIT = 5.0
 KAPPA_MEAN = (40, 60)
@@ -29,8 +28,12 @@ def wide_transitions(spark, sf):
     return transitions(supplier_month(spark, sf), ["s1", "s2", "s3"])
 
 
-def fixed_limits(spark):
-    return spark.range(1).select(F.explode(GRID.kappa_column()).alias("kappa"), F.lit(LIMIT).alias("threshold"))
+def scan_grid(spark, sf, **kw):
+    return ScanGrid(horizon(spark, sf), **kw)
+
+
+def fixed_limits(spark, grid):
+    return spark.range(1).select(F.explode(grid.kappa_column()).alias("kappa"), F.lit(LIMIT).alias("threshold"))
 
 
 # --- SQL text: every candidate split summed directly over its rows' time sums.
@@ -63,15 +66,15 @@ TINY_SQL = "2.2250738585072014e-308"
 
 def scan_sql(scale: float = 1.0, per_obs: bool = False) -> str:
     """CTEs grid, seg, stats(cluster, kappa, u, stat) from tsum."""
-    end = N_TIMES - 1
     div = " / obs" if per_obs else ""
     return f"""
-kap AS (SELECT unnest(range({GRID.kappas()[0]}, {GRID.kappas()[-1] + 1})) AS kappa),
-grid AS (SELECT kappa, unnest(range({max(GRID.u_low(), 1)}, CAST(floor(kappa - {GRID.eps * N_TIMES!r}) AS INTEGER) + 1)) AS u FROM kap),
+hz AS (SELECT max(t) AS e, max(t) + 1 AS n FROM panel),
+kap AS (SELECT e, n, unnest(range(greatest(25, CAST(floor(2 * 0.1e0 * n) AS BIGINT)), n - 1)) AS kappa FROM hz),
+grid AS (SELECT e, kappa, unnest(range(greatest(CAST(trunc(0.1e0 * n - 1) AS BIGINT) + 1, 1), CAST(floor(kappa - 0.1e0 * n) AS BIGINT) + 1)) AS u FROM kap),
 seg AS (
-  SELECT cluster, kappa, u, {part_sums('t < ' + str(end) + ' - kappa + u', 'l')},
-         {part_sums('t >= ' + str(end) + ' - kappa + u', 'r')}, {part_sums('TRUE', 'f')}
-  FROM grid JOIN tsum ON t >= {end} - kappa GROUP BY cluster, kappa, u),
+  SELECT cluster, kappa, u, {part_sums('t < e - kappa + u', 'l')},
+         {part_sums('t >= e - kappa + u', 'r')}, {part_sums('TRUE', 'f')}
+  FROM grid JOIN tsum ON t >= e - kappa GROUP BY cluster, kappa, u),
 stats AS (
   SELECT cluster, kappa, u, {0.5 * scale}e0 * obs * ln(greatest(e0/obs, {TINY_SQL}) / greatest(e1/obs, {TINY_SQL})){div} AS stat
   FROM (SELECT cluster, kappa, u, fzn + fwn AS obs, {sse_sql('fz')} + {sse_sql('fw')} AS e0,
@@ -82,9 +85,8 @@ BEST = """best AS (SELECT cluster, kappa, max(stat) AS stat, arg_min(u, ROW(-sta
 
 
 def tau_sql(limit: float) -> str:
-    end = N_TIMES - 1
     return f"""hit AS (SELECT cluster, min(kappa) FILTER (stat >= {limit}) AS kappa FROM best GROUP BY cluster)
-SELECT hit.cluster, CAST(CASE WHEN hit.kappa IS NULL THEN 0 ELSE {end} - greatest(hit.kappa - 1, {GRID.kappa_min}) END AS INTEGER) AS tau,
+SELECT hit.cluster, CAST(CASE WHEN hit.kappa IS NULL THEN 0 ELSE {END_SQL} - greatest(hit.kappa - 1, (SELECT min(kappa) FROM kap)) END AS INTEGER) AS tau,
        CAST(hit.kappa AS INTEGER) AS kappa, round(best.stat, 4) AS stat FROM hit LEFT JOIN best USING (cluster, kappa)"""
 
 
@@ -101,19 +103,22 @@ def _tau(found):
 @query("G-13", f"{POOLED}, {scan_sql()}, {BEST} SELECT CAST(kappa AS INTEGER) AS kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM best")
 def pooled_scan(spark, sf):
     """Pooled detection: the best split of every window."""
-    return cp.best_splits(narrow_transitions(spark, sf), GRID).select("kappa", "u", F.round("stat", 4).alias("stat"))
+    grid = scan_grid(spark, sf)
+    return cp.best_splits(narrow_transitions(spark, sf), grid).select("kappa", "u", F.round("stat", 4).alias("stat"))
 
 
 @query("G-01", f"{BY_REGION}, {scan_sql()}, {BEST}, {tau_sql(LIMIT)}")
 def transition_change(spark, sf):
+    grid = scan_grid(spark, sf)
     trans = narrow_transitions(spark, sf)
     return _tau(cp.detect_transition_change(
-        trans, GRID, assignment=region_assignment(spark, sf), limits=fixed_limits(spark)))
+        trans, grid, assignment=region_assignment(spark, sf), limits=fixed_limits(spark, grid)))
 
 
 @query("G-12", f"{BY_SUBJECT}, {scan_sql()}, {BEST}, " + tau_sql(LIMIT).replace("hit.cluster,", "hit.cluster AS subject,"))
 def individual_change(spark, sf):
-    found = cp.detect_individually(narrow_transitions(spark, sf), GRID, limits=fixed_limits(spark))
+    grid = scan_grid(spark, sf)
+    found = cp.detect_individually(narrow_transitions(spark, sf), grid, limits=fixed_limits(spark, grid))
     return found.select("subject", "tau", "kappa", F.round("stat", 4).alias("stat"))
 
 
@@ -141,97 +146,101 @@ def suffix_gram(spark, sf):
 
 @query("E-06", f"""{BY_REGION}, {scan_sql()}, {BEST},
 seq AS (SELECT cluster, kappa, stat, coalesce(lag(kappa) OVER (PARTITION BY cluster ORDER BY kappa), kappa) AS prev FROM best)
-SELECT cluster, CAST(coalesce({N_TIMES - 1} - min(prev) FILTER (stat >= 2.0), 0) AS INTEGER) AS tau,
+SELECT cluster, CAST(coalesce({END_SQL} - min(prev) FILTER (stat >= 2.0), 0) AS INTEGER) AS tau,
        CAST(min(kappa) FILTER (stat >= 2.0) AS INTEGER) AS kappa FROM seq GROUP BY cluster""")
 def first_rejection(spark, sf):
+    grid = scan_grid(spark, sf)
     trans = narrow_transitions(spark, sf)
-    best = cp.best_splits(trans, GRID, assignment=region_assignment(spark, sf))
-    limits = fixed_limits(spark).withColumn("threshold", F.lit(2.0))
-    return cp.first_rejection(best, limits, GRID).select("cluster", "tau", "kappa")
+    best = cp.best_splits(trans, grid, assignment=region_assignment(spark, sf))
+    limits = fixed_limits(spark, grid).withColumn("threshold", F.lit(2.0))
+    return cp.first_rejection(best, limits, grid).select("cluster", "tau", "kappa")
 
 
 @query("E-07", f"{BY_REGION}, {scan_sql()}, {BEST} SELECT cluster, CAST(kappa AS INTEGER) AS kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM best")
 def best_split_by_region(spark, sf):
-    stats = cp.split_statistics(narrow_transitions(spark, sf), GRID, assignment=region_assignment(spark, sf))
+    grid = scan_grid(spark, sf)
+    stats = cp.split_statistics(narrow_transitions(spark, sf), grid, assignment=region_assignment(spark, sf))
     return cp.best_split(stats).select("cluster", "kappa", "u", F.round("stat", 4).alias("stat"))
 
 
 @query("C-04", f"{POOLED}, {scan_sql()} SELECT CAST(kappa AS INTEGER) AS kappa, CAST(u AS INTEGER) AS u, round(stat, 4) AS stat FROM stats")
 def candidate_statistics(spark, sf):
     """Every (kappa, u) candidate scored against the per-time sums."""
-    stats = cp.split_statistics(narrow_transitions(spark, sf), GRID)
+    grid = scan_grid(spark, sf)
+    stats = cp.split_statistics(narrow_transitions(spark, sf), grid)
     return stats.select("kappa", "u", F.round("stat", 4).alias("stat"))
 
 
 DENSE = f"""cells AS (
   SELECT subject, t, coalesce(s1, 0.0) AS s1, cluster
-  FROM (SELECT DISTINCT subject FROM panel) CROSS JOIN (SELECT unnest(range(0, {N_TIMES})) AS t)
+  FROM (SELECT DISTINCT subject FROM panel) CROSS JOIN (SELECT unnest(range(0, {N_SQL})) AS t)
   LEFT JOIN panel USING (subject, t) JOIN region_of USING (subject)),
 facts AS (SELECT count(DISTINCT subject) AS n_all FROM panel)"""
 
 
 def dense_panel(spark, sf):
-    return fill_dense(supplier_month_narrow(spark, sf), N_TIMES, {"s1": 0.0, "a": 0})
+    return fill_dense(supplier_month_narrow(spark, sf), horizon(spark, sf), {"s1": 0.0, "a": 0})
 
 
-TOP_U = int(N_TIMES - 0.1 * N_TIMES) - 1
+TOP_U = f"(CAST(floor({N_SQL} - 0.1e0 * {N_SQL}) AS BIGINT) - 1)"
+LOW_U = f"CAST(floor({N_SQL} - kappa + 0.1e0 * {N_SQL}) AS INTEGER)"
 
 
 @query("G-02", f"""WITH {PANEL}, {REGION}, {DENSE},
 fwd AS (SELECT subject, cluster, t, avg(s1) OVER (PARTITION BY subject ORDER BY t) AS f,
         avg(s1) OVER (PARTITION BY subject ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM cells),
 per_u AS (SELECT cluster, t AS u, count(*) AS nk, abs(sum(f - b)) AS d FROM fwd WHERE t <= {TOP_U} GROUP BY cluster, t),
-scored AS (SELECT cluster, kappa, u, nk, sqrt(({N_TIMES}.0 - u) * (u - {N_TIMES}.0 + kappa) / (kappa * kappa)) * nk * d AS stat
+scored AS (SELECT cluster, kappa, u, nk, sqrt(({N_SQL} - u) * (u - {N_SQL} + kappa) / (kappa * kappa)) * nk * d AS stat
   FROM per_u, (SELECT unnest(range({KAPPA_MEAN[0]}, {KAPPA_MEAN[1] + 1})) AS kappa)
-  WHERE u > CAST(floor({N_TIMES} - kappa + {0.1 * N_TIMES!r}) AS INTEGER)),
+  WHERE u > {LOW_U}),
 best AS (SELECT cluster, kappa, nk, max(stat) AS stat, arg_min(u, ROW(-stat, u)) AS u FROM scored GROUP BY cluster, kappa, nk),
-lim AS (SELECT *, 50.0 * power(kappa * nk, -0.5) * log10(n_all * {N_TIMES}.0) AS threshold FROM best, facts)
-SELECT cluster, CAST(CASE WHEN stat < threshold THEN CAST(floor({N_TIMES} - kappa + {0.1 * N_TIMES!r}) AS INTEGER) + 1 ELSE u END AS INTEGER) AS tau,
+lim AS (SELECT *, 50.0 * power(kappa * nk, -0.5) * log10(n_all * {N_SQL}) AS threshold FROM best, facts)
+SELECT cluster, CAST(CASE WHEN stat < threshold THEN {LOW_U} + 1 ELSE u END AS INTEGER) AS tau,
        round(stat, 3) AS stat, round(threshold, 4) AS threshold FROM lim WHERE kappa = {KAPPA_MEAN[1]}""")
 def mean_change(spark, sf):
-    found = cp.detect_mean_change(dense_panel(spark, sf), N_TIMES, KAPPA_MEAN, c1=50.0,
+    found = cp.detect_mean_change(dense_panel(spark, sf), horizon(spark, sf), KAPPA_MEAN, c1=50.0,
                                   assignment=region_assignment(spark, sf))
     return found.select("cluster", "tau", F.round("stat", 3).alias("stat"), F.round("threshold", 4).alias("threshold"))
 
 
 @query("G-03", f"""WITH {PANEL}, {REGION}, {DENSE},
-cuts AS (SELECT unnest(range(0, {TOP_U + 1})) AS u),
+cuts AS (SELECT unnest(range(0, {TOP_U} + 1)) AS u),
 var AS (SELECT cluster, u, count(DISTINCT subject) AS nk, count(*) AS n, var_pop(s1) AS v0,
    (var_pop(s1) FILTER (t <= u) * count(*) FILTER (t <= u) + var_pop(s1) FILTER (t > u) * count(*) FILTER (t > u)) / count(*) AS v1
   FROM cells, cuts GROUP BY cluster, u),
 scored AS (SELECT cluster, kappa, u, nk, n / 2.0 * ln(v0 / v1) / (kappa * nk) AS stat
   FROM var, (SELECT unnest(range({KAPPA_MEAN[0]}, {KAPPA_MEAN[1] + 1})) AS kappa)
-  WHERE u > CAST(floor({N_TIMES} - kappa + {0.1 * N_TIMES!r}) AS INTEGER)),
+  WHERE u > {LOW_U}),
 best AS (SELECT cluster, kappa, nk, max(stat) AS stat, arg_min(u, ROW(-stat, u)) AS u FROM scored GROUP BY cluster, kappa, nk),
-lim AS (SELECT *, power(0.05 * power(kappa * nk, -0.5) * log10(n_all * {N_TIMES}.0), 2) AS threshold FROM best, facts),
+lim AS (SELECT *, power(0.05 * power(kappa * nk, -0.5) * log10(n_all * {N_SQL}), 2) AS threshold FROM best, facts),
 row1 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY kappa) AS rn FROM lim WHERE stat >= threshold)
 SELECT c.cluster, CAST(coalesce(row1.u, 0) AS INTEGER) AS tau, CAST(row1.kappa AS INTEGER) AS kappa, round(row1.stat, 6) AS stat
 FROM (SELECT DISTINCT cluster FROM best) c LEFT JOIN row1 ON row1.cluster = c.cluster AND row1.rn = 1""")
 def marginal_change(spark, sf):
-    found = cp.detect_marginal_change(dense_panel(spark, sf), N_TIMES, KAPPA_MEAN, c1=0.05,
+    found = cp.detect_marginal_change(dense_panel(spark, sf), horizon(spark, sf), KAPPA_MEAN, c1=0.05,
                                       assignment=region_assignment(spark, sf), rule="first")
     return found.select("cluster", "tau", "kappa", F.round("stat", 6).alias("stat"))
 
 
 @query("G-08", f"""{BY_REGION},
 seg AS (
-  SELECT cluster, shift, {part_sums(f'(t + shift) % {N_TIMES - 1} < 40', 'l')},
-         {part_sums(f'(t + shift) % {N_TIMES - 1} >= 40', 'r')}, {part_sums('TRUE', 'f')}
-  FROM tsum, (SELECT unnest(range(0, {N_TIMES - 1})) AS shift) GROUP BY cluster, shift)
+  SELECT cluster, shift, {part_sums('(t + shift) % e < 40', 'l')},
+         {part_sums('(t + shift) % e >= 40', 'r')}, {part_sums('TRUE', 'f')}
+  FROM tsum, (SELECT {END_SQL} AS e, unnest(range(0, {END_SQL})) AS shift) GROUP BY cluster, shift)
 SELECT cluster, CAST(shift AS INTEGER) AS shift, round(obs * ln((e0/obs) / (e1/obs)), 4) AS stat
   FROM (SELECT cluster, shift, fzn + fwn AS obs, {sse_sql('fz')} + {sse_sql('fw')} AS e0,
         {sse_sql('lz')} + {sse_sql('lw')} + {sse_sql('rz')} + {sse_sql('rw')} AS e1 FROM seg)""")
 def cyclic_shift(spark, sf):
-    out = cp.cyclic_shift_statistics(narrow_transitions(spark, sf), N_TIMES, 40,
+    out = cp.cyclic_shift_statistics(narrow_transitions(spark, sf), horizon(spark, sf), 40,
                                      assignment=region_assignment(spark, sf))
     return out.select("cluster", "shift", F.round("stat", 4).alias("stat"))
 
 
 @query("B-26", f"""WITH {TRANS}, tsum AS (SELECT t, count(*) AS n, sum(s1) AS s FROM trans GROUP BY t)
-SELECT CAST(shift AS INTEGER) AS shift, CAST((t + shift) % {N_TIMES - 1} AS INTEGER) AS pos, n, s
-FROM tsum, (SELECT unnest(range(0, {N_TIMES - 1})) AS shift)""")
+SELECT CAST(shift AS INTEGER) AS shift, CAST((t + shift) % e AS INTEGER) AS pos, n, s
+FROM tsum, (SELECT {END_SQL} AS e, unnest(range(0, {END_SQL})) AS shift)""")
 def time_roll(spark, sf):
-    steps = N_TIMES - 1
+    steps = horizon(spark, sf) - 1
     per_t = narrow_transitions(spark, sf).groupBy("t").agg(
         F.count(F.lit(1)).alias("n"), F.sum("s1").alias("s"))
     return per_t.select(F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("shift"), "t", "n", "s").select(
@@ -243,8 +252,9 @@ def time_roll(spark, sf):
 @query("G-05")
 def null_threshold_bridge(spark, sf):
     """The pooled scan held against simulated bridge limits of its own windows."""
-    best = cp.best_splits(narrow_transitions(spark, sf), GRID)
-    sample = nulls.null_sample(spark, GRID.kappas(), cp.dense_df(1), draws=4000)
+    grid = scan_grid(spark, sf)
+    best = cp.best_splits(narrow_transitions(spark, sf), grid)
+    sample = nulls.null_sample(spark, grid.kappas(), cp.dense_df(1), draws=4000)
     return best.join(F.broadcast(nulls.thresholds(sample, 0.01)), "kappa").select(
         "kappa", F.round("stat", 4).alias("stat"), F.round("threshold", 4).alias("threshold"),
         (F.col("stat") >= F.col("threshold")).alias("rejected"))
@@ -252,22 +262,23 @@ def null_threshold_bridge(spark, sf):
 
 @query("G-06")
 def null_threshold_chi2(spark, sf):
-    best = cp.best_splits(narrow_transitions(spark, sf), GRID)
-    counts = [len(GRID.splits(k)) for k in GRID.kappas()]
-    sample = nulls.null_sample(spark, GRID.kappas(), cp.dense_df(1), 4000, "chi2", counts)
+    grid = scan_grid(spark, sf)
+    best = cp.best_splits(narrow_transitions(spark, sf), grid)
+    counts = [len(grid.splits(k)) for k in grid.kappas()]
+    sample = nulls.null_sample(spark, grid.kappas(), cp.dense_df(1), 4000, "chi2", counts)
     return best.join(F.broadcast(nulls.thresholds(sample, 0.01)), "kappa").select(
         "kappa", F.round("stat", 4).alias("stat"), F.round("threshold", 4).alias("threshold"),
         (F.col("stat") >= F.col("threshold")).alias("rejected"))
 
 
-PERM_GRID = ScanGrid(N_TIMES, kappa_min=30, kappa_max=81, step=10)
+PERM = dict(kappa_min=30, step=10)
 
 
 @query("G-07")
 def null_threshold_permutation(spark, sf):
     trans = narrow_transitions(spark, sf)
     found = cp.detect_transition_change(
-        trans, PERM_GRID, assignment=region_assignment(spark, sf), threshold="permutation", draws=200)
+        trans, scan_grid(spark, sf, **PERM), assignment=region_assignment(spark, sf), threshold="permutation", draws=200)
     return found.select("cluster", "tau", "kappa", F.round("stat", 4).alias("stat"))
 
 
@@ -275,16 +286,17 @@ def null_threshold_permutation(spark, sf):
 def time_shuffle(spark, sf):
     """Window shuffles of the pooled panel: one scan maximum per replicate."""
     mom = cp.time_moments(cp.label(narrow_transitions(spark, sf), None), 1)
-    return cp.permutation_sample(mom, PERM_GRID, 1, draws=100)
+    return cp.permutation_sample(mom, scan_grid(spark, sf, **PERM), 1, draws=100)
 
 
 @query("G-14")
 def transition_change_pvalues(spark, sf):
     """Every window with its p-value, three state variables, per region."""
+    grid = scan_grid(spark, sf)
     panel = zscore(supplier_month(spark, sf), ["s1", "s2", "s3"], suffix="")
     trans = transitions(panel, ["s1", "s2", "s3"])
-    best = cp.best_splits(trans, GRID, p=3, assignment=region_assignment(spark, sf))
-    sample = nulls.null_sample(spark, GRID.kappas(), cp.dense_df(3), draws=1000)
+    best = cp.best_splits(trans, grid, p=3, assignment=region_assignment(spark, sf))
+    sample = nulls.null_sample(spark, grid.kappas(), cp.dense_df(3), draws=1000)
     return cp.with_pvalues(best, sample).select(
         "cluster", "kappa", "u", F.round("stat", 4).alias("stat"), F.round("pvalue", 4).alias("pvalue"))
 
@@ -292,8 +304,9 @@ def transition_change_pvalues(spark, sf):
 @query("E-11")
 def bridge_maximum(spark, sf):
     """Largest bridge value per window next to the panel's own maximum."""
-    best = cp.best_splits(narrow_transitions(spark, sf), GRID)
-    sample = nulls.null_sample(spark, GRID.kappas(), cp.dense_df(1), draws=1000)
+    grid = scan_grid(spark, sf)
+    best = cp.best_splits(narrow_transitions(spark, sf), grid)
+    sample = nulls.null_sample(spark, grid.kappas(), cp.dense_df(1), draws=1000)
     top = sample.groupBy("kappa").agg(F.max("stat").alias("bridge_max"), F.avg("stat").alias("bridge_mean"))
     return best.join(F.broadcast(top), "kappa").select(
         "kappa", F.round("stat", 4).alias("stat"), F.round("bridge_max", 4).alias("bridge_max"),
@@ -303,11 +316,12 @@ def bridge_maximum(spark, sf):
 @query("A-07")
 def threshold_cache(spark, sf):
     """Draws are written on the first request and only read on the second."""
+    grid = scan_grid(spark, sf)
     cache = nulls.NullCache(spark, run_path(spark, "null-cache"))
-    ks = GRID.kappas()
+    ks = grid.kappas()
     cache.sample(ks[: len(ks) // 2], cp.dense_df(1), 1000)
     sample = cache.sample(ks, cp.dense_df(1), 1000)
-    best = cp.best_splits(narrow_transitions(spark, sf), GRID)
+    best = cp.best_splits(narrow_transitions(spark, sf), grid)
     return best.join(F.broadcast(nulls.thresholds(sample, 0.05)), "kappa").select(
         "kappa", F.round("stat", 4).alias("stat"), F.round("threshold", 4).alias("threshold"))
 
@@ -315,9 +329,10 @@ def threshold_cache(spark, sf):
 @query("S-06")
 def null_union(spark, sf):
     """Two groups of replicates appended, then one p-value per window."""
-    ks = GRID.kappas()
+    grid = scan_grid(spark, sf)
+    ks = grid.kappas()
     sample = nulls.null_sample(spark, ks, cp.dense_df(1), 500, seed=1).unionByName(
         nulls.null_sample(spark, ks, cp.dense_df(1), 500, seed=2).withColumn("rep", F.col("rep") + 500))
-    best = cp.best_splits(narrow_transitions(spark, sf), GRID)
+    best = cp.best_splits(narrow_transitions(spark, sf), grid)
     return cp.with_pvalues(best, sample).select(
         "kappa", "u", F.round("stat", 4).alias("stat"), F.round("pvalue", 4).alias("pvalue"))

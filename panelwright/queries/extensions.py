@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.functions import criteria
@@ -13,11 +14,11 @@ from panelwright.operators.moments import Moments, fit_by, moments_by
 from panelwright.plans import alternate, policy, segment
 from panelwright.plans.changepoint import label
 from panelwright.queries.base import TRANS, query
-from panelwright.queries.detection import N_TIMES, narrow_transitions
+from panelwright.queries.detection import narrow_transitions
 from panelwright.queries.policies import BW, FQI, GAMMA, LINEAR, linear_rows, scaled
 from panelwright.queries.segmenting import em_sql, scaled_transitions, start
 from panelwright.queries.summaries import FACTS, facts
-from panelwright.sources.tables import region_assignment
+from panelwright.sources.tables import horizon, region_assignment
 from panelwright.session import materialize
 
 
@@ -28,15 +29,19 @@ def own_regressor(spark, sf):
     return model.frame(spark).select("action", F.round(F.col("coef")[0], 4).alias("c"), F.round(F.col("coef")[1], 4).alias("b"))
 
 
-@query("U-02", f"WITH {TRANS} SELECT subject, 0 AS cluster, CAST((SELECT max(t) FROM trans) - 20 AS INTEGER) AS tau FROM trans GROUP BY subject")
+@query("U-02", f"""WITH {TRANS}, m AS (SELECT t, avg(s1) AS m FROM trans GROUP BY t),
+d AS (SELECT t, abs(m - lag(m) OVER (ORDER BY t)) AS d FROM m)
+SELECT subject, 0 AS cluster, CAST((SELECT arg_max(t, d) FROM d) AS INTEGER) AS tau FROM trans GROUP BY subject""")
 def own_detector(spark, sf):
-    """A detector that always names the start of the last 20 steps."""
-    def last_steps(trans, assignment, grid):
-        return assignment.select("cluster").distinct().withColumn("tau", F.lit(grid.n_times - 2 - 20))
+    """A detector that names the step with the largest jump of the cluster's mean state."""
+    def largest_jump(trans, assignment, grid):
+        means = label(trans, assignment).groupBy("cluster", "t").agg(F.avg("s1").alias("m"))
+        jump = F.abs(F.col("m") - F.lag("m").over(Window.partitionBy("cluster").orderBy("t")))
+        return means.withColumn("d", jump).groupBy("cluster").agg(F.max_by("t", "d").cast("int").alias("tau"))
 
     trans = narrow_transitions(spark, sf)
     zero = trans.select("subject").distinct().withColumn("cluster", F.lit(0))
-    seg = alternate.PanelSegmenter(N_TIMES, k=1, init="clusters", only_changepoints=True, max_iter=1, detector=last_steps)
+    seg = alternate.PanelSegmenter(horizon(spark, sf), k=1, init="clusters", only_changepoints=True, max_iter=1, detector=largest_jump)
     return seg.fit(trans, assignment=zero).result
 
 
@@ -49,7 +54,7 @@ def own_clusterer(spark, sf):
 
     trans = narrow_transitions(spark, sf)
     zero = trans.select("subject").distinct().withColumn("tau", F.lit(0))
-    seg = alternate.PanelSegmenter(N_TIMES, k=2, only_clusters=True, max_iter=1, clusterer=once)
+    seg = alternate.PanelSegmenter(horizon(spark, sf), k=2, only_clusters=True, max_iter=1, clusterer=once)
     return seg.fit(trans, zero).result
 
 

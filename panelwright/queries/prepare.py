@@ -10,12 +10,12 @@ from panelwright.functions.grid import (
     ScanGrid, linear_grid, nearest, parameter_frame)
 from panelwright.operators import pairs, ranking, scaling
 from panelwright.operators import transitions as tr
-from panelwright.queries.base import NATION_MONTH, PANEL, REGION, TRANS, USER_DAY, query
+from panelwright.queries.base import N_SQL, NATION_MONTH, PANEL, REGION, TRANS, USER_DAY, query
 from panelwright.queries.detection import narrow_transitions, wide_transitions
 from panelwright.session import run_path
 from panelwright.sources import files
 from panelwright.sources.tables import (
-    N_TIMES, nation_month, region_assignment, supplier_month, supplier_month_narrow, table, user_day)
+    horizon, nation_month, region_assignment, supplier_month, supplier_month_narrow, table, user_day)
 
 
 @query("A-01", f"""WITH {PANEL} SELECT subject AS study_id, t AS day, s1 AS step, s3 AS mood,
@@ -207,9 +207,9 @@ def post_change_slice(spark, sf):
         "subject", "t", "cluster", "a", "s1", "y1")
 
 
-@query("B-17", f"WITH {TRANS} SELECT subject, t, s1, y1 FROM trans WHERE t BETWEEN {N_TIMES - 31} AND {N_TIMES - 2}")
+@query("B-17", f"WITH {TRANS} SELECT subject, t, s1, y1 FROM trans WHERE t BETWEEN {N_SQL} - 31 AND {N_SQL} - 2")
 def recent_window(spark, sf):
-    return tr.recent_window(narrow_transitions(spark, sf), N_TIMES, 30).select("subject", "t", "s1", "y1")
+    return tr.recent_window(narrow_transitions(spark, sf), horizon(spark, sf), 30).select("subject", "t", "s1", "y1")
 
 
 @query("B-18", f"""WITH {TRANS} SELECT CASE WHEN t < 60 THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(s1) AS s

@@ -8,11 +8,11 @@ from panelwright.operators.scaling import zscore
 from panelwright.operators.transitions import transitions
 from panelwright.plans import alternate, segment
 from panelwright.plans.changepoint import label
-from panelwright.queries.base import PANEL, TRANS, query
-from panelwright.queries.detection import N_TIMES, narrow_transitions
+from panelwright.queries.base import N_SQL, PANEL, TRANS, query
+from panelwright.queries.detection import narrow_transitions
 from panelwright.queries.prepare import region_tau
 from panelwright.queries.summaries import BASE, QUAL, WSUM
-from panelwright.sources.tables import region_assignment, supplier_month, supplier_month_narrow
+from panelwright.sources.tables import horizon, region_assignment, supplier_month, supplier_month_narrow
 
 
 def scaled_transitions(spark, sf, states=("s1", "s2", "s3")):
@@ -50,7 +50,7 @@ EM = f"WITH {TRANS}, "
 
 @query("K-01")
 def cluster_by_mean(spark, sf):
-    lev = segment.subject_levels(supplier_month_narrow(spark, sf), ["s1"], 40, last=N_TIMES - 1)
+    lev = segment.subject_levels(supplier_month_narrow(spark, sf), ["s1"], 40)
     return segment.cluster_by_mean(lev, 3).select("subject", F.round("mean", 6).alias("mean"), "cluster")
 
 
@@ -70,7 +70,7 @@ def cluster_by_dynamics(spark, sf):
     subj = segment.prepared(narrow_transitions(spark, sf), 1)
     found = segment.cluster_by_dynamics(subj, 3, 1, start(3), max_iter=6)
     err = F.col("err") / F.col("m_n") / 10
-    return subj.join(found.scored, "subject").select("subject", "cluster", F.round(err, 4).alias("err"))
+    return found.scored.select("subject", "cluster", F.round(err, 4).alias("err"))
 
 
 DENS = f"""{BASE}, {WSUM}, e AS (SELECT subject, wf.cluster, sum((y1 - c - b * s1) ** 2) AS e FROM trans JOIN wf USING (a) GROUP BY ALL),
@@ -90,8 +90,9 @@ def density_score(spark, sf):
 def select_k(spark, sf):
     """Every K in one pass per iteration; the criterion of each."""
     subj = segment.prepared(narrow_transitions(spark, sf), 1)
-    n = float(N_TIMES - 1)
-    _, table = segment.select_k(subj, [1, 2, 3], 1, N_TIMES, (n, n), "sqrtN", 2.0, max_iter=4,
+    n_times = horizon(spark, sf)
+    n = float(n_times - 1)
+    _, table = segment.select_k(subj, [1, 2, 3], 1, n_times, (n, n), "sqrtN", 2.0, max_iter=4,
                                 init={k: start(k) for k in (1, 2, 3)})
     return table.select("k", F.round(F.col("loss") / 1000, 4).alias("loss"), F.round(F.col("ic") / 1000, 4).alias("ic"))
 
@@ -100,25 +101,25 @@ def select_k(spark, sf):
   round(-sum(e2), 1) AS loss_unnormalized FROM e GROUP BY cluster""")
 def cluster_quality(spark, sf):
     subj = segment.prepared(narrow_transitions(spark, sf), 1)
-    return segment.cluster_quality(subj, region_assignment(spark, sf), 1, 5).select(
+    return segment.cluster_quality(subj, region_assignment(spark, sf), 1).select(
         "cluster", "n_subjects", F.round("loss_normalized", 3).alias("loss_normalized"),
         F.round("loss_unnormalized", 1).alias("loss_unnormalized"))
 
 
 @query("K-07")
 def cluster_at_end(spark, sf):
-    """Clusters on the last step only, K chosen by the criterion."""
-    found = alternate.run_method("cluster_atend", scaled_transitions(spark, sf, ("s1",)), N_TIMES, (1, 2, 3), c=0.5)
+    """Clusters on the last step only, K chosen by the criterion; subjects without a row there get no label."""
+    found = alternate.run_method("cluster_atend", scaled_transitions(spark, sf, ("s1",)), horizon(spark, sf), (1, 2, 3), c=0.5)
     return found.select("subject", "cluster", "tau")
 
 
-@query("K-08", f"{EM}{em_sql(2, 3, f't >= {N_TIMES - 25 - 1}')} SELECT subject, cluster, round(err / n / 10, 4) AS err FROM lab2_3")
+@query("K-08", f"{EM}{em_sql(2, 3, f't >= {N_SQL} - 26')} SELECT subject, cluster, round(err / n / 10, 4) AS err FROM lab2_3")
 def initial_window(spark, sf):
     """The first clustering uses the shortest window's steps only."""
-    subj = segment.prepared(narrow_transitions(spark, sf), 1, N_TIMES - 25 - 1)
+    subj = segment.prepared(narrow_transitions(spark, sf), 1, horizon(spark, sf) - 26)
     found = segment.cluster_by_dynamics(subj, 2, 1, start(2), max_iter=3)
     err = F.col("err") / F.col("m_n") / 10
-    return subj.join(found.scored, "subject").select("subject", "cluster", F.round(err, 4).alias("err"))
+    return found.scored.select("subject", "cluster", F.round(err, 4).alias("err"))
 
 
 @query("K-09", f"""{BASE}, b AS (SELECT cluster, CASE WHEN t >= cluster * 10 + 20 THEN 1 ELSE 0 END AS after, a, regr_intercept(y1, s1) AS c, regr_slope(y1, s1) AS b
@@ -138,37 +139,38 @@ def segment_contrasts(spark, sf):
 
 # --- alternating runs: three standardised states, simulated limits
 
-FAST = dict(n_times=N_TIMES, p=3, kappa_min=30, kappa_interval=5, draws=2000, max_iter_gmr=10)
+def fast(spark, sf):
+    return dict(n_times=horizon(spark, sf), p=3, kappa_min=30, kappa_interval=5, draws=2000, max_iter_gmr=10)
 
 
 @query("M-01")
 def segment_and_detect(spark, sf):
-    est = alternate.PanelSegmenter(k=2, init="clusters", max_iter=3, **FAST).fit(scaled_transitions(spark, sf))
+    est = alternate.PanelSegmenter(k=2, init="clusters", max_iter=3, **fast(spark, sf)).fit(scaled_transitions(spark, sf))
     return est.result
 
 
 @query("M-02")
 def detect_and_segment(spark, sf):
-    est = alternate.PanelSegmenter(k=2, init="changepoints", max_iter=2, **FAST).fit(scaled_transitions(spark, sf))
+    est = alternate.PanelSegmenter(k=2, init="changepoints", max_iter=2, **fast(spark, sf)).fit(scaled_transitions(spark, sf))
     return est.result
 
 
 @query("M-03")
 def fit_front_door(spark, sf):
     """K from a list in every round; the run log."""
-    est = alternate.PanelSegmenter(k=[1, 2, 3], init="clusters", max_iter=2, **FAST).fit(scaled_transitions(spark, sf))
+    est = alternate.PanelSegmenter(k=[1, 2, 3], init="clusters", max_iter=2, **fast(spark, sf)).fit(scaled_transitions(spark, sf))
     return est.run_log()
 
 
 @query("M-04")
 def fit_tune_k(spark, sf):
-    _, table = alternate.fit_tune_k([1, 2], scaled_transitions(spark, sf), init="clusters", max_iter=2, **FAST)
+    _, table = alternate.fit_tune_k([1, 2], scaled_transitions(spark, sf), init="clusters", max_iter=2, **fast(spark, sf))
     return table
 
 
 @query("M-05")
 def fit_tune_k_each_iter(spark, sf):
-    _, log = alternate.fit_tune_k_each_iter([1, 2], scaled_transitions(spark, sf), rounds=2, **FAST)
+    _, log = alternate.fit_tune_k_each_iter([1, 2], scaled_transitions(spark, sf), rounds=2, **fast(spark, sf))
     return log
 
 
@@ -177,11 +179,12 @@ def method_presets(spark, sf):
     """Labels and change points of every method, one row per method and label."""
     trans = scaled_transitions(spark, sf, ("s1",))
     truth = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster")
-    fast = dict(kappa_min=30, kappa_interval=5, draws=1000, max_iter_gmr=5)
+    coarse = dict(kappa_min=30, kappa_interval=5, draws=1000, max_iter_gmr=5)
+    n_times = horizon(spark, sf)
     out = None
     for method in alternate.PRESETS:
         extra = {"max_iter": 2} if method == "proposed" else {}
-        found = alternate.run_method(method, trans, N_TIMES, (1, 2), truth, **fast, **extra)
+        found = alternate.run_method(method, trans, n_times, (1, 2), truth, **coarse, **extra)
         rows = found.groupBy(F.lit(method).alias("method"), "tau").agg(
             F.count(F.lit(1)).alias("n_subjects"), F.countDistinct("cluster").alias("n_clusters"))
         out = rows if out is None else out.unionByName(rows)
@@ -192,10 +195,11 @@ def method_presets(spark, sf):
 def test_period_labels(spark, sf):
     """Label sources for scoring, cross-tabulated against the training labels."""
     trans = scaled_transitions(spark, sf, ("s1",))
+    n_times = horizon(spark, sf)
     own = label(trans.select("subject").distinct(), region_assignment(spark, sf)).withColumn("tau", F.lit(20))
     out = None
     for kind in ("test_set_only", "after_cp", "after_proposed_cp", "proposed_g_index", "g_index"):
-        found = alternate.test_period_labels(kind, trans, N_TIMES, own, 60, own, (1, 2), max_iter_gmr=5)
+        found = alternate.test_period_labels(kind, trans, n_times, own, 60, own, (1, 2), max_iter_gmr=5)
         rows = own.select("subject", F.col("cluster").alias("k_train")).join(
             found.withColumnRenamed("cluster", "k_test"), "subject"
         ).groupBy(F.lit(kind).alias("source"), "k_train", "k_test").agg(F.count(F.lit(1)).alias("n"))
@@ -207,7 +211,7 @@ def test_period_labels(spark, sf):
 def detection_sink(spark, sf):
     """A run written below method=/seed= and read back."""
     path = alternate.estimate_path(spark)
-    seg = alternate.PanelSegmenter(k=1, init="clusters", max_iter=1, only_changepoints=True, **FAST)
+    seg = alternate.PanelSegmenter(k=1, init="clusters", max_iter=1, only_changepoints=True, **fast(spark, sf))
     trans = scaled_transitions(spark, sf)
     est = seg.fit(trans, assignment=trans.select("subject").distinct().withColumn("cluster", F.lit(0)))
     alternate.write_estimate(est, path, "only_cp", 1)

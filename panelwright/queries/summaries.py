@@ -12,11 +12,11 @@ from panelwright.operators import moments as mo
 from panelwright.operators import ranking, summary
 from panelwright.plans import segment
 from panelwright.plans.changepoint import label
-from panelwright.queries.base import PANEL, REGION, TRANS, query
-from panelwright.queries.detection import N_TIMES, narrow_transitions
+from panelwright.queries.base import END_SQL, N_SQL, PANEL, REGION, TRANS, query
+from panelwright.queries.detection import narrow_transitions
 from panelwright.queries.prepare import region_tau
 from panelwright.sources.tables import (
-    region_assignment, supplier_month, supplier_month_narrow, table)
+    horizon, region_assignment, supplier_month, supplier_month_narrow, table)
 
 BASE = f"WITH {TRANS}, {REGION}, lab AS (SELECT trans.*, cluster FROM trans JOIN region_of USING (subject))"
 
@@ -48,20 +48,19 @@ def region_lines(spark, sf):
 FROM trans JOIN fit USING (a) GROUP BY subject, fit.cluster""")
 def score_all_clusters(spark, sf):
     """Every subject against every region's model, from the subject's sums alone."""
-    trans = narrow_transitions(spark, sf)
-    rows = label(trans, region_assignment(spark, sf))
-    coefs = pooled_coefs(rows)
-    subj = segment.subject_moments(trans, 1)
+    subj = segment.prepared(narrow_transitions(spark, sf), 1)
+    coefs = pooled_coefs(subj, region_assignment(spark, sf))
     errs = F.array(*[F.struct(F.lit(k).alias("cluster"), e.alias("err"))
                      for k, e in zip(coefs, segment.error_columns(list(coefs.values()), 1))])
     return subj.select("subject", F.inline(errs)).select(
         "subject", "cluster", F.round(F.col("err") / 1e4, 3).alias("err"))
 
 
-def pooled_coefs(rows):
-    """Unweighted coefficients per cluster: a dict of K small matrices."""
+def pooled_coefs(subj, assignment):
+    """Unweighted coefficients per cluster from the subjects' sums: a dict of K small matrices."""
     layout = mo.Moments(1)
-    got = sorted(mo.moments_by(rows, ["cluster"], 1).collect(), key=lambda r: r["cluster"])
+    per = subj.join(assignment, "subject").groupBy("cluster").agg(*[F.sum(c).alias(c) for c in layout.names])
+    got = sorted(per.collect(), key=lambda r: r["cluster"])
     xx, xy, _ = layout.design(np.array([[r[c] for c in layout.names] for r in got]))
     return dict(zip([r["cluster"] for r in got], mo.min_norm_solve(xx, xy)))
 
@@ -359,33 +358,34 @@ QUAL = f"""{BASE}, {WSUM}, e AS (SELECT wlab.cluster, subject, w, (y1 - c - b *
 
 @query("D-25", f"{QUAL} SELECT round(-sum(w * e2), 3) AS loss FROM e")
 def cluster_quality_total(spark, sf):
-    subj = segment.subject_moments(narrow_transitions(spark, sf), 1)
-    q = segment.cluster_quality(subj, region_assignment(spark, sf), 1, 5)
+    subj = segment.prepared(narrow_transitions(spark, sf), 1)
+    q = segment.cluster_quality(subj, region_assignment(spark, sf), 1)
     return q.agg(F.round(F.sum("loss_normalized"), 3).alias("loss"))
 
 
 @query("D-26", f"{QUAL} SELECT cluster, round(-sum(w * e2), 3) AS loss_normalized, round(-sum(e2), 1) AS loss_unnormalized FROM e GROUP BY cluster")
 def cluster_quality_each(spark, sf):
-    subj = segment.subject_moments(narrow_transitions(spark, sf), 1)
-    q = segment.cluster_quality(subj, region_assignment(spark, sf), 1, 5)
+    subj = segment.prepared(narrow_transitions(spark, sf), 1)
+    q = segment.cluster_quality(subj, region_assignment(spark, sf), 1)
     return q.select("cluster", F.round("loss_normalized", 3).alias("loss_normalized"),
                     F.round("loss_unnormalized", 1).alias("loss_unnormalized"))
 
 
-FACTS = f"""{QUAL}, f AS (SELECT 5.0::DOUBLE AS k, (SELECT count(*) FROM region_of)::DOUBLE AS n, {float(N_TIMES)}::DOUBLE AS t, 2.0::DOUBLE AS c,
-  (SELECT sum({N_TIMES - 1} - cluster * 10) FROM region_of)::DOUBLE AS sum_len, (SELECT -sum(w * e2) FROM e) AS loss)"""
+FACTS = f"""{QUAL}, f AS (SELECT 5.0::DOUBLE AS k, (SELECT count(*) FROM region_of)::DOUBLE AS n, {N_SQL}::DOUBLE AS t, 2.0::DOUBLE AS c,
+  (SELECT sum({END_SQL} - cluster * 10) FROM region_of)::DOUBLE AS sum_len, (SELECT -sum(w * e2) FROM e) AS loss)"""
 
 
 def facts(spark, sf):
     """One row with all that the criterion needs."""
     labels = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster")
-    subj = segment.subject_moments(narrow_transitions(spark, sf), 1)
-    loss = segment.cluster_quality(subj, labels, 1, 5).agg(F.sum("loss_normalized")).scalar()
-    length = F.lit(N_TIMES - 1) - F.col("tau")
+    subj = segment.prepared(narrow_transitions(spark, sf), 1)
+    loss = segment.cluster_quality(subj, labels, 1).agg(F.sum("loss_normalized")).scalar()
+    n_times = horizon(spark, sf)
+    length = F.lit(n_times - 1) - F.col("tau")
     return labels.agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(length).cast("double").alias("sum_len"),
         F.avg(length).alias("mean_len")
-    ).select("*", F.lit(5.0).alias("k"), F.lit(float(N_TIMES)).alias("t"), F.lit(2.0).alias("c"), loss.alias("loss"))
+    ).select("*", F.lit(5.0).alias("k"), F.lit(float(n_times)).alias("t"), F.lit(2.0).alias("c"), loss.alias("loss"))
 
 
 @query("D-28", f"""{FACTS} SELECT p.name AS penalty, round(CASE WHEN name = 'BIC' THEN -n * ln(-loss / n) ELSE loss END - CASE name
@@ -398,7 +398,7 @@ def information_criterion(spark, sf):
     return row.select(F.inline(each))
 
 
-@query("D-29", f"""{FACTS}, s AS (SELECT sum({N_TIMES - 1} - cluster * 10)::DOUBLE AS wl FROM region_of)
+@query("D-29", f"""{FACTS}, s AS (SELECT sum({END_SQL} - cluster * 10)::DOUBLE AS wl FROM region_of)
 SELECT round(k * ln(sum_len), 6) AS penalty, round(sum_len / ln(sum_len), 6) AS h, round(sqrt(sum_len / ln(sum_len)), 6) AS h_sqrt,
   round(wl / (n * t) * sum_len / ln(sum_len), 6) AS c_term FROM f, s""")
 def criterion_report(spark, sf):
@@ -488,11 +488,11 @@ def repair_candidates(spark, sf):
     Kept as the smallest three of a struct aggregate, so partial results merge
     on the map side and no cluster's subjects are sorted in one task.
     """
-    trans = narrow_transitions(spark, sf)
-    coefs = pooled_coefs(label(trans, region_assignment(spark, sf)))
+    subj = segment.prepared(narrow_transitions(spark, sf), 1)
+    coefs = pooled_coefs(subj, region_assignment(spark, sf))
     errs = F.array(*[F.struct(F.lit(k).alias("cluster"), e.alias("err"))
                      for k, e in zip(coefs, segment.error_columns(list(coefs.values()), 1))])
-    rows = segment.subject_moments(trans, 1).select("subject", F.inline(errs))
+    rows = subj.select("subject", F.inline(errs))
     return summary.smallest(rows, "cluster", ["err", "subject"], 3).select(
         "cluster", "subject", "rn", F.round(F.col("err") / 1e4, 3).alias("err"))
 
@@ -537,11 +537,11 @@ def argmax_model(spark, sf):
 
 @query("F-02", f"{ERRS} SELECT subject, arg_min(cluster, ROW(err, cluster)) AS cluster, round(min(err) / 1e4, 3) AS err FROM err GROUP BY subject")
 def argmin_cluster(spark, sf):
-    trans = narrow_transitions(spark, sf)
-    coefs = pooled_coefs(label(trans, region_assignment(spark, sf)))
+    subj = segment.prepared(narrow_transitions(spark, sf), 1)
+    coefs = pooled_coefs(subj, region_assignment(spark, sf))
     errs = F.array(*[F.struct(e.alias("err"), F.lit(k).alias("cluster"))
                      for k, e in zip(coefs, segment.error_columns(list(coefs.values()), 1))])
-    best = segment.subject_moments(trans, 1).select("subject", F.array_min(errs).alias("b"))
+    best = subj.select("subject", F.array_min(errs).alias("b"))
     return best.select("subject", F.col("b.cluster").alias("cluster"), F.round(F.col("b.err") / 1e4, 3).alias("err"))
 
 
@@ -593,7 +593,7 @@ def named_effects(spark, sf):
 def append_batch(spark, sf):
     """History and the newest 25 steps as one bag."""
     panel = supplier_month_narrow(spark, sf)
-    cut = N_TIMES - 25
+    cut = horizon(spark, sf) - 25
     return panel.filter(F.col("t") < cut).unionByName(panel.filter(F.col("t") >= cut))
 
 

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelwright.functions.features import FeatureMap
-from panelwright.functions.grid import ScanGrid
 from panelwright.operators import ranking
 from panelwright.operators.scaling import zscore_by
 from panelwright.operators.transitions import transitions
 from panelwright.plans import penalised, qtest
 from panelwright.plans.changepoint import label
-from panelwright.queries.base import query
-from panelwright.queries.detection import N_TIMES, narrow_transitions
+from panelwright.queries.base import END_SQL, query
+from panelwright.queries.detection import narrow_transitions, scan_grid
 from panelwright.queries.policies import GAMMA, scaled
 from panelwright.queries.prepare import region_tau
 from panelwright.queries.summaries import BASE
-from panelwright.sources.tables import region_assignment, supplier_month
+from panelwright.sources.tables import horizon, region_assignment, supplier_month
 
 GRID = {"alpha": [0.001, 0.01, 0.05], "gamma": [3.0, 10.0]}
 STATES = ["s1", "s2", "s3"]
@@ -42,26 +41,26 @@ def penalised_cv(spark, sf):
 
 @query("G-04")
 def sparse_change(spark, sf):
-    grid = ScanGrid(N_TIMES, kappa_min=30, step=5)
+    grid = scan_grid(spark, sf, kappa_min=30, step=5)
     found, _ = penalised.detect_sparse_change(cluster_scaled(spark, sf), grid, 3, GRID, draws=500)
     return found
 
 
 @query("D-27", f"""{BASE}, e AS (SELECT cluster, a, count(*) AS n, regr_syy(y1, s1) - regr_sxy(y1, s1) ** 2 / regr_sxx(y1, s1) AS sse
   FROM lab WHERE t >= cluster * 10 GROUP BY ALL), s AS (SELECT cluster, sum(sse) AS sse, sum(n) AS n FROM e GROUP BY cluster)
-SELECT cluster, CAST(cluster * 10 AS INTEGER) AS tau, round(-sse / 1000, 4) AS loss, round(-sse / ({N_TIMES - 1} - cluster * 10) / 1000, 6) AS loss_per_step,
+SELECT cluster, CAST(cluster * 10 AS INTEGER) AS tau, round(-sse / 1000, 4) AS loss, round(-sse / ({END_SQL} - cluster * 10) / 1000, 6) AS loss_per_step,
   round(sse / (n - 4), 4) AS sigma2, 4 AS df FROM s""")
 def changepoint_quality(spark, sf):
     """Post-change fit per region; without a penalty it is least squares."""
     rows = label(narrow_transitions(spark, sf), region_assignment(spark, sf))
-    q = penalised.changepoint_quality(rows, region_tau(spark, sf), N_TIMES, 1, {"alpha": [0.0], "gamma": [3.0]}, cv=False)
+    q = penalised.changepoint_quality(rows, region_tau(spark, sf), horizon(spark, sf), 1, {"alpha": [0.0], "gamma": [3.0]}, cv=False)
     return q.select("cluster", "tau", F.round(F.col("loss") / 1000, 4).alias("loss"),
                     F.round(F.col("loss_per_step") / 1000, 6).alias("loss_per_step"),
                     F.round("sigma2", 4).alias("sigma2"), "df")
 
 
 def q_test(spark, sf):
-    return qtest.q_change_test(scaled(spark, sf), ["s1"], [20, 40, 60], N_TIMES - 1, FeatureMap("polynomial", degree=1),
+    return qtest.q_change_test(scaled(spark, sf), ["s1"], [20, 40, 60], horizon(spark, sf) - 1, FeatureMap("polynomial", degree=1),
                                gamma=0.5, draws=200, max_iter=40)
 
 

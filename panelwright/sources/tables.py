@@ -9,10 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Month 82 of lineitem ends after four days, so the panel stops at month 81.
-LAST_MONTH = 81
-N_TIMES = LAST_MONTH + 1
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,12 +19,18 @@ def month_index(ts) -> F.Column:
     return ((F.year(ts) - 1995) * 12 + F.month(ts) - 1).cast("int")
 
 
-def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(subject, t, s1, s2, s3, a): the supplier-month panel."""
+def supplier_month(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """(subject, t, s1, s2, s3, a): the supplier-month panel.
+
+    ``until`` (a date) leaves out rows from that day on, such as those of a month
+    that has only begun; the default keeps every row.
+    """
     returned = F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    rows = table(spark, sf_dir, "lineitem")
+    if until is not None:
+        rows = rows.filter(F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz"))
     return (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_shipdate") < F.lit("2001-11-01").cast("timestamp_ntz"))
+        rows
         .groupBy(F.col("l_suppkey").alias("subject"), month_index("l_shipdate").alias("t"))
         .agg(
             F.sum("l_quantity").alias("s1"),
@@ -39,6 +41,12 @@ def supplier_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def horizon(spark: SparkSession, sf_dir: str) -> int:
+    """Number of time points of the supplier-month panel: its last month plus one."""
+    last = table(spark, sf_dir, "lineitem").agg(month_index(F.max("l_shipdate")).alias("t")).first()["t"]
+    return 0 if last is None else last + 1
+
+
 def supplier_month_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, t, s1, a): the same panel with the first state only."""
     return supplier_month(spark, sf_dir).select("subject", "t", "s1", "a")

@@ -111,7 +111,7 @@ def test_too_many_clusters_are_refused(spark, mixed):
 def test_quality_and_density(spark, mixed):
     subj = segment.prepared(transitions(spark.createDataFrame(mixed), ["s1"]), 1)
     labels = subj.select("subject", (F.col("subject") >= 100).cast("int").alias("cluster"))
-    total = segment.cluster_quality(subj, labels, 1, 2).agg(F.sum("loss_normalized")).first()[0]
+    total = segment.cluster_quality(subj, labels, 1).agg(F.sum("loss_normalized")).first()[0]
     _, loss = numpy_em(mixed, 2, {i: int(i >= 100) for i in mixed.subject.unique()}, 1)
     assert abs(total - loss) < 1e-8  # the planted labels are stable, so both use the same fit
     coefs = segment.weighted_fit(subj.join(labels, "subject"), 2, 1)
