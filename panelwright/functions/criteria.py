@@ -26,8 +26,11 @@ def register_penalty(name: str, expression: str) -> None:
 
 
 def criterion(penalty: str, dynamic_t: bool = False) -> F.Column:
-    """loss - penalty. ``dynamic_t`` puts the mean segment length in place of T."""
-    text = PENALTIES[penalty]
+    """loss - penalty. ``dynamic_t`` puts the mean segment length in place of T.
+
+    ``penalty`` is a registered name, or an expression over the names above.
+    """
+    text = PENALTIES.get(penalty, penalty)
     if dynamic_t:
         import re
 

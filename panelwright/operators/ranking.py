@@ -6,11 +6,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 512
+# Distinct values or rows of a range, and the fewest ranges that a table is cut into.
+RANGE_ROWS = 1 << 18
+LEAST_RANGES = 16
+
+
+def ranges_for(rows: DataFrame) -> int:
+    """Number of ranges, in proportion to the number of rows."""
+    return max(LEAST_RANGES, -(-rows.count() // RANGE_ROWS))
 
 
 def cumulative_counts(df: DataFrame, by: list[str], col: str, weight: str | None = None,
-                      buckets: int = BUCKETS) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """(by, value, c, below, n): every distinct value with its count and the count below it.
 
     Equal values are merged first, then cut into ranges at approximate
@@ -19,6 +26,7 @@ def cumulative_counts(df: DataFrame, by: list[str], col: str, weight: str | None
     """
     per = df.groupBy(*by, F.col(col).cast("double").alias("value")).agg(
         (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("c"))
+    buckets = buckets or ranges_for(per)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(per.approxQuantile("value", probs, 1.0 / (4 * buckets))))
     ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="value", outputCol="_b").transform(per)
@@ -52,19 +60,20 @@ def quantiles(df: DataFrame, by: list[str], col: str, probs: dict[str, float]) -
         (F.col(f"_lo_{n}") + F.col(f"_w_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in probs])
 
 
-def with_row_number(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+def with_row_number(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Add ``rn`` = 1..n in the order of the unique numeric column ``key``, and ``n``.
 
     Rows are cut into ranges at approximate quantiles; a range's rows are
     numbered on their own and shifted by the size of the ranges below it. The
     result is exact whatever the quality of the quantiles.
     """
+    buckets = buckets or ranges_for(df)
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(key, probs, 1.0 / (4 * buckets))))
     keyed = df.withColumn("_k", F.col(key).cast("double"))
     splits = [float("-inf"), *cuts, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_k", outputCol="_b").transform(keyed).drop("_k")
-    # At most ``buckets`` rows: safe to broadcast and to order in one window.
+    # At most ``buckets`` rows, one for each range: small enough to order in one window.
     sizes = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     below = sizes.select(
         "_b",
@@ -74,7 +83,7 @@ def with_row_number(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFram
     )
     w = Window.partitionBy("_b").orderBy(key)
     return (
-        ranged.join(F.broadcast(below), "_b")
+        ranged.join(below, "_b")
         .withColumn("rn", (F.row_number().over(w) + F.col("_off")).cast("bigint"))
         .drop("_b", "_off")
     )
@@ -91,7 +100,7 @@ def chunk_of(rn: F.Column, n: F.Column, folds: int) -> F.Column:
     return F.when(i < edge, big).otherwise(small).cast("int")
 
 
-def contiguous_chunks(df: DataFrame, key: str, folds: int, buckets: int = BUCKETS) -> DataFrame:
+def contiguous_chunks(df: DataFrame, key: str, folds: int, buckets: int | None = None) -> DataFrame:
     """Add ``fold``: contiguous chunks in the order of ``key`` (as ``ntile``)."""
     return with_row_number(df, key, buckets).withColumn(
         "fold", chunk_of(F.col("rn"), F.col("n"), folds)).drop("rn", "n")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.grid import ScanGrid
 from panelwright.operators.summary import adjusted_rand
+from panelwright.operators.transitions import fill_dense
 from panelwright.plans import changepoint as cp
 from panelwright.plans import nulls, segment
 from panelwright.session import materialize, run_path
@@ -118,15 +119,19 @@ class PanelSegmenter:
                 trans, self.grid, self.p, assignment, limits=self._limits(trans.sparkSession), alpha=self.alpha,
                 draws=self.draws, threshold=self.threshold, seed=self.seed)
         run = cp.detect_mean_change if self.example == "mean" else cp.detect_marginal_change
-        bounds = (self.grid.kappas()[0], self.grid.kappas()[-1])
-        return run(self._levels(trans), self.n_times, bounds, self.grid.eps, self.c1, self.c2, assignment)
+        # These scans go one window further than the regression's, to n_times - 1.
+        bounds = (self.grid.kappa_min, min(self.grid.kappa_max, self.n_times) - 1)
+        states = {f"s{i + 1}": 0.0 for i in range(self.p)}
+        return run(fill_dense(self._levels(trans), self.n_times, states), self.n_times, bounds, self.grid.eps, self.c1, self.c2, assignment)
 
     def _levels(self, trans: DataFrame) -> DataFrame:
-        """(subject, t, s1..sp): the states of all time points, the last one from the last step."""
+        """(subject, t, s1..sp): the states of all time points that a transition starts from or leads to."""
         states = [f"s{i + 1}" for i in range(self.p)]
-        last = trans.filter(F.col("t") == self.n_times - 2).select(
-            "subject", (F.col("t") + 1).alias("t"), *[F.col(f"y{i + 1}").alias(c) for i, c in enumerate(states)])
-        return trans.select("subject", "t", *states).unionByName(last)
+        ends = F.array(
+            F.struct("t", *states),
+            F.struct((F.col("t") + 1).alias("t"), *[F.col(f"y{i + 1}").alias(c) for i, c in enumerate(states)]))
+        return trans.select("subject", F.inline(ends)).groupBy("subject", "t").agg(
+            *[F.any_value(c).alias(c) for c in states])
 
     def _cluster(self, trans: DataFrame, tau: DataFrame | int, start: DataFrame | None):
         """A Segmentation of the subjects on the steps at or after their tau."""
@@ -203,7 +208,8 @@ class PanelSegmenter:
                 break
             if self.early_stopping:
                 if abs(losses[-1] - best) < 1e-5:
-                    loss = losses[-2]
+                    # The round that stops early doesn't count.
+                    loss, m = losses[-2], max(m - 1, 0)
                     break
                 best = min(best, losses[-1])
             if not self.only_changepoints:

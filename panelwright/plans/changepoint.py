@@ -53,8 +53,11 @@ def spread_partitions(df: DataFrame) -> int:
 
 def _history(pdf: pd.DataFrame, names: Sequence[str], end: int) -> np.ndarray:
     """(end + 1, q): entry i holds the sums over t < i; steps without rows add nothing."""
+    t = pdf["t"].to_numpy()
+    if len(t) and (t.min() < 0 or t.max() >= end):
+        raise ValueError(f"a transition starts outside of 0..{end - 1}")
     dense = np.zeros((end, len(names)))
-    dense[pdf["t"].to_numpy()] = pdf[list(names)].to_numpy(float)
+    dense[t] = pdf[list(names)].to_numpy(float)
     return np.vstack([np.zeros((1, len(names))), np.cumsum(dense, axis=0)])
 
 
@@ -181,10 +184,17 @@ def first_rejection(best: DataFrame, limits: DataFrame, grid: ScanGrid) -> DataF
 
 
 def with_pvalues(best: DataFrame, sample: DataFrame) -> DataFrame:
-    """Add ``pvalue``: the share of null draws of the same window above the statistic."""
-    joined = best.join(sample.withColumnRenamed("stat", "null_stat"), "kappa")
-    return joined.groupBy("cluster", "kappa", "u", "stat").agg(
-        F.avg(F.when(F.col("stat") < F.col("null_stat"), 1.0).otherwise(0.0)).alias("pvalue"))
+    """Add ``pvalue``: the share of null draws of the same window above the statistic.
+
+    A window's draws travel as one array, whose length is the number of draws.
+    """
+    draws = sample.groupBy("kappa").agg(F.collect_list("stat").alias("_draws"))
+    return best.join(draws, "kappa").withColumn("pvalue", share_above("_draws", "stat")).drop("_draws")
+
+
+def share_above(draws: str, stat: str) -> F.Column:
+    """Share of the array's values above ``stat``."""
+    return F.size(F.filter(draws, lambda x: x > F.col(stat))) / F.size(draws)
 
 
 def dense_df(p: int) -> int:

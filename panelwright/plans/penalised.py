@@ -19,7 +19,7 @@ from panelwright.functions.grid import ScanGrid, parameter_grid
 from panelwright.functions.scalars import TINY
 from panelwright.operators.moments import Moments, gram_solve, moments_by
 from panelwright.plans import nulls
-from panelwright.plans.changepoint import _reject, spread_partitions
+from panelwright.plans.changepoint import _reject, spread_partitions, share_above
 from panelwright.session import materialize
 
 # Coefficients below this size count as zero, and the error given
@@ -272,19 +272,19 @@ def detect_sparse_change(rows: DataFrame, grid: ScanGrid, p: int, param_grid: di
     """(cluster, tau, ...) and the table of all windows with threshold and p-value.
 
     The null law depends on the window and on the number of covariates picked,
-    so limits are drawn for the counts that occur.
+    so limits are drawn for the counts that occur. A window in which the penalty keeps no
+    covariate has no limit (threshold NULL, p-value 1) and can't reject.
     """
     best = sparse_scan(rows, grid, p, param_grid, **settings)
     best = materialize(best, "sparse-scan")
     spark = rows.sparkSession
     # At most (2 + 2p) p different counts.
     dfs = sorted({r["df"] for r in best.select("df").distinct().collect()} - {0})
-    sample = None
+    laws = spark.createDataFrame([], "kappa int, df int, threshold double, _draws array<double>")
     for df in dfs:
-        one = nulls.null_sample(spark, grid.kappas(), df, draws).withColumn("df", F.lit(df))
-        sample = one if sample is None else sample.unionByName(one)
-    sample = sample.withColumnRenamed("stat", "null_stat")
-    per = best.join(sample, ["kappa", "df"]).groupBy(*best.columns).agg(
-        F.percentile("null_stat", F.lit(1.0 - level)).alias("threshold"),
-        F.avg(F.when(F.col("stat") < F.col("null_stat"), 1.0).otherwise(0.0)).alias("pvalue"))
+        laws = laws.unionByName(
+            nulls.null_sample(spark, grid.kappas(), df, draws).groupBy("kappa", F.lit(df).alias("df")).agg(
+                F.percentile("stat", F.lit(1.0 - level)).alias("threshold"), F.collect_list("stat").alias("_draws")))
+    per = best.join(laws, ["kappa", "df"], "left").withColumn(
+        "pvalue", F.coalesce(share_above("_draws", "stat"), F.lit(1.0))).drop("_draws")
     return _reject(per, grid), per

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -74,17 +75,16 @@ class OnlineCusum(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, s, dev, last = self.state.get() if self.state.exists() else (0, 0.0, 0.0, -1)
-        batch = pd.concat(list(rows)).sort_values("t")
-        out = []
-        for t, x in zip(batch["t"], batch["s1"]):
-            if t <= last:
-                continue
-            if n:
-                dev += x - s / n
-            n, s, last = n + 1, s + x, int(t)
-            out.append((key[0], last, s / n, dev))
-        self.state.update((n, s, dev, last))
-        yield pd.DataFrame(out, columns=["subject", "t", "fwd", "dev"])
+        batch = pd.concat(list(rows)).sort_values("t", kind="stable").drop_duplicates("t")
+        batch = batch[batch["t"] > last]
+        t, x = batch["t"].to_numpy(), batch["s1"].to_numpy(float)
+        total, count = np.cumsum(np.append(s, x)), n + np.arange(len(x) + 1)
+        step = x - total[:-1] / np.maximum(count[:-1], 1)
+        if not n:
+            step[:1] = 0.0
+        path = np.cumsum(np.append(dev, step))
+        self.state.update((int(count[-1]), float(total[-1]), float(path[-1]), int(t[-1]) if len(t) else last))
+        yield pd.DataFrame({"subject": key[0], "t": t, "fwd": total[1:] / np.maximum(count[1:], 1), "dev": path[1:]})
 
     def close(self) -> None:
         pass

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import features, grid, scalars
 from panelwright.operators import ranking, scaling, transitions as tr
-from panelwright.sources import files
+from panelwright.sources import files, tables
 
 
 def test_transitions_do_not_depend_on_blocks(spark, change_panel):
@@ -142,3 +142,12 @@ def test_checkpoint_dir_is_required_on_a_cluster(spark):
 
     with pytest.raises(ValueError):
         session.shared_dir(Cluster)
+
+
+def test_horizon_follows_the_data(spark):
+    """Every month of the table is in the panel; a date keeps a begun month out only if given."""
+    sf = "/root/testdata/sf0.001"
+    n = tables.horizon(spark, sf)
+    panel = tables.supplier_month(spark, sf)
+    assert panel.agg(F.max("t")).first()[0] == n - 1
+    assert tables.supplier_month(spark, sf, until="2001-11-01").agg(F.max("t")).first()[0] < n - 1

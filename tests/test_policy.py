@@ -354,3 +354,13 @@ def test_q_change(spark):
             assert abs(got - diff * np.sqrt(20 * 19 / 39)) < 1e-6
     assert all(p < 0.05 for p in out["moved"].values())
     assert all(p > 0.01 for p in out["still"].values())
+
+
+def test_windows_without_covariates_are_kept(spark, change_panel):
+    """A penalty that keeps nothing leaves every window, without a limit and without a rejection."""
+    trans = transitions(spark.createDataFrame(change_panel), ["s1"]).withColumn("cluster", F.lit(0))
+    found, per = penalised.detect_sparse_change(
+        trans, ScanGrid(51, kappa_min=40, eps=0.05), 1, {"alpha": [1e6], "gamma": [3.0]}, draws=50)
+    rows = per.collect()
+    assert rows and all(r["df"] == 0 and r["threshold"] is None and r["pvalue"] == 1.0 for r in rows)
+    assert found.first()["tau"] == 0

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import criteria
 from panelwright.operators import summary
-from panelwright.operators.transitions import transitions
+from panelwright.operators.transitions import fill_dense, transitions
 from panelwright.plans import alternate, segment
+from panelwright.plans import changepoint as cp
 
 
 def numpy_em(pdf, k, labels, max_iter, p=1):
@@ -102,12 +103,6 @@ def test_grid_of_k_equals_single_runs(spark, mixed):
     assert abs(rows[2] - (many[2].loss - 0.01 * 2 * np.sqrt(14))) < 1e-9
 
 
-def test_too_many_clusters_are_refused(spark, mixed):
-    subj = segment.subject_moments(transitions(spark.createDataFrame(mixed), ["s1"]), 1)
-    with pytest.raises(ValueError):
-        segment.cluster_by_dynamics(subj, 65, 1)
-
-
 def test_quality_and_density(spark, mixed):
     subj = segment.prepared(transitions(spark.createDataFrame(mixed), ["s1"]), 1)
     labels = subj.select("subject", (F.col("subject") >= 100).cast("int").alias("cluster"))
@@ -214,3 +209,32 @@ def test_mean_example_runs_on_levels(spark):
     lab = {r["subject"]: r["cluster"] for r in est.result.collect()}
     tau = {r["tau"] for r in est.result.collect()}
     assert len({lab[i] for i in range(5)}) == 1 and lab[0] != lab[9] and all(20 <= x <= 30 for x in tau)
+
+
+def test_many_clusters(spark):
+    """More clusters than one block of pairs holds are scored as by numpy."""
+    pdf = panel_frame(range(90), 12, lambda t: (0, -0.5, 0.3, 0.5))
+    held, segment.PAIRS = segment.PAIRS, 400
+    try:
+        got, _ = run(spark, pdf, 80, (F.col("subject") % 80).cast("int"), max_iter=1)
+    finally:
+        segment.PAIRS = held
+    assert len(got) == 90 and len(set(got.values())) <= 80
+    m = np.abs(np.random.default_rng(1).normal(size=(50, 6)))
+    w = np.random.default_rng(2).normal(size=(80, 6))
+    lab, err = segment._nearest_cluster(m, w)
+    assert (lab == (m @ w.T).argmin(1)).all() and np.allclose(err, (m @ w.T).min(1))
+
+
+def test_mean_detection_on_a_gapped_panel(spark):
+    """The detector sees the dense panel, rows before gaps included, and windows up to the last one."""
+    pdf = panel_frame(range(12), 40, steady)
+    pdf = pdf[~((pdf["t"] == 20) & (pdf["subject"] < 6))]
+    panel = spark.createDataFrame(pdf)
+    trans = transitions(panel, ["s1"])
+    seg = alternate.PanelSegmenter(40, k=1, example="mean", kappa_min=10)
+    zero = trans.select("subject").distinct().withColumn("cluster", F.lit(0))
+    got = seg._detect(trans, zero).first()
+    dense = fill_dense(panel.select("subject", "t", "s1"), 40, {"s1": 0.0})
+    want = cp.detect_mean_change(dense, 40, (10, 39), assignment=zero).first()
+    assert got["kappa"] == 39 and got["tau"] == want["tau"] and abs(got["stat"] - want["stat"]) < 1e-9
