@@ -178,13 +178,13 @@ class Model:
 
 
 def _best(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(label, n, sums): words and segment sums of calibration documents; then, with label -1, how many
+    """(label, n, best): words and largest segment sum of calibration documents; then, with label -1, how many
     words of the documents with label 0 have each score (in steps of 0.05)."""
     steps: dict[float, int] = {}
     for batch in batches:
         texts = batch.column("text").to_pylist()
         labels = batch.column("label").to_pylist()
-        rows = [(n, [s for _, _, s in found]) for found, n in shared.value.scan(texts)]
+        rows = [(n, max((s for _, _, s in found), default=0.0)) for found, n in shared.value.scan(texts)]
         calm = (x for x, label in zip(texts, labels) if label == 0)
         for _, group in grouped(calm):
             score, n = np.unique(np.round(shared.value.token_scores(group)[0], 2) // 0.05 * 0.05, return_counts=True)
@@ -192,10 +192,25 @@ def _best(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
                 steps[x] = steps.get(x, 0) + m
         yield pa.RecordBatch.from_arrays(
             [pa.array(labels, pa.int32()), pa.array([n for n, _ in rows], pa.int64()),
-             pa.array([s for _, s in rows], pa.list_(pa.float64()))], names=["label", "n", "sums"])
+             pa.array([s for _, s in rows], pa.float64())], names=["label", "n", "best"])
     yield pa.RecordBatch.from_arrays(
         [pa.array([-1] * len(steps), pa.int32()), pa.array(list(steps.values()), pa.int64()),
-         pa.array([[x] for x in steps], pa.list_(pa.float64()))], names=["label", "n", "sums"])
+         pa.array(list(steps), pa.float64())], names=["label", "n", "best"])
+
+
+def _evidence(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(label, best, every): evidence of calibration documents once lambda and K are known."""
+    for batch in batches:
+        m = shared.value
+        pairs = [evidence(found, n, m.lam, m.k) for found, n in m.scan(batch.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("label").cast(pa.int32()), pa.array([x for x, _ in pairs], pa.float64()),
+             pa.array([x for _, x in pairs], pa.float64())], names=["label", "best", "every"])
+
+
+def extreme_constant(n: np.ndarray, best: np.ndarray, lam: float) -> float:
+    """K from words and best segment sums of non-toxic documents: K n exp(-lambda S) has mean 1."""
+    return len(n) / max(float((n * np.exp(-lam * best)).sum()), 1e-12)
 
 
 def train(docs: DataFrame, toxic: DataFrame, label: str = "toxic", bits: int = BITS,
@@ -215,22 +230,21 @@ def train(docs: DataFrame, toxic: DataFrame, label: str = "toxic", bits: int = B
     model = Model(log_odds(*counts))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = label_rows.labelled(docs, sampled.withColumn("fold", fold).filter("fold = 3").drop("fold"), "inner")
-    seen = (held.select("text", "label").mapInArrow(lambda b: _best(b, shared), "label int, n long, sums array<double>")
-            .toArrow())
-    y, n = seen["label"].to_numpy(), seen["n"].to_numpy()
-    sums = seen["sums"].to_pylist()
+    held = held.select("text", "label")
+    seen = held.mapInArrow(lambda b: _best(b, shared), "label int, n long, best double").toArrow()
+    y, n, best = (seen[c].to_numpy() for c in ("label", "n", "best"))
     steps = y < 0
-    step_score, step_n = np.array([s[0] for s, x in zip(sums, steps) if x]), n[steps].astype(float)
-    sums, y, n = [s for s, x in zip(sums, steps) if not x], y[~steps], n[~steps]
+    step_score, step_n = best[steps], n[steps].astype(float)
+    y, n, best = y[~steps], n[~steps], best[~steps]
     if not counts[1].sum() or not counts[2].sum() or len(set(y)) < 2:
         share = float(np.mean(y)) if len(y) else 0.0
         return Model(model.table, constant=share)
     lam = decay(step_score, step_n)
-    top = np.array([s[0] if s else 0.0 for s in sums])
     calm = (y == 0) & (n > 0)
-    k = calm.sum() / max(float((n[calm] * np.exp(-lam * top[calm])).sum()), 1e-12)
-    pairs = np.array([evidence([(0, 0, x) for x in s], int(m), lam, k) for s, m in zip(sums, n)])
-    weights = logistic(Model.design(pairs[:, 0], pairs[:, 1]), y.astype(float))
+    k = extreme_constant(n[calm], best[calm], lam)
+    fitted = docs.sparkSession.sparkContext.broadcast(Model(model.table, lam, k))
+    pairs = held.mapInArrow(lambda b: _evidence(b, fitted), "label int, best double, every double").toArrow()
+    weights = logistic(Model.design(pairs["best"].to_numpy(), pairs["every"].to_numpy()), pairs["label"].to_numpy().astype(float))
     return Model(model.table, lam, k, weights)
 
 
