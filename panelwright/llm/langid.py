@@ -59,7 +59,7 @@ def normalise(text: str | None) -> np.ndarray:
 
 def pieces(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(owners, code points, offsets): groups of pieces of texts, of about GROUP characters each."""
-    last = max(SIZES) - 1
+    last, least = max(SIZES) - 1, min(SIZES) - 1
     owners: list[int] = []
     parts: list[np.ndarray] = []
     size = 0
@@ -70,7 +70,7 @@ def pieces(texts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         return np.array(owners), np.concatenate(parts), offsets
 
     for i, text in enumerate(texts):
-        for at in range(0, max(0, len(text) - last), GROUP):
+        for at in range(0, max(0, len(text) - least), GROUP):
             part = text[at : at + GROUP + last]
             if parts and size + len(part) > GROUP + last:
                 yield flush()
