@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm import (
-    langid, merge_replay, packing, passages, piece_count, repeats, resample, simhash, stable_hash, vafile)
+    decision_list, interaction, langid, merge_replay, packing, passages, piece_count, repeats, resample, simhash,
+    stable_hash, vafile, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +134,53 @@ def op4(spark, sf_dir):
 def op10(spark, sf_dir):
     flagged = passages.flag(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
     return flagged.select("doc_id", (~passages.learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+@query("op11_filter_audit", r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+  FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN m USING (doc_id)),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT v.x || w.x || x.x || y.x || z.x AS o FROM l v, l w, l x, l y, l z
+  WHERE len(list_distinct([v.x, w.x, x.x, y.x, z.x])) = 5),
+r AS (
+  SELECT f.*, o, least(if(a, instr(o, 'A'), 9), if(b, instr(o, 'B'), 9), if(c, instr(o, 'C'), 9),
+                       if(d, instr(o, 'D'), 9), if(e, instr(o, 'E'), 9)) AS gone FROM f, o),
+s AS (
+  SELECT part, o, k, substr(o, k, 1) AS x,
+         count(*) FILTER (gone > k) AS kept, count(*) FILTER (gone = k) AS removed,
+         count(*) FILTER (gone < k AND CASE substr(o, k, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END)
+           AS redundant,
+         count(*) FILTER (a::INTEGER + b::INTEGER + c::INTEGER + d::INTEGER + e::INTEGER = 1
+           AND CASE substr(o, k, 1) WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END) AS unique_fails,
+         coalesce(sum(good) FILTER (gone = k), 0) AS good_lost, coalesce(sum(toxic) FILTER (gone = k), 0) AS toxic_lost
+  FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS k) GROUP BY part, o, k)
+SELECT part, o AS filter_order, CAST(k AS INTEGER) AS step, kept, removed, redundant, unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM s
+""")
+def op11(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return interaction.audit_texts(docs, table(spark, sf_dir, "labels"))
+
+
+@query("op12_quality_rules")
+def op12(spark, sf_dir):
+    judged, _ = decision_list.judge(texts(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "rule")
+
+
+@query("op13_whitening")
+def op13(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
