@@ -472,25 +472,67 @@ def initial_values(rows: DataFrame, policy_model: LinearQ, evaluated: LinearQ) -
     return flat.select("cluster", "subject", F.when(F.col("opt_action") == 1, q1).otherwise(q0).alias("value"))
 
 
+def pair_labels(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``rows`` with ``cluster`` = the number of the (test, train) pair of labels, and the pairs in order.
+
+    ``rows`` have the training label as ``cluster``; ``labels`` has (subject, k_test). There are as many pairs
+    as labels times labels at most.
+    """
+    both = rows.withColumn("k_train", F.col("cluster").cast("long")).drop("cluster").join(
+        labels.select("subject", F.col("k_test").cast("long").alias("k_test")), "subject")
+    found = both.select("k_test", "k_train").distinct().filter("k_test is not null and k_train is not null").collect()
+    pairs = sorted((r["k_test"], r["k_train"]) for r in found)
+    table = rows.sparkSession.createDataFrame(
+        [(*pair, i) for i, pair in enumerate(pairs)], "k_test long, k_train long, cluster int")
+    return both.join(table, ["k_test", "k_train"]).select(*rows.columns), pairs
+
+
 def ope_by_segment(rows: DataFrame, labels: DataFrame, model: LinearQ, gamma: float, max_iter: int = 500,
                    early_stopping: bool = False) -> DataFrame:
     """(subject, k_test, k_train, value): evaluation inside every (test, train) pair of labels.
 
     ``rows`` are test steps with ``cluster`` = training label; ``labels`` has
     (subject, k_test). All pairs are evaluated in the same passes: each pair is
-    a group of its own that starts from its training label's model.
+    a group of its own that starts from its training label's model. For trees see
+    :func:`trees.ope_by_segment`.
     """
-    top = max(model.clusters) + 1
-    paired = rows.join(labels.select("subject", "k_test"), "subject").withColumn(
-        "k_train", F.col("cluster")).withColumn("cluster", (F.col("k_test") * top + F.col("k_train")).cast("int"))
-    keys = [r["cluster"] for r in paired.select("cluster").distinct().collect()]
-    spread = LinearQ({(g, a): v for g in keys for (k, a), v in model.coefs.items() if k == g % top})
-    flat = paired.drop("k_test", "k_train")
-    done = fitted_q_evaluation(flat, spread, gamma, max_iter, rule="relative", early_stopping=early_stopping)
+    paired, pairs = pair_labels(rows, labels)
+    spread = LinearQ({(i, a): v for i, (_, k_train) in enumerate(pairs) for (k, a), v in model.coefs.items() if k == k_train})
+    done = fitted_q_evaluation(paired, spread, gamma, max_iter, rule="relative", early_stopping=early_stopping)
     # The start action is greedy under the Q that evaluation ended with.
-    value = initial_values(flat, done.model, done.model)
-    return value.select("subject", F.floor(F.col("cluster") / top).cast("int").alias("k_test"),
-                        (F.col("cluster") % top).alias("k_train"), "value")
+    value = initial_values(paired, done.model, done.model)
+    table = rows.sparkSession.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)], "cluster int, k_test long, k_train long")
+    return value.join(table, "cluster").select("subject", "k_test", "k_train", "value")
+
+
+def evaluate_with(rows: DataFrame, fitter, start, gamma: float = 0.95, max_iter: int = 200, policy: str = "greedy",
+                  rule: str = "absolute", early_stopping: bool = False, tol: float = 1e-7, seed: int = 1, constant: int = 0,
+                  models: Sequence = ()) -> tuple[Any, list[float]]:
+    """Q of a fixed policy with any regressor, refitted each round; the model and each round's change.
+
+    ``fitter`` and the models are as in :func:`q_iteration_with`. The policy's actions are chosen once, from
+    ``start``, and written; a round is one fit and one aggregate. Stop rules are those of
+    :func:`fitted_q_evaluation`, over all rows together.
+    """
+    acted = materialize(_policy_column(rows, policy, start, seed, constant, models), "acted")
+    features, cluster = _cols("z", _width(rows)), F.col("cluster")
+
+    def taken(model) -> Column:
+        q0, q1 = model.columns(features, cluster)
+        return F.coalesce(F.when(F.col("pi") == 1, q1).otherwise(q0), F.lit(0.0))
+
+    model, errors, smallest = start, [], float("inf")
+    while len(errors) < max_iter:
+        following = fitter(acted.withColumn("target", F.col("r") + F.lit(float(gamma)) * taken(model)))
+        step = F.pow(F.col("new") - F.col("old"), F.lit(2.0))
+        step = step if rule == "absolute" else step / F.nullif(F.pow(F.col("old"), F.lit(2.0)), F.lit(0.0))
+        err = acted.select(taken(following).alias("new"), taken(model).alias("old")).agg(F.avg(step)).first()[0] or 0.0
+        errors.append(err)
+        model = following
+        if err < tol or (early_stopping and abs(err - smallest) < 1e-5):
+            break
+        smallest = min(smallest, err)
+    return model, errors
 
 
 # --- regression trees

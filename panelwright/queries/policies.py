@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.features import FeatureMap
 from panelwright.operators import kernel, ranking
-from panelwright.plans import policy
+from panelwright.plans import policy, trees
 from panelwright.plans.changepoint import label
-from panelwright.queries.base import PANEL, TRANS, query
+from panelwright.queries.base import PANEL, REGION, TRANS, query
 from panelwright.queries.detection import narrow_transitions
+from panelwright.queries.prepare import region_tau
+from panelwright.queries.tree_sql import bin_sql, evaluate_sql, fit_sql, value_sql, with_trees
 from panelwright.session import materialize, run_path
 from panelwright.sources import files
 from panelwright.sources.tables import region_assignment, supplier_month_narrow
@@ -190,16 +192,6 @@ def evaluation_of_vote(spark, sf):
     return done.values().select("subject", "t", F.round("value", 5).alias("value"))
 
 
-@query("Q-11")
-def ope_by_segment(spark, sf):
-    """Value of every subject on the last steps, by test and training label."""
-    rows = label(scaled(spark, sf), region_assignment(spark, sf))
-    base = materialize(policy.policy_rows(rows, ["s1"], LINEAR, "cluster"), "policy-rows")
-    model = policy.fitted_q_iteration(base.filter("t < 60"), GAMMA, max_iter=5).model
-    test = region_assignment(spark, sf).select("subject", (F.col("subject") % 2).cast("int").alias("k_test"))
-    return policy.ope_by_segment(base.filter("t >= 60"), test, model, GAMMA, 50)
-
-
 @query("Q-12")
 def epsilon_greedy(spark, sf):
     rows = linear_rows(spark, sf)
@@ -216,27 +208,86 @@ def policy_sink(spark, sf):
         "action", F.round(F.col("coef")[0], 6).alias("c"), F.round(F.col("coef")[1], 6).alias("b"))
 
 
-@query("Q-02")
-def tree_q_iteration(spark, sf):
-    """Regression trees as Q functions: greedy action counts and mean value."""
-    rows = materialize(policy.tree_rows(scaled(spark, sf), ["s1"]), "tree-rows")
-    model = policy.tree_q_iteration(rows, GAMMA, max_depth=3, min_leaf=40, max_iter=1)
-    scored = model.add_values(rows, "now", "q")
-    act = F.when(F.col("q1") > F.col("q0"), 1).otherwise(0)
-    return scored.groupBy(act.alias("action")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.greatest("q0", "q1")), 6).alias("value"))
+# --- trees: one per (cluster, action), on the steps after the cluster's change, to their own stop rule
+
+TREE_GAMMA = 0.5
+TREE_ROWS = f"""{TRANS}, {REGION}, base AS (SELECT subject, t, cluster AS g, a, s1 / 100 AS x, y1 / 100 AS z, y1 / 100 AS r
+  FROM trans JOIN region_of USING (subject) WHERE t >= cluster * 10 + 20)"""
+
+
+def cell_sql(name: str, source: str, depth: str = "2", leaf: str = "40") -> str:
+    """CTEs: the rows of ``source`` (g, a, x, z, r) with their bins, and as cells."""
+    return f"""{name}_coded AS (SELECT s.*, p.code AS cx, q.code AS cz FROM {source} s JOIN bin p ON p.v = s.x JOIN bin q ON q.v = s.z),
+{name} AS (SELECT g, a, {depth} AS depth, {leaf} AS leaf, cx, cz, count(*)::DOUBLE AS n, sum(r) AS r FROM {name}_coded GROUP BY ALL)"""
+
 
+def tree_rows(spark, sf):
+    """Rows of every region after its change point."""
+    rows = policy.policy_rows(label(scaled(spark, sf), region_assignment(spark, sf)), ["s1"], LINEAR, "cluster")
+    taus = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster").select("subject", (F.col("tau") + 20).alias("tau"))
+    return materialize(trees.post_change(rows, taus), "policy-rows")
 
-@query("Q-09")
+
+Q_X = [value_sql(f"t{a}", "c.cx") for a in (0, 1)]
+
+
+@query("Q-02", f"""WITH RECURSIVE {TREE_ROWS}, {bin_sql('base')}, {cell_sql('cells', 'base')}, {fit_sql('fit', 'cells', TREE_GAMMA)}
+SELECT CAST(g AS INTEGER) AS cluster, CASE WHEN {Q_X[1]} > {Q_X[0]} THEN 1 ELSE 0 END AS action, count(*) AS n,
+  round(avg(greatest({Q_X[0]}, {Q_X[1]})), 6) AS value, CAST(any_value(t0.step) AS INTEGER) AS rounds
+FROM cells_coded c {with_trees('fit')} GROUP BY 1, 2""")
+def tree_q_iteration(spark, sf):
+    """Trees of depth two as Q functions of each region: greedy action counts, mean value, rounds until the rule stopped."""
+    rows = tree_rows(spark, sf)
+    fit = trees.tree_policies(rows, TREE_GAMMA, max_depth=2, min_leaf=40)
+    rounds = spark.createDataFrame([(k, n) for k, n in zip(fit.trees.clusters, fit.iterations)], "cluster int, rounds int")
+    return policy.greedy(rows, fit.trees).groupBy("cluster", F.col("opt_action").alias("action")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("opt_value"), 6).alias("value")).join(rounds, "cluster")
+
+
+CV_GRID = [{"max_depth": d, "min_samples_leaf": m} for d in (1, 2) for m in (20, 60)]
+CV_FOLDS = 3
+
+
+@query("Q-09", f"""WITH RECURSIVE {TRANS},
+fold_of AS (SELECT subject, ntile({CV_FOLDS}) OVER (ORDER BY subject) - 1 AS fold FROM (SELECT DISTINCT subject FROM trans)),
+base AS (SELECT fold, a, s1 / 100 AS x, y1 / 100 AS z, y1 / 100 AS r FROM trans JOIN fold_of USING (subject)), {bin_sql('base')},
+grid AS (SELECT * FROM (VALUES {", ".join(f"({i}, {p['max_depth']}, {p['min_samples_leaf']})" for i, p in enumerate(CV_GRID))}) v(param_id, depth, leaf)),
+model AS (SELECT param_id * {CV_FOLDS} + f AS g, param_id, depth, leaf, f FROM grid, (SELECT unnest(range({CV_FOLDS})) AS f)),
+train AS (SELECT g, depth, leaf, a, x, z, r FROM base JOIN model ON fold <> f), {cell_sql('cells', 'train', 'depth', 'leaf')},
+{fit_sql('fit', 'cells', TREE_GAMMA, 200, 1e-4, True)},
+test AS (SELECT g, param_id, a, r, p.code AS cx, q.code AS cz FROM base JOIN model ON fold = f JOIN bin p ON p.v = x JOIN bin q ON q.v = z),
+loss AS (SELECT g, param_id, avg((r + {TREE_GAMMA} * greatest({value_sql('t0', 'c.cz')}, {value_sql('t1', 'c.cz')}) - CASE WHEN c.a = 1 THEN {Q_X[1]} ELSE {Q_X[0]} END) ** 2) AS loss
+  FROM test c {with_trees('fit')} GROUP BY g, param_id)
+SELECT 0 AS cluster, CAST(param_id AS INTEGER) AS param_id, round(avg(loss), 6) AS test_error FROM loss GROUP BY param_id""")
 def select_model_cv(spark, sf):
-    """Tree settings by two-fold test error."""
+    """Depth and leaf size by three-fold test error, all settings and folds in the same passes."""
     trans = scaled(spark, sf)
-    folds = ranking.contiguous_chunks(trans.select("subject").distinct(), "subject", 2)
-    grid = [{"max_depth": d, "min_samples_leaf": 40} for d in (2, 4)]
-    return policy.select_tree_cv(trans, folds, ["s1"], grid, GAMMA, max_iter=0).withColumn(
+    folds = ranking.contiguous_chunks(trans.select("subject").distinct(), "subject", CV_FOLDS)
+    rows = policy.policy_rows(trans, ["s1"], LINEAR).join(folds, "subject")
+    return trees.select_tree_cv(materialize(rows, "cv-rows"), CV_GRID, CV_FOLDS, TREE_GAMMA).withColumn(
         "test_error", F.round("test_error", 6))
 
 
+@query("Q-11", f"""WITH RECURSIVE {TRANS}, {REGION},
+steps AS (SELECT subject, t, cluster AS g, cluster AS k_train, subject % 2 AS k_test, a, s1 / 100 AS x, y1 / 100 AS z, y1 / 100 AS r
+  FROM trans JOIN region_of USING (subject)), {bin_sql('steps')},
+train AS (SELECT * FROM steps WHERE t < 60), {cell_sql('cells', 'train', '2', '40')}, {fit_sql('fit', 'cells', TREE_GAMMA)},
+test AS (SELECT * REPLACE (k_test * 100 + k_train AS g) FROM steps WHERE t >= 60), {cell_sql('tests', 'test', '2', '10')},
+start AS (SELECT p.g, a, c0, cl, cr, v0, v1, v2, v3 FROM (SELECT DISTINCT g, k_train FROM test) p JOIN fit ON fit.g = p.k_train),
+{evaluate_sql('done', 'tests', 'start', TREE_GAMMA)},
+first AS (SELECT subject, any_value(g) AS g, any_value(k_test) AS k_test, any_value(k_train) AS k_train, arg_min(cx, t) AS cx FROM tests_coded GROUP BY subject)
+SELECT subject, CAST(k_test AS BIGINT) AS k_test, CAST(k_train AS BIGINT) AS k_train, round(greatest({Q_X[0]}, {Q_X[1]}), 5) AS value
+FROM first c {with_trees('done')}""")
+def ope_by_segment(spark, sf):
+    """Value of every subject on the last steps, by test and training label; trees grown anew in each round."""
+    rows = materialize(policy.policy_rows(label(scaled(spark, sf), region_assignment(spark, sf)), ["s1"], LINEAR, "cluster"), "policy-rows")
+    bins = trees.bins_of(rows)
+    specs = [trees.Spec(k, -1, 2, 40) for k in trees.clusters_of(rows)]
+    fit = trees.fit_q(trees.cells(rows.filter("t < 60"), bins), specs, bins, TREE_GAMMA)
+    test = region_assignment(spark, sf).select("subject", (F.col("subject") % 2).alias("k_test"))
+    return trees.ope_by_segment(rows.filter("t >= 60"), test, fit.trees, TREE_GAMMA, 2, 10).withColumn("value", F.round("value", 5))
+
+
 def cv_sql(folds: int, updates: int, where: str) -> str:
     parts = [f"fold_of AS (SELECT subject, ntile({folds}) OVER (ORDER BY subject) - 1 AS fold FROM (SELECT DISTINCT subject FROM trans))",
              f"base AS (SELECT fold, subject, t, a, s1 / 100 AS x, y1 / 100 AS z, y1 / 100 AS r FROM trans JOIN fold_of USING (subject) WHERE {where})",
