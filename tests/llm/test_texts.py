@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -56,6 +57,28 @@ def test_chunks_splice_to_the_whole(rng):
     assert coder.widened  # some overlap had no two common borders
 
 
+def test_work_on_a_text_grows_with_its_length(rng):
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(1, 11))) for _ in range(5000)]
+    text = (" ".join(rng.choices(words, k=2_700_000)) * 2)[: 1 << 24]
+    coder = piece_count.PieceEncoder(PIECES)
+    assert coder.count_long(text[: 1 << 22]) == len(coder.model.encode(text[: 1 << 22])) and not coder.widened
+
+    def seconds(size):
+        start = time.process_time()
+        coder.count_long(text[:size])
+        return time.process_time() - start
+
+    took = [min(seconds(1 << k) for _ in range(2 if k < 24 else 1)) for k in (22, 23, 24)]
+    assert took[1] <= 2.2 * took[0] and took[2] <= 2.2 * took[1]
+
+
+def test_patterns_that_splice_late(rng):
+    coder = piece_count.PieceEncoder(PIECES, chunk=1000, overlap=2)
+    for p in ("aaaaaaab", "\u6f22", "the the ", "=" * 7, "0123456789", "\n \n", "\U00010348x"):
+        t = (p * 3000)[:12_345]
+        assert coder.encode_long(t).tolist() == coder.model.encode(t) and coder.count_long(t) == len(coder.model.encode(t))
+
+
 def test_token_counts(spark, odd_docs, no_docs):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rows = piece_count.count_tokens(odd_docs, PIECES, limit=1).collect()
