@@ -3,7 +3,6 @@
 import base64
 import random
 import re
-import time
 
 import numpy as np
 import public_tokenizers
@@ -57,19 +56,22 @@ def test_chunks_splice_to_the_whole(rng):
     assert coder.widened  # some overlap had no two common borders
 
 
-def test_work_on_a_text_grows_with_its_length(rng):
+def test_work_on_a_text_grows_with_its_length(rng, monkeypatch):
+    """Characters encoded and borders compared per chunk stay the same from 1 to 4 MB; no step handles more than a chunk."""
     words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(1, 11))) for _ in range(5000)]
-    text = (" ".join(rng.choices(words, k=2_700_000)) * 2)[: 1 << 24]
-    coder = piece_count.PieceEncoder(PIECES)
-    assert coder.count_long(text[: 1 << 22]) == len(coder.model.encode(text[: 1 << 22])) and not coder.widened
-
-    def seconds(size):
-        start = time.process_time()
-        coder.count_long(text[:size])
-        return time.process_time() - start
-
-    took = [min(seconds(1 << k) for _ in range(2 if k < 24 else 1)) for k in (22, 23, 24)]
-    assert took[1] <= 2.2 * took[0] and took[2] <= 2.2 * took[1]
+    text = " ".join(rng.choices(words, k=700_000))[: 1 << 22]
+    coder, real, plain = piece_count.PieceEncoder(PIECES), piece_count.PieceEncoder._encode, np.intersect1d
+    encoded, compared = [], []
+    monkeypatch.setattr(coder, "_encode", lambda t, a, b: (encoded.append(b - a), real(coder, t, a, b))[1])
+    monkeypatch.setattr(np, "intersect1d", lambda a, b: (compared.append(len(a) + len(b)), plain(a, b))[1])
+    work = []
+    for size in (1 << 20, 1 << 21, 1 << 22):
+        encoded.clear(), compared.clear()
+        n = coder.count_long(text[:size])
+        assert max(encoded) <= coder.chunk + coder.overlap and max(compared) <= 2 * coder.overlap
+        work.append(sum(encoded) + sum(compared))
+    assert work[1] <= 2.2 * work[0] and work[2] <= 2.2 * work[1]
+    assert n == len(coder.model.encode(text))
 
 
 def test_patterns_that_splice_late(rng):
