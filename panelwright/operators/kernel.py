@@ -12,7 +12,7 @@ summed terms. The cost is linear in the rows, the error is that of doubles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import math
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.operators import gauss
+
 # Cells are one kernel width wide; beyond REACH cells the kernel is below 1e-16.
 REACH = 7
 TERMS = 14
@@ -79,15 +81,27 @@ def kernel_products(moments: DataFrame, bandwidth: float) -> DataFrame:
         F.sum(F.col("va") * F.col("vb") * F.exp(-bandwidth * dist * dist)).alias("s"))
 
 
-def kernel_td_loss(td: DataFrame, x: str, bandwidth: float, by: str = "cluster") -> DataFrame:
+def _products(rows: DataFrame, states: Sequence[str], weights: dict[str, str], bandwidth: float, by: str) -> DataFrame:
+    """The pair sums of one state by its expansion, those of several on tensor grids."""
+    if len(states) == 1:
+        return kernel_products(kernel_moments(rows, states[0], weights, bandwidth, by), bandwidth)
+    return gauss.kernel_products(rows, states, weights, bandwidth, by)
+
+
+def _listed(x: str | Sequence[str]) -> list[str]:
+    return [x] if isinstance(x, str) else list(x)
+
+
+def kernel_td_loss(td: DataFrame, x: str | Sequence[str], bandwidth: float, by: str = "cluster") -> DataFrame:
     """(by, loss): mean over pairs i < j of (1 + Ka + Ks + Ka Ks) tde_i tde_j.
 
-    Ks = exp(-bw (s_i - s_j)^2); Ka = |a_i - a_j| = a_i + a_j - 2 a_i a_j for
+    Ks = exp(-bw |s_i - s_j|^2) over the states ``x``; Ka = |a_i - a_j| = a_i + a_j - 2 a_i a_j for
     binary actions.
     """
-    rows = td.select(F.col(by).alias(by), F.col(x).alias("x"), F.col("tde").alias("e"),
+    states = _listed(x)
+    rows = td.select(F.col(by).alias(by), *[F.col(c) for c in states], F.col("tde").alias("e"),
                      (F.col("tde") * F.col("a")).alias("ae"))
-    prods = kernel_products(kernel_moments(rows, "x", {"e": "e", "ae": "ae"}, bandwidth, by), bandwidth)
+    prods = _products(rows, states, {"e": "e", "ae": "ae"}, bandwidth, by)
     ks = prods.groupBy("g").agg(
         F.sum(F.when((F.col("left") == "e") & (F.col("right") == "e"), F.col("s"))).alias("uu"),
         F.sum(F.when((F.col("left") == "e") & (F.col("right") == "ae"), F.col("s"))).alias("uv"),
@@ -100,10 +114,11 @@ def kernel_td_loss(td: DataFrame, x: str, bandwidth: float, by: str = "cluster")
     return j.select(by, ((one + two) / (F.col("n") * (F.col("n") - 1))).alias("loss"))
 
 
-def kernel_pair_sum(td: DataFrame, x: str, bandwidth: float, by: str) -> DataFrame:
+def kernel_pair_sum(td: DataFrame, x: str | Sequence[str], bandwidth: float, by: str) -> DataFrame:
     """(by, s): sum over pairs i < j of Ks tde_i tde_j."""
-    rows = td.select(F.col(by).alias(by), F.col(x).alias("x"), F.col("tde").alias("e"))
-    prods = kernel_products(kernel_moments(rows, "x", {"e": "e"}, bandwidth, by), bandwidth)
+    states = _listed(x)
+    rows = td.select(F.col(by).alias(by), *[F.col(c) for c in states], F.col("tde").alias("e"))
+    prods = _products(rows, states, {"e": "e"}, bandwidth, by)
     diag = rows.groupBy(by).agg(F.sum(F.col("e") * F.col("e")).alias("q"))
     return diag.join(prods.select("g", "s"), diag[by] == F.col("g")).select(by, ((F.col("s") - F.col("q")) / 2).alias("s"))
 

@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.features import FeatureMap
+from panelwright.operators import kernel
 from panelwright.operators.moments import min_norm_solve
+from panelwright.operators.ranking import assign_folds
 from panelwright.operators.summary import majority_vote
 from panelwright.session import materialize
 
@@ -122,6 +124,48 @@ class QFit:
     converged: dict[int, bool] = field(default_factory=dict)
 
 
+def _all_but_own(grams: dict) -> dict:
+    """Sums over the rows of all clusters but the model's own."""
+    zero = (0.0, 0.0, 0)
+    total: dict[int, tuple] = {}
+    for (_, a), own in grams.items():
+        total[a] = tuple(x + y for x, y in zip(total.get(a, zero), own))
+    out = {}
+    for k in {k for k, _ in grams}:
+        for a, sums in total.items():
+            rest = tuple(x - y for x, y in zip(sums, grams.get((k, a), zero)))
+            if rest[2]:
+                out[k, a] = rest
+    return out
+
+
+def _left_out_targets(rows: DataFrame, model: LinearQ, gamma: float, d: int) -> DataFrame:
+    """(cluster, a, b_0, ...): X'target of each model over the rows of all other clusters.
+
+    A task keeps one small sum per model and action, so a row is read once for all models.
+    """
+    known = model.clusters
+    coefs = np.full((len(ACTIONS), d, len(known)), np.nan)
+    for (k, a), v in model.coefs.items():
+        coefs[ACTIONS.index(a), :, known.index(k)] = v
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(known), len(ACTIONS), d))
+        for pdf in batches:
+            x, z = (pdf[[f"{c}{i}" for i in range(d)]].to_numpy(float) for c in "xz")
+            own, a = pdf["cluster"].to_numpy(), pdf["a"].to_numpy()
+            best = np.fmax.reduce([z @ c for c in coefs])
+            target = (pdf["r"].to_numpy(float)[:, None] + gamma * best) * (own[:, None] != np.array(known))
+            for i, action in enumerate(ACTIONS):
+                at = a == action
+                total[:, i] += target[at].T @ x[at]
+        yield pd.DataFrame([(k, a, *total[m, i]) for m, k in enumerate(known) for i, a in enumerate(ACTIONS)],
+                           columns=["cluster", "a", *[f"b_{i}" for i in range(d)]])
+
+    sums = ", ".join(f"b_{i} double" for i in range(d))
+    return rows.select("cluster", "a", "r", *_cols("x", d), *_cols("z", d)).mapInPandas(fold, f"cluster int, a int, {sums}")
+
+
 def fitted_q_iteration(
     rows: DataFrame,
     gamma: float = 0.95,
@@ -129,14 +173,18 @@ def fitted_q_iteration(
     tol: float = 1e-6,
     early_stopping: bool = False,
     init: LinearQ | None = None,
+    left_out: bool = False,
 ) -> QFit:
     """Linear fitted-Q iteration, all clusters in the same passes.
 
     The change of the fitted values is a quadratic form in X'X, so the stop
     rule costs nothing. A cluster that has stopped keeps its coefficients.
+    With ``left_out`` the model of a cluster learns from all other clusters: those are folds.
     """
     d = _width(rows)
     grams = _grams(rows, d)
+    if left_out:
+        grams = _all_but_own(grams)
     clusters = sorted({k for k, _ in grams})
     if init is None:
         coefs = {key: _solve(g, b) for key, (g, b, _) in grams.items()}
@@ -147,13 +195,17 @@ def fitted_q_iteration(
     smallest = {k: np.inf for k in clusters}
     active = set(clusters)
     while active:
-        best = F.greatest(*fit.model.columns(_cols("z", d), F.col("cluster")))
-        target = F.col("r") + F.lit(float(gamma)) * best
-        got = rows.groupBy("cluster", "a").agg(*[F.sum(F.col(f"x{i}") * target).alias(f"b_{i}") for i in range(d)]).collect()
+        if left_out:
+            parts, terms = _left_out_targets(rows, fit.model, gamma, d), _cols("b_", d)
+        else:
+            best = F.greatest(*fit.model.columns(_cols("z", d), F.col("cluster")))
+            target = F.col("r") + F.lit(float(gamma)) * best
+            parts, terms = rows, [F.col(f"x{i}") * target for i in range(d)]
+        got = parts.groupBy("cluster", "a").agg(*[F.sum(x).alias(f"b_{i}") for i, x in enumerate(terms)]).collect()
         new = dict(coefs)
         for row in got:
             key = row["cluster"], row["a"]
-            if key[0] in active:
+            if key[0] in active and key in grams:
                 new[key] = _solve(grams[key][0], np.array([row[f"b_{i}"] for i in range(d)]))
         for k in list(active):
             keys = [key for key in grams if key[0] == k]
@@ -629,9 +681,28 @@ def squared_loss(td: DataFrame) -> Column:
     return F.avg(F.col("tde") * F.col("tde"))
 
 
+def kernel_metric(states: Sequence[str], panel: DataFrame | None = None, bandwidth: float | None = None,
+                  panel_states: Sequence[str] | None = None):
+    """A metric for cross-validation: the kernel loss over the columns ``states`` of the rows.
+
+    Without a ``bandwidth`` it is one over the median distance of the panel's states.
+    """
+    if bandwidth is None:
+        bandwidth = kernel.median_bandwidth(panel, list(panel_states or states)).first()["bandwidth"]
+    return lambda td: kernel.kernel_td_loss(td, list(states), bandwidth)
+
+
+def with_folds(trans: DataFrame, folds: DataFrame | int) -> DataFrame:
+    """``trans`` with a ``fold``: of its subject, its step or its row, as the keys of ``folds`` tell; or that many by rule."""
+    if isinstance(folds, int):
+        return assign_folds(trans, folds)
+    keys = [c for c in ("subject", "t") if c in folds.columns]
+    return trans.join(folds.select(*keys, "fold"), keys)
+
+
 def select_linear_cv(
     trans: DataFrame,
-    folds: DataFrame,
+    folds: DataFrame | int,
     states: Sequence[str],
     maps: Sequence[FeatureMap],
     gamma: float,
@@ -643,23 +714,19 @@ def select_linear_cv(
 ) -> DataFrame:
     """(param_id, test_error): mean test loss over folds for each feature map.
 
-    All folds train in the same passes: a row enters the group of every fold
-    but its own. ``times`` restricts fitting and scoring to sampled steps.
-    ``metric`` maps a table with ``tde`` to one number per ``cluster``; the
+    All folds train in the same passes over one copy of the rows. ``folds`` as in
+    :func:`with_folds`. ``times`` restricts fitting and scoring to sampled steps.
+    ``metric`` maps a table with ``tde`` to one ``loss`` per ``cluster`` (:func:`kernel_metric`); the
     default is the mean square.
     """
     spark = trans.sparkSession
     if times is not None:
         trans = trans.join(times.select("t").distinct(), "t", "left_semi")
-    base = trans.join(folds.select("subject", "fold"), "subject")
-    n_folds = base.agg(F.max("fold")).first()[0] + 1
+    base = with_folds(trans, folds)
     out = []
     for i, fmap in enumerate(maps):
-        rows = policy_rows(base, states, fmap, "fold")
-        train = rows.withColumn("cluster", F.explode(F.array_remove(
-            F.sequence(F.lit(0), F.lit(n_folds - 1)), F.col("cluster"))))
-        held = materialize(train, "cv-rows")
-        fit = fitted_q_iteration(held, gamma, max_iter, tol, early_stopping)
+        rows = materialize(policy_rows(base, states, fmap, "fold"), "cv-rows")
+        fit = fitted_q_iteration(rows, gamma, max_iter, tol, early_stopping, left_out=True)
         td = with_td_error(rows, fit.model, gamma)
         if metric is None:
             per = td.groupBy("cluster").agg(squared_loss(td).alias("loss"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators.ranking import cumulative_counts
-from panelwright.plans.policy import ACTIONS, _width, initial_values, pair_labels
+from panelwright.plans.policy import ACTIONS, _width, initial_values, pair_labels, with_td_error
 from panelwright.session import materialize
 
 BINS = 64
@@ -588,11 +588,12 @@ def tree_policies(rows: DataFrame, gamma: float = 0.95, max_depth: int = 3, min_
 
 
 def select_tree_cv(rows: DataFrame, grid: Sequence[dict], n_folds: int, gamma: float = 0.95, max_iter: int = 200,
-                   tol: float = 1e-4, early_stopping: bool = True, bins: int = BINS) -> DataFrame:
+                   tol: float = 1e-4, early_stopping: bool = True, bins: int = BINS, metric=None) -> DataFrame:
     """(cluster, param_id, test_error) over a grid of {max_depth, min_samples_leaf}; ``rows`` have a ``fold``.
 
     All clusters, folds and settings grow in the same passes. The error is the mean over folds of
-    the mean squared TD error of the left-out rows, as far as a fold has rows.
+    the mean squared TD error of the left-out rows, as far as a fold has rows; or of ``metric``
+    (:func:`policy.kernel_metric`), which scores the rows once per setting.
     """
     own = bins_of(rows, bins)
     table = cells(rows, own)
@@ -602,7 +603,8 @@ def select_tree_cv(rows: DataFrame, grid: Sequence[dict], n_folds: int, gamma: f
             for fold in range(n_folds):
                 keys.append((k, i))
                 specs.append(Spec(k, fold, params["max_depth"], params["min_samples_leaf"]))
-    losses = td_losses(table, fit_q(table, specs, own, gamma, max_iter, tol, early_stopping), gamma)
+    fit = fit_q(table, specs, own, gamma, max_iter, tol, early_stopping)
+    losses = td_losses(table, fit, gamma) if metric is None else _metric_losses(rows, fit, keys, gamma, metric)
     by_key: dict[tuple[int, int], list[float]] = {}
     for key, loss in zip(keys, losses):
         by_key.setdefault(key, []).append(loss)
@@ -610,6 +612,19 @@ def select_tree_cv(rows: DataFrame, grid: Sequence[dict], n_folds: int, gamma: f
     return rows.sparkSession.createDataFrame(out, "cluster int, param_id int, test_error double")
 
 
+def _metric_losses(rows: DataFrame, fit: TreeFit, keys: Sequence[tuple[int, int]], gamma: float, metric) -> np.ndarray:
+    """The metric of each model on its left-out rows; one scoring of all rows per setting."""
+    out = np.full(len(keys), np.nan)
+    for param in sorted({i for _, i in keys}):
+        models = [m for m, (_, i) in enumerate(keys) if i == param]
+        places = [(fit.specs[m].cluster, fit.specs[m].left_out, n) for n, m in enumerate(models)]
+        table = rows.sparkSession.createDataFrame(places, "cluster int, fold int, place int")
+        own = rows.join(table, ["cluster", "fold"]).drop("cluster").withColumnRenamed("place", "cluster")
+        for r in metric(with_td_error(own, fit.trees.take(models, range(len(models))), gamma)).collect():
+            out[models[r["cluster"]]] = r["loss"]
+    return out
+
+
 def fitter(max_depth: int = 3, min_leaf: int = 50, bins: int = BINS):
     """A fitter for :func:`policy.q_iteration_with` and :func:`policy.evaluate_with`: one tree per cluster and action."""
 

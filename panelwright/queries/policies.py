@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.features import FeatureMap
 from panelwright.operators import kernel, ranking
+from panelwright.operators.transitions import transitions
 from panelwright.plans import policy, trees
 from panelwright.plans.changepoint import label
 from panelwright.queries.base import PANEL, REGION, TRANS, query
@@ -14,7 +15,7 @@ from panelwright.queries.prepare import region_tau
 from panelwright.queries.tree_sql import bin_sql, evaluate_sql, fit_sql, value_sql, with_trees
 from panelwright.session import materialize, run_path
 from panelwright.sources import files
-from panelwright.sources.tables import region_assignment, supplier_month_narrow
+from panelwright.sources.tables import region_assignment, supplier_month, supplier_month_narrow
 
 GAMMA = 0.9
 LINEAR = FeatureMap("polynomial", degree=1)
@@ -150,11 +151,15 @@ def pair_sum(spark, sf):
     return kernel.kernel_pair_sum(td_rows(spark, sf), "x1", BW, "cluster").select(F.round(F.col("s") / 1000, 4).alias("s"))
 
 
-@query("D-33", f"{TDE}, i AS (SELECT *, row_number() OVER (ORDER BY subject, t) AS id FROM td), "
-       f"k AS (SELECT exp(-{BW} * (p.x - q.x) ** 2) AS ks, abs(p.a - q.a) AS ka, p.tde * q.tde AS e FROM i p JOIN i q ON p.id < q.id) "
+@query("D-33", f"{TDE}, i AS (SELECT td.a, tde, x, s2 / 20000 AS u, 20 * s3 AS v, row_number() OVER (ORDER BY subject, t) AS id FROM td JOIN trans USING (subject, t)), "
+       f"k AS (SELECT exp(-{BW} * ((p.x - q.x) ** 2 + (p.u - q.u) ** 2 + (p.v - q.v) ** 2)) AS ks, abs(p.a - q.a) AS ka, p.tde * q.tde AS e FROM i p JOIN i q ON p.id < q.id) "
        "SELECT round(avg((1 + ka + ks + ka * ks) * e), 7) AS loss FROM k")
 def kernel_td_loss(spark, sf):
-    return kernel.kernel_td_loss(td_rows(spark, sf), "x1", BW).select(F.round("loss", 7).alias("loss"))
+    """Kernel loss over all three states, without the pairs."""
+    more = transitions(supplier_month(spark, sf), ["s1", "s2", "s3"]).select(
+        "subject", "t", (F.col("s2") / 20000).alias("u"), (20 * F.col("s3")).alias("v"))
+    td = td_rows(spark, sf).join(more, ["subject", "t"])
+    return kernel.kernel_td_loss(td, ["x1", "u", "v"], BW).select(F.round("loss", 7).alias("loss"))
 
 
 @query("C-10", f"""WITH {PANEL}, i AS (SELECT s1, row_number() OVER (ORDER BY subject, t) AS id FROM panel)
