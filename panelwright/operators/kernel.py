@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.operators import gauss
+from panelwright.operators import distances, gauss
 
 # Cells are one kernel width wide; beyond REACH cells the kernel is below 1e-16.
 REACH = 7
@@ -149,12 +149,15 @@ def median_bandwidth(panel: DataFrame, states: list[str], n: int | None = None,
                      bins: int = 8192) -> DataFrame:
     """(median, bandwidth): exact median of the positive distances between all pairs of rows.
 
-    Equal states are one point with a weight, and points are dealt into blocks of
-    about ``block``; a task handles one pair of blocks. Distances are counted per bin, and
-    the median's bin is divided again until it holds a single distance. ``n`` takes the
-    rows of that many sampled subjects only; it is off by default.
+    One state takes :class:`distances.PairDistances`, which forms no pairs. For several, equal states
+    are one point with a weight, and points are dealt into blocks of about ``block``; a task handles one
+    pair of blocks. Distances are counted per bin, and the median's bin is divided again until it holds a
+    single distance. ``n`` takes the rows of that many sampled subjects only; it is off by default.
     """
     panel = panel if n is None else sample_subjects(panel, n, seed)
+    if len(states) == 1:
+        middle = distances.median_distance(panel, states[0])
+        return panel.sparkSession.createDataFrame([(middle, None if middle is None else 1.0 / middle)], "median double, bandwidth double")
     points = materialize(
         panel.select(F.array(*[F.col(c).cast("double") for c in states]).alias("x"))
         .groupBy("x").agg(F.count(F.lit(1)).alias("w")), "points")

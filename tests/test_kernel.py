@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import gauss, kernel
+from panelwright.operators import distances, gauss, kernel
 
 
 def plain(x, a, e, bw):
@@ -55,3 +55,39 @@ def test_cells_at_the_rim_of_blocks(spark):
     assert kernel.kernel_pair_sum(td.limit(0), ["u", "v"], 1.0, "cluster").count() == 0
     one = kernel.kernel_pair_sum(td.withColumn("w", F.lit(0.0)), ["u", "v", "w"], 1.0, "cluster").first().s
     assert one == pytest.approx(want, abs=1e-10)
+
+
+# Distances of all pairs
+
+def all_distances(v):
+    v = np.asarray(v, float)
+    i, j = np.triu_indices(len(v), 1)
+    d = np.abs(v[i] - v[j])
+    return np.sort(d[d > 0])
+
+
+@pytest.mark.parametrize("kind", ["whole", "clustered", "wide"])
+def test_order_statistics_of_pair_distances(spark, monkeypatch, kind):
+    rng = np.random.default_rng(8)
+    v = {
+        "whole": rng.integers(0, 60, 500).astype(float),
+        "clustered": np.concatenate([np.full(90, 3.25), rng.normal(0, 1e-6, 150), rng.normal(5, 1e-3, 150), [1e3]]),
+        "wide": np.exp(rng.normal(0, 6, 250)) - 1e4}[kind]
+    monkeypatch.setattr(distances, "PAIRS", 2)
+    d = all_distances(v)
+    found = distances.PairDistances(spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double"), first=16)
+    assert found.pairs == len(d)
+    assert found.nth(len(d) // 5) == d[len(d) // 5]
+    assert found.median() == pytest.approx(np.median(d), rel=1e-15)
+
+
+def test_medians_without_distances(spark):
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "s double")
+    assert kernel.median_bandwidth(frame([]), ["s"]).first()[:] == (None, None)
+    assert kernel.median_bandwidth(frame([2.0, 2.0, None]), ["s"]).first()[:] == (None, None)
+    assert kernel.median_bandwidth(frame([2.0, 2.0, 6.0]), ["s"]).first()[:] == (4.0, 0.25)
+
+
+def test_lagged_products_are_exact():
+    counts = [3, 0, (1 << 40) + 7, 1, 1 << 33]
+    assert distances._lagged(counts) == [sum(counts[i] * counts[i + k] for i in range(5 - k)) for k in range(1, 5)]
