@@ -16,12 +16,17 @@ from panelwright.streaming import runner
 STEP = 25
 
 
-def arriving(spark, df, label_, by="t"):
-    """Write ``df`` as one batch of files per 25 steps, in order; yields after each."""
-    path = run_path(spark, label_)
-    last = df.agg(F.max(by)).first()[0]
-    for b in range(0 if last is None else int(last) // STEP + 1):
-        df.filter(F.floor(F.col(by) / STEP) == b).write.mode("append").parquet(path)
+def arriving(spark, df, label_, batch=None):
+    """Write ``df`` as one batch of files per 25 steps, in order; yields after each.
+
+    The table is computed once, into a folder per batch; ``batch`` is the number of a row's batch.
+    """
+    batch = F.floor(F.col("t") / STEP) if batch is None else batch
+    path, staged = run_path(spark, label_), run_path(spark, f"{label_}-staged")
+    df.withColumn("_batch", batch.cast("int")).write.partitionBy("_batch").parquet(staged)
+    rows = spark.read.parquet(staged)
+    for b in sorted(r["_batch"] for r in rows.select("_batch").distinct().collect()):
+        rows.filter(F.col("_batch") == b).select(*df.columns).coalesce(1).write.mode("append").parquet(path)
         yield path
 
 
@@ -81,9 +86,14 @@ def redetect(spark, sf):
 @query("T-03", f"""WITH {TRANS} SELECT subject, count(*)::DOUBLE AS m_n, sum(s1) AS m_s0, sum(s1*y1) AS m_s0y0, sum(CASE WHEN a = 1 THEN y1*y1 ELSE 0 END) AS k_y0y0
 FROM trans GROUP BY subject""")
 def gram_state(spark, sf):
-    """Streaming sums per subject; the newest row of a subject equals its batch aggregate."""
-    stream = all_arrived(spark, narrow_transitions(spark, sf), "transitions")
-    state = runner.run_to_table(sp.running_moments(stream, 1), "gram-state", "update", ["subject"])
+    """Sums per subject from steps that arrive, every tenth a batch late; the newest row of a subject equals its batch aggregate."""
+    panel = supplier_month_narrow(spark, sf)
+    behind = (F.pmod(F.xxhash64("subject", "t"), F.lit(10)) == 0).cast("int")
+    session, root = runner.stateful_session(spark), run_path(spark, "gram-state")
+    for path in arriving(spark, panel, "arrivals", F.floor(F.col("t") / STEP) + behind):
+        stream = sp.streamed_moments(runner.file_stream(session, path, panel.schema), 1, f"{2 * STEP} days")
+        runner.run_available(stream, f"{root}/checkpoint", runner.write_batch(f"{root}/out"), "update")
+    state = runner.newest(spark.read.parquet(f"{root}/out"), ["subject"])
     assert set(Moments(1).names) <= set(state.columns)
     return state.select("subject", "m_n", "m_s0", "m_s0y0", "k_y0y0")
 
@@ -111,12 +121,28 @@ def reward_report(spark, sf):
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "cluster", F.round("reward", 7).alias("reward"), "n")
 
 
-@query("T-07", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY event_type")
+LATE_DAYS, BEHIND = 5, 3
+
+
+@query("T-07", f"""WITH e AS (SELECT *, CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / {LATE_DAYS}) AS INTEGER)
+  + CASE WHEN event_id % 20 = 0 THEN {BEHIND} ELSE 0 END AS b FROM events),
+m AS (SELECT b, max(ts) AS top FROM e GROUP BY b),
+w AS (SELECT m.b, (SELECT max(q.top) FROM m q WHERE q.b < m.b) - INTERVAL 2 DAYS AS mark FROM m)
+SELECT event_type, count(*) FILTER (ts >= coalesce(mark, ts)) AS n, round(coalesce(sum(value) FILTER (ts >= coalesce(mark, ts)), 0), 2) AS value,
+  count(*) FILTER (ts < mark) AS late FROM e JOIN w USING (b) GROUP BY event_type""")
 def late_and_duplicate(spark, sf):
-    """Every event delivered twice and kept once."""
-    twice = event_stream(spark, sf).union(event_stream(spark, sf))
-    rows = runner.run_to_table(sp.deduplicated(twice, "ts", "event_id", "40 days"), "dedup")
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    """Every event delivered twice, every twentieth long after its time: kept once, or put aside as late."""
+    events = table(spark, sf, "events")
+    day = F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date"))
+    batch = F.floor(day / LATE_DAYS) + F.when(F.col("event_id") % 20 == 0, BEHIND).otherwise(0)
+    loop = None
+    for path in arriving(spark, events.union(events), "events", batch):
+        loop = loop or sp.LateRows(spark, run_path(spark, "late"), events.schema, "ts", "event_id", "2 days", path)
+        loop.process()
+    main = loop.table("main").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("value"))
+    late = loop.table("late").dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("late"))
+    return main.join(late, "event_type", "full").select(
+        "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("late", F.lit(0)).alias("late"))
 
 
 @query("T-08", f"""WITH {PANEL}, w AS (SELECT subject, t, s1, avg(s1) OVER (PARTITION BY subject ORDER BY t) AS fwd,
@@ -124,17 +150,11 @@ def late_and_duplicate(spark, sf):
 SELECT subject, t, round(fwd, 6) AS fwd, round(coalesce(sum(d) OVER (PARTITION BY subject ORDER BY t), 0), 6) AS dev FROM w""")
 def online_cusum(spark, sf):
     """Per-subject state over the arriving batches."""
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(conf)
-    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        panel = supplier_month_narrow(spark, sf).select("subject", "t", "s1")
-        root = run_path(spark, "cusum")
-        for path in arriving(spark, panel, "arrivals"):
-            runner.run_available(sp.online_cusum(runner.file_stream(spark, path, panel.schema)), f"{root}/checkpoint",
-                                 runner.write_batch(f"{root}/out"))
-    finally:
-        spark.conf.set(conf, before)
+    panel = supplier_month_narrow(spark, sf).select("subject", "t", "s1")
+    session, root = runner.stateful_session(spark), run_path(spark, "cusum")
+    for path in arriving(spark, panel, "arrivals"):
+        runner.run_available(sp.online_cusum(runner.file_stream(session, path, panel.schema)), f"{root}/checkpoint",
+                             runner.write_batch(f"{root}/out"))
     rows = spark.read.parquet(f"{root}/out")
     return rows.select("subject", "t", F.round("fwd", 6).alias("fwd"), F.round("dev", 6).alias("dev"))
 

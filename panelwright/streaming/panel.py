@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,13 +10,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from panelwright.functions.grid import ScanGrid
-from panelwright.operators.moments import moments_by
+from panelwright.operators.moments import Moments, moments_by
 from panelwright.operators.transitions import transitions
 from panelwright.plans import changepoint as cp
-from panelwright.plans import policy
+from panelwright.plans import policy, segment
+from panelwright.session import materialize
 from panelwright.streaming.runner import file_stream, run_available
 
 STATE_SCHEMA = "batch_id int, n_times int, cluster int, offset int, tau int, kappa int, stat double"
@@ -101,59 +102,275 @@ def online_cusum(stream: DataFrame) -> DataFrame:
         outputMode="Append", timeMode="None")
 
 
+class StepBuffer(StatefulProcessor):
+    """Joins each subject's steps to transitions as they arrive, in whatever order, and sums them up.
+
+    State: the steps that may still meet a neighbour, and the sums of products so far. A
+    transition is made as soon as both of its steps are there. A step is let go once the watermark has
+    passed the time of the step after it, by a timer if the subject sends nothing more; the same
+    step delivered again before that is dropped.
+    """
+
+    def __init__(self, p: int, origin: int, step: int, sums: bool):
+        self.p, self.origin, self.step, self.sums = p, origin, step, sums
+        self.layout = Moments(p)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("steps", "t array<int>, x array<double>, sums array<double>")
+
+    def _read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t, x, sums = self.state.get() if self.state.exists() else ([], [], [])
+        return (np.array(t, np.int64), np.array(x, float).reshape(len(t), self.p + 1),
+                np.array(sums, float) if len(sums) else np.zeros(len(self.layout.names)))
+
+    def _keep(self, t: np.ndarray, x: np.ndarray, sums: np.ndarray, watermark: int) -> None:
+        held = self.origin + (t + 1) * self.step >= watermark
+        self.state.update((t[held].tolist(), x[held].ravel().tolist(), sums.tolist()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if held.any():
+            self.handle.registerTimer(int(self.origin + (t[held].max() + 1) * self.step + 1))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [*[f"s{i + 1}" for i in range(self.p)], "a"]
+        watermark = timerValues.getCurrentWatermarkInMs()
+        old_t, old_x, sums = self._read()
+        batch = pd.concat(list(rows)).drop_duplicates("t")
+        batch = batch[~batch["t"].isin(old_t) & (self.origin + batch["t"] * self.step >= watermark)]
+        t = np.concatenate([old_t, batch["t"].to_numpy(np.int64)])
+        order = np.argsort(t, kind="stable")
+        new = (np.arange(len(t)) >= len(old_t))[order]
+        t, x = t[order], np.concatenate([old_x, batch[names].to_numpy(float)])[order]
+        at = np.flatnonzero((np.diff(t) == 1) & (new[1:] | new[:-1]))
+        s, y, a = x[at, : self.p], x[at + 1, : self.p], x[at, self.p]
+        if self.sums:
+            sums = sums + self.layout.of_rows(s, y, a)
+        self._keep(t, x, sums, watermark)
+        if not len(at):
+            return
+        if self.sums:
+            yield pd.DataFrame([(key[0], *sums)], columns=["subject", *self.layout.names])
+        else:
+            yield pd.DataFrame({"subject": key[0], "t": t[at], **{f"s{i + 1}": s[:, i] for i in range(self.p)}, "a": a.astype(int),
+                                **{f"y{i + 1}": y[:, i] for i in range(self.p)}})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._keep(*self._read(), timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _steps(stream: DataFrame, p: int, origin: str, step: str, delay: str) -> tuple[DataFrame, int, int]:
+    spark = stream.sparkSession
+    row = spark.range(1).select(
+        F.unix_millis(F.lit(origin).cast("timestamp")).alias("origin"),
+        F.unix_millis(F.lit(origin).cast("timestamp") + F.expr(f"interval {step}")).alias("next")).first()
+    length = row["next"] - row["origin"]
+    at = F.timestamp_millis(F.lit(row["origin"]) + F.col("t").cast("long") * length)
+    return stream.withColumn("at", at).withWatermark("at", delay), row["origin"], length
+
+
+def streamed_transitions(stream: DataFrame, p: int, delay: str, origin: str = "2000-01-01", step: str = "1 day") -> DataFrame:
+    """(subject, t, s*, a, y*): transitions of arriving steps (subject, t, s*, a), in any order within the delay.
+
+    ``t`` counts steps of equal length from ``origin``, a day after 1970-01-01; ``delay`` is the time that a step may come late.
+    Needs the RocksDB state store (:func:`runner.stateful_session`).
+    """
+    timed, start, length = _steps(stream, p, origin, step, delay)
+    schema = "subject bigint, t int, " + "".join(f"s{i + 1} double, " for i in range(p)) + "a int" + "".join(
+        f", y{i + 1} double" for i in range(p))
+    return timed.groupBy("subject").transformWithStateInPandas(
+        statefulProcessor=StepBuffer(p, start, length, False), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def streamed_moments(stream: DataFrame, p: int, delay: str, origin: str = "2000-01-01", step: str = "1 day") -> DataFrame:
+    """(subject, sums of products): as :func:`running_moments`, from steps instead of transitions."""
+    timed, start, length = _steps(stream, p, origin, step, delay)
+    schema = "subject bigint, " + ", ".join(f"{c} double" for c in Moments(p).names)
+    return timed.groupBy("subject").transformWithStateInPandas(
+        statefulProcessor=StepBuffer(p, start, length, True), outputStructType=schema, outputMode="Update", timeMode="EventTime")
+
+
 class BatchArrival:
-    """The batch-arrival loop: history, latest change point and a log, resumable.
+    """The batch-arrival loop: sums, latest change points, labels and policies, resumable.
 
-    ``source`` receives files of (subject, t, s1.., a). ``process`` handles
-    whatever is new; calling it again without new files does nothing. Each
+    ``source`` receives files of (subject, t, s1.., a), each subject's steps in order. ``process``
+    handles whatever is new; calling it again without new files does nothing. Each
     batch's output is a folder of its own, so a replayed batch changes nothing.
+
+    A batch reads its own rows, the last step of each subject before it (``halo``), and the
+    sums per (cluster, t) of the batches before. The rows of earlier batches are kept in
+    ``history`` and not read again. With ``k`` the subjects are clustered anew in every batch, on the
+    transitions since the latest change; ``refit(rows, batch_id)`` gets the labelled rows after each
+    cluster's change and returns a table of models for ``models``. Both read the batches since that change.
+
+    ``offsets``: ``cluster`` tests each cluster from its own latest change on, ``common`` all of
+    them from the latest change of any. New labels make the offset common.
     """
 
     def __init__(self, spark: SparkSession, source: str, root: str, schema, p: int = 1, limits=None,
-                 draws: int = 2000, alpha: float = 0.01, assignment: DataFrame | None = None):
+                 draws: int = 2000, alpha: float = 0.01, assignment: DataFrame | None = None, offsets: str = "cluster",
+                 k: int | None = None, refit: Callable[[DataFrame, int], DataFrame] | None = None):
         self.spark, self.source, self.root, self.schema = spark, source, root.rstrip("/"), schema
         self.p, self.limits, self.draws, self.alpha, self.assignment = p, limits, draws, alpha, assignment
+        self.offsets, self.k, self.refit = "common" if k else offsets, k, refit
 
     def process(self) -> None:
         run_available(file_stream(self.spark, self.source, self.schema), f"{self.root}/checkpoint", self._handle)
 
     def history(self) -> DataFrame:
         """All rows so far, with the ``batch_id`` of their folder."""
-        return self.spark.read.schema(StructType([*self.schema.fields, StructField("batch_id", IntegerType())])).parquet(
-            f"{self.root}/history")
+        return self._table("history", self.schema)
 
     def log(self) -> DataFrame:
         """(batch_id, n_times, cluster, offset, tau, kappa, stat) of all batches."""
         return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.root}/log")
 
-    def _offset(self, batch_id: int) -> int:
-        """Latest change point found before this batch."""
+    def labels(self, batch_id: int) -> DataFrame | None:
+        """(subject, cluster) in a batch; None if all subjects are one cluster."""
+        if self.k is None:
+            return self.assignment
+        return self.spark.read.parquet(f"{self.root}/labels/batch_id={batch_id}")
+
+    def _table(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(StructType([*schema.fields, StructField("batch_id", IntegerType())])).parquet(
+            f"{self.root}/{name}")
+
+    def _write(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        path = f"{self.root}/{name}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _logged(self, batch_id: int) -> tuple[dict[int, int], dict[int, int]]:
+        """Latest change point of each cluster, and the number of steps after each batch, before this batch."""
         try:
-            row = self.log().filter(F.col("batch_id") < batch_id).agg(F.max("tau").alias("tau")).first()
+            rows = self.log().filter(F.col("batch_id") < batch_id).groupBy("cluster").agg(F.max("tau").alias("tau")).collect()
+            ends = self.log().filter(F.col("batch_id") < batch_id).groupBy("batch_id").agg(F.max("n_times").alias("n")).collect()
         except AnalysisException:
-            return 0
-        return int(row["tau"] or 0)
+            return {}, {}
+        return {r["cluster"]: r["tau"] or 0 for r in rows}, {r["batch_id"]: r["n"] for r in ends}
+
+    def _since(self, offset: int, ends: dict[int, int], batch_id: int, schema) -> DataFrame:
+        """Transitions from step ``offset`` on; only batches that reach beyond it are read."""
+        wanted = [b for b, n in ends.items() if n - 2 >= offset] + [batch_id]
+        return self._table("steps", schema).filter(F.col("batch_id").isin(wanted) & (F.col("t") >= offset)).drop("batch_id")
 
     def _handle(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.root}/history/batch_id={batch_id}")
-        seen = self.history().filter(F.col("batch_id") <= batch_id)
-        n_times = seen.agg(F.max("t")).first()[0] + 1
-        offset = self._offset(batch_id)
-        length = n_times - offset
-        # The window grid follows the length of the part under test.
-        grid = ScanGrid(length, kappa_min=max(int(0.1 * length), 5), kappa_max=int(0.9 * length),
-                        step=max(length // 50, 1), eps=1.0 / length)
         states = [f"s{i + 1}" for i in range(self.p)]
-        part = seen.drop("batch_id").filter(F.col("t") >= offset).withColumn("t", F.col("t") - offset)
-        trans = transitions(part, states)
-        limits = None
-        if self.limits is not None:
-            limits = self.spark.range(1).select(
-                F.explode(grid.kappa_column()).alias("kappa"), F.lit(float(self.limits)).alias("threshold"))
-        found = cp.detect_transition_change(trans, grid, self.p, self.assignment, limits=limits, draws=self.draws,
-                                            alpha=self.alpha)
-        found.select(
-            F.lit(n_times).alias("n_times"), F.col("cluster").cast("int").alias("cluster"), F.lit(offset).alias("offset"),
-            # Found change points are counted from the offset and carried over.
-            (F.col("tau") + offset).cast("int").alias("tau"), "kappa", "stat",
-        ).write.mode("overwrite").parquet(f"{self.root}/log/batch_id={batch_id}")
+        batch = self._write(batch, "history", batch_id)
+        if batch.isEmpty():
+            return
+        taus, ends = self._logged(batch_id)
+        joined = batch
+        if ends:
+            joined = joined.unionByName(self.spark.read.schema(self.schema).parquet(f"{self.root}/halo/batch_id={max(ends)}"))
+        rest = [c for c in batch.columns if c not in ("subject", "t")]
+        last = joined.groupBy("subject").agg(F.max("t").alias("t"), F.max_by(F.struct(*rest), "t").alias("r"))
+        halo = self._write(last.select("subject", "t", "r.*").select(*batch.columns), "halo", batch_id)
+        n_times = halo.agg(F.max("t")).first()[0] + 1
+        steps = self._write(transitions(joined, states), "steps", batch_id)
+        latest = max(taus.values(), default=0)
+        if self.k:
+            since = self._since(latest, ends, batch_id, steps.schema)
+            found = segment.cluster_by_dynamics(segment.prepared(since, self.p), self.k, self.p)
+            labels = self._write(found.scored.select("subject", "cluster"), "labels", batch_id)
+            mom = cp.time_moments(cp.label(since, labels), self.p)
+            taus = {c: latest for c in range(self.k)}
+        else:
+            own = self._write(cp.time_moments(cp.label(steps, self.assignment), self.p), "sums", batch_id)
+            before = self._table("sums", own.schema).filter(F.col("batch_id") <= batch_id)
+            mom = before.groupBy("cluster", "t").agg(*[F.sum(c).alias(c) for c in Moments(self.p).names])
+        found = self._detect(mom, taus, latest, n_times)
+        log = self._write(found, "log", batch_id)
+        if self.refit:
+            at = {r["cluster"]: r["tau"] for r in log.collect()}
+            lowest = min(at.values(), default=0)
+            rows = cp.label(self._since(lowest, ends, batch_id, steps.schema), self.labels(batch_id))
+            start = F.create_map(*[F.lit(v) for pair in at.items() for v in pair]) if at else None
+            rows = rows if start is None else rows.filter(F.col("t") >= F.coalesce(start[F.col("cluster")], F.lit(0)))
+            self._write(self.refit(rows, batch_id), "models", batch_id)
+
+    def _detect(self, mom: DataFrame, taus: dict[int, int], latest: int, n_times: int) -> DataFrame:
+        """The log's rows of a batch: clusters with one offset are tested together."""
+        groups: dict[int, list[int]] = {}
+        for cluster, tau in taus.items():
+            groups.setdefault(latest if self.offsets == "common" else tau, []).append(cluster)
+        # A cluster without an earlier log starts at 0, or at the common offset.
+        fresh = latest if self.offsets == "common" else 0
+        groups.setdefault(fresh, [])
+        found = None
+        for offset, clusters in sorted(groups.items()):
+            named = F.col("cluster").isin(clusters) if clusters else F.lit(False)
+            if offset == fresh:
+                others = [c for o, cs in groups.items() if o != fresh for c in cs]
+                named = ~F.col("cluster").isin(others) if others else F.lit(True)
+            part = mom.filter(named & (F.col("t") >= offset)).withColumn("t", (F.col("t") - offset).cast("int"))
+            length = n_times - offset
+            # The window grid follows the length of the part under test.
+            grid = ScanGrid(length, kappa_min=max(int(0.1 * length), 5), kappa_max=int(0.9 * length),
+                            step=max(length // 50, 1), eps=1.0 / length)
+            limits = None
+            if self.limits is not None:
+                limits = self.spark.range(1).select(
+                    F.explode(grid.kappa_column()).alias("kappa"), F.lit(float(self.limits)).alias("threshold"))
+            one = cp.detect_transition_change(None, grid, self.p, limits=limits, draws=self.draws, alpha=self.alpha, mom=part)
+            one = one.select(
+                F.lit(n_times).alias("n_times"), F.col("cluster").cast("int").alias("cluster"), F.lit(offset).alias("offset"),
+                # Found change points are counted from the offset and carried over.
+                (F.col("tau") + offset).cast("int").alias("tau"), "kappa", "stat")
+            found = one if found is None else found.unionByName(one)
+        return found
+
+
+class LateRows:
+    """Rows in time in one table, late ones in another; repeated ones are counted.
+
+    A row is late if its time lies more than ``delay`` before the latest time of the batches
+    before its own, as with a watermark; where a watermark drops it, it goes to a table of its own. A row
+    in time whose ``key`` came before, in this batch or within the delay, is a repeat. A batch
+    reads the keys that are still within the delay, not all of history.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema, time: str, key: str, delay: str, source: str, max_files: int | None = 1):
+        self.spark, self.root, self.schema, self.time, self.key, self.delay = spark, root.rstrip("/"), schema, time, key, delay
+        self.source, self.max_files = source, max_files
+
+    def process(self) -> None:
+        run_available(file_stream(self.spark, self.source, self.schema, self.max_files), f"{self.root}/checkpoint", self._handle)
+
+    def table(self, name: str) -> DataFrame:
+        """``main`` or ``late``, with the ``batch_id``."""
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("batch_id", IntegerType())])).parquet(
+            f"{self.root}/{name}")
+
+    def counts(self) -> DataFrame:
+        """(batch_id, main, late, repeated, latest): rows of each kind and the latest time of each batch."""
+        return self.spark.read.parquet(f"{self.root}/counts")
+
+    def _handle(self, batch: DataFrame, batch_id: int) -> None:
+        time = F.col(self.time)
+        latest = None
+        if batch_id:
+            latest = self.counts().filter(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0]
+        rows = materialize(batch, "arrived")
+        mark = None if latest is None else F.lit(latest) - F.expr(f"interval {self.delay}")
+        in_time = rows if mark is None else rows.filter(time.isNull() | (time >= mark))
+        late = rows.limit(0) if mark is None else rows.filter(time < mark)
+        fresh = in_time.filter(F.col(self.key).isNull()).unionByName(in_time.filter(F.col(self.key).isNotNull()).dropDuplicates([self.key]))
+        if mark is not None:
+            known = self.table("main").filter((F.col("batch_id") < batch_id) & (time >= mark)).select(self.key)
+            fresh = fresh.join(known.distinct(), self.key, "left_anti").select(*rows.columns)
+        out = {}
+        for name, part in (("main", fresh), ("late", late)):
+            path = f"{self.root}/{name}/batch_id={batch_id}"
+            part.write.mode("overwrite").parquet(path)
+            out[name] = self.spark.read.schema(part.schema).parquet(path).count()
+        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(self.time).alias("latest")).first()
+        counted = self.spark.createDataFrame(
+            [(out["main"], out["late"], facts["n"] - out["main"] - out["late"], facts["latest"])],
+            StructType([StructField("main", LongType()), StructField("late", LongType()), StructField("repeated", LongType()),
+                        StructField("latest", self.schema[self.time].dataType)]))
+        counted.write.mode("overwrite").parquet(f"{self.root}/counts/batch_id={batch_id}")

@@ -23,6 +23,16 @@ def file_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return reader.parquet(path)
 
 
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state in RocksDB; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def write_batch(out: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")

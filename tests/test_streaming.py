@@ -1,5 +1,7 @@
 """Streams give what a batch gives, and go on where they stopped."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from panelwright.operators.moments import moments_by
@@ -58,3 +60,124 @@ def test_duplicates_are_dropped_within_the_delay(spark, tmp_path):
 def test_newest_row_per_key(spark):
     df = spark.createDataFrame([(1, 0, "a"), (1, 2, "b"), (2, 1, "c")], "k int, batch_id int, v string")
     assert {(r["k"], r["v"]) for r in runner.newest(df, ["k"]).collect()} == {(1, "b"), (2, "c")}
+
+
+def steps_of(spark, change_panel):
+    return spark.createDataFrame(change_panel).select(
+        F.col("subject").cast("bigint"), F.col("t").cast("int"), "s1", F.col("a").cast("int"))
+
+
+def test_steps_in_any_order_become_transitions(spark, change_panel, tmp_path):
+    """Files cut at odd places, rows late, twice and never: the transitions and sums of the batch."""
+    df = steps_of(spark, change_panel).filter("not (subject = 3 and t = 10)")
+    place = F.floor((F.col("t") + F.pmod(F.xxhash64("subject", "t"), F.lit(23))) / 17)
+    want = {(r.subject, r.t): r for r in transitions(df, ["s1"]).collect()}
+    for name, make in (("rows", sp.streamed_transitions), ("sums", sp.streamed_moments)):
+        path, root = str(tmp_path / f"in-{name}"), str(tmp_path / name)
+        session = runner.stateful_session(spark)
+        for b in range(5):
+            part = df.filter(place == b)
+            part.union(part.filter("subject = 1")).write.mode("append").parquet(path)
+            stream = make(runner.file_stream(session, path, df.schema), 1, "40 days")
+            runner.run_available(stream, f"{root}/checkpoint", runner.write_batch(f"{root}/out"), "append" if name == "rows" else "update")
+        got = spark.read.parquet(f"{root}/out")
+        if name == "rows":
+            rows = got.collect()
+            assert len(rows) == len(want) and {(r.subject, r.t) for r in rows} == set(want)
+            assert all((r.s1, r.y1, r.a) == (want[r.subject, r.t].s1, want[r.subject, r.t].y1, want[r.subject, r.t].a) for r in rows)
+        else:
+            sums = runner.newest(got, ["subject"]).orderBy("subject").toPandas()
+            plain = moments_by(transitions(df, ["s1"]), ["subject"], 1).orderBy("subject").toPandas()
+            for c in plain.columns:
+                assert (abs(sums[c] - plain[c]) < 1e-9).all()
+    assert "rocksdb" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass").lower()
+
+
+def test_steps_are_let_go_behind_the_watermark(spark, change_panel, tmp_path):
+    """A step later than the delay meets nobody."""
+    df = steps_of(spark, change_panel)
+    path, root = str(tmp_path / "in"), str(tmp_path / "out")
+    session = runner.stateful_session(spark)
+    for where in ("t < 20 and not (subject = 0 and t = 5)", "t between 20 and 40", "t > 40 or (subject = 0 and t = 5)"):
+        df.filter(where).write.mode("append").parquet(path)
+        stream = sp.streamed_transitions(runner.file_stream(session, path, df.schema), 1, "10 days")
+        runner.run_available(stream, f"{root}/checkpoint", runner.write_batch(f"{root}/rows"))
+    got = {(r.subject, r.t) for r in spark.read.parquet(f"{root}/rows").collect()}
+    assert got == {(i, t) for i in range(12) for t in range(50)} - {(0, 4), (0, 5)}
+
+
+def cut_loop(spark, df, root, cuts, **kw):
+    loop = None
+    for b, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        df.filter(F.col("t").between(low, high - 1)).write.mode("append").parquet(f"{root}/src")
+        loop = sp.BatchArrival(spark, f"{root}/src", f"{root}/out", df.schema, limits=8.0, **kw)
+        loop.process()
+        yield b, loop
+
+
+def test_a_batch_does_not_read_earlier_rows(spark, change_panel, tmp_path):
+    """Without the rows and transitions of earlier batches the loop goes on and finds the same."""
+    df = steps_of(spark, change_panel)
+    cuts = [0, 11, 24, 37, 51]
+    labels = df.select("subject", (F.col("subject") % 2).cast("int").alias("cluster")).distinct()
+    whole = [loop for _, loop in cut_loop(spark, df, str(tmp_path / "a"), cuts, assignment=labels)][-1]
+    for b, loop in cut_loop(spark, df, str(tmp_path / "b"), cuts, assignment=labels):
+        for name in ("history", "steps"):
+            os.rename(f"{tmp_path}/b/out/{name}/batch_id={b}", f"{tmp_path}/b/{name}-{b}")
+    key = lambda x: sorted(map(tuple, x.log().select("batch_id", "cluster", "offset", "tau", "kappa").collect()), key=str)
+    assert key(whole) == key(loop) and {r[0] for r in key(loop)} == {0, 1, 2, 3}
+    sums = whole._table("sums", spark.read.parquet(f"{tmp_path}/a/out/sums/batch_id=0").schema)
+    want = transitions(df, ["s1"])
+    assert sums.agg(F.sum("m_n")).first()[0] == want.count()
+    assert max(r["tau"] for r in whole.log().collect()) >= 23
+
+
+def test_clusters_go_on_from_their_own_change(spark, change_panel, steady_panel, tmp_path):
+    df = steps_of(spark, change_panel).union(steps_of(spark, steady_panel))
+    labels = df.select("subject", (F.col("subject") >= 100).cast("int").alias("cluster")).distinct()
+    logs = {}
+    for kind in ("cluster", "common"):
+        for _, loop in cut_loop(spark, df, str(tmp_path / kind), [0, 46, 51], assignment=labels, offsets=kind):
+            pass
+        logs[kind] = {(r.batch_id, r.cluster): (r.offset, r.tau) for r in loop.log().collect()}
+    first = logs["cluster"][0, 0][1]
+    assert 20 <= first <= 26 and logs["cluster"][0, 1] == (0, 0)
+    assert logs["cluster"][1, 0][0] == first and logs["cluster"][1, 1][0] == 0
+    assert logs["common"][1, 0][0] == logs["common"][1, 1][0] == first
+
+
+def test_labels_and_policies_anew_in_every_batch(spark, change_panel, steady_panel, tmp_path):
+    df = steps_of(spark, change_panel).filter("t >= 25").withColumn("t", F.col("t") - 25).union(
+        steps_of(spark, steady_panel).filter("t < 26"))
+    seen = []
+
+    def refit(rows, batch_id):
+        seen.append((batch_id, rows.count()))
+        return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t"))
+
+    for _, loop in cut_loop(spark, df, str(tmp_path / "k"), [0, 14, 26], k=2, refit=refit):
+        pass
+    assert [b for b, _ in seen] == [0, 1] and seen[1][1] > seen[0][1]
+    labels = loop.labels(1).collect()
+    groups = {c: {r.subject >= 100 for r in labels if r.cluster == c} for c in (0, 1)}
+    assert len(labels) == 24 and groups[0] != groups[1] and all(len(g) == 1 for g in groups.values())
+    assert spark.read.parquet(f"{tmp_path}/k/out/models/batch_id=1").count() == 2
+
+
+def test_late_rows_are_put_aside(spark, tmp_path):
+    schema = "id long, ts timestamp, v double"
+    days = [[("a", 1), ("b", 5)], [("c", 3), ("d", 2), ("b", 5)], [("e", 9), ("d", 3)], [("f", 6), ("g", 8), ("e", 9)]]
+    ids = {x: i for i, x in enumerate("abcdefg")}
+    loop = None
+    for batch in days:
+        rows = [(ids[k], f"2024-01-{d:02d} 00:00:00", float(d)) for k, d in batch]
+        spark.createDataFrame(rows, "id long, s string, v double").select(
+            "id", F.to_timestamp("s").alias("ts"), "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        loop = loop or sp.LateRows(spark, str(tmp_path / "out"), spark.createDataFrame([], schema).schema, "ts", "id", "2 days", str(tmp_path / "in"))
+        loop.process()
+        loop.process()
+    main = sorted((r.batch_id, r.id) for r in loop.table("main").collect())
+    late = sorted((r.batch_id, r.id) for r in loop.table("late").collect())
+    assert main == [(0, 0), (0, 1), (1, 2), (2, 3), (2, 4), (3, 6)] and late == [(1, 3), (3, 5)]
+    counts = {r.batch_id: (r.main, r.late, r.repeated) for r in loop.counts().collect()}
+    assert counts == {0: (2, 0, 0), 1: (1, 1, 1), 2: (2, 0, 0), 3: (1, 1, 1)}
