@@ -21,6 +21,8 @@ from panelwright.plans import nulls
 
 # A cluster's grid is always spread over tasks, so many windows in each.
 KAPPA_BLOCK = 16
+# Clusters that are scored at once where every subject is one.
+CLUSTERS = 64
 
 
 def label(trans: DataFrame, assignment: DataFrame | None) -> DataFrame:
@@ -81,36 +83,8 @@ def _score_grid(mom: DataFrame, grid: ScanGrid, p: int, scale: float, per_observ
         ks = grid.kappas()
         if spread:
             ks = ks[int(key[1]) * KAPPA_BLOCK: (int(key[1]) + 1) * KAPPA_BLOCK]
-        hist = _history(pdf, names, end)
-        out = {"kappa": [], "u": [], "stat": []}
-        for chunk in _chunks(ks, grid):
-            k, u = chunk
-            whole = hist[end] - hist[end - k]
-            mid = hist[end - k + u]
-            obs = whole[:, 0] * p
-            first = np.flatnonzero(np.diff(k, prepend=-1))
-            sse0 = np.repeat(batch_sse(layout, whole[first]), np.diff(np.append(first, len(k))))
-            sse1 = batch_sse(layout, mid - hist[end - k]) + batch_sse(layout, hist[end] - mid)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                stat = 0.5 * scale * obs * np.log(
-                    np.maximum(sse0 / obs, TINY) / np.maximum(sse1 / obs, TINY))
-            if per_observation:
-                stat = stat * p / obs
-            keep = obs > 0
-            if best_only:
-                ends = np.append(first, len(k))
-                pick = [a + int(np.argmax(stat[a:b])) for a, b in zip(ends[:-1], ends[1:])]
-                mask = np.zeros(len(k), dtype=bool)
-                mask[pick] = True
-                keep = keep & mask
-            out["kappa"].append(k[keep])
-            out["u"].append(u[keep])
-            out["stat"].append(stat[keep])
-        if not out["kappa"]:
-            return pd.DataFrame({"cluster": [], "kappa": [], "u": [], "stat": []})
-        res = pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
-        res.insert(0, "cluster", key[0])
-        return res
+        hist = _history(pdf, names, end)[None]
+        return _scanned([key[0]], hist, ks, grid, layout, scale, per_observation, best_only)
 
     kind = mom.schema["cluster"].dataType.simpleString()
     return (
@@ -119,6 +93,81 @@ def _score_grid(mom: DataFrame, grid: ScanGrid, p: int, scale: float, per_observ
     )
 
 
+def _scanned(clusters: Sequence, hist: np.ndarray, kappas: Sequence[int], grid: ScanGrid, layout: Moments, scale: float,
+             per_observation: bool, best_only: bool) -> pd.DataFrame:
+    """(cluster, kappa, u, stat) of clusters with running sums ``hist`` (clusters, end + 1, q), in one pass of arrays."""
+    p, end = layout.p, grid.n_times - 1
+    out: list[tuple[np.ndarray, ...]] = []
+    for k, u in _chunks(kappas, grid, max(1000, 40000 // len(hist))):
+        whole = hist[:, end, None] - hist[:, end - k]
+        mid = hist[:, end - k + u]
+        obs = whole[:, :, 0] * p
+        first = np.flatnonzero(np.diff(k, prepend=-1))
+        ends = np.append(first, len(k))
+        sse0 = np.repeat(batch_sse(layout, whole[:, first]), np.diff(ends), axis=1)
+        sse1 = batch_sse(layout, mid - hist[:, end - k]) + batch_sse(layout, hist[:, end, None] - mid)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stat = 0.5 * scale * obs * np.log(np.maximum(sse0 / obs, TINY) / np.maximum(sse1 / obs, TINY))
+            if per_observation:
+                stat = stat * p / obs
+        keep = obs > 0
+        if best_only:
+            mask = np.zeros(keep.shape, dtype=bool)
+            for a, b in zip(ends[:-1], ends[1:]):
+                mask[np.arange(len(hist)), a + np.argmax(stat[:, a:b], axis=1)] = True
+            keep = keep & mask
+        at, where = np.nonzero(keep)
+        out.append((at, k[where], u[where], stat[at, where]))
+    if not out:
+        return pd.DataFrame({"cluster": [], "kappa": [], "u": [], "stat": []})
+    at, k, u, stat = (np.concatenate(v) for v in zip(*out))
+    return pd.DataFrame({"cluster": np.asarray(clusters)[at], "kappa": k, "u": u, "stat": stat})
+
+
+def scan_many(mom: DataFrame, grid: ScanGrid, p: int, scale: float = 1.0, per_observation: bool = False,
+              best_only: bool = True) -> DataFrame:
+    """(cluster, kappa, u, stat) for very many small clusters: ``CLUSTERS`` of them are scored at once.
+
+    The clusters of a task come in order, as offsets into its rows; none is a group of its own.
+    """
+    layout = Moments(p)
+    names, end = layout.names, grid.n_times - 1
+
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        cluster, t = pdf["cluster"].to_numpy(), pdf["t"].to_numpy()
+        if t.min() < 0 or t.max() >= end:
+            raise ValueError(f"a transition starts outside of 0..{end - 1}")
+        first = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]]))
+        place = np.cumsum(np.concatenate([[0], (cluster[1:] != cluster[:-1]).astype(np.int64)]))
+        hist = np.zeros((len(first), end + 1, len(names)))
+        hist[place, t + 1] = pdf[names].to_numpy(float)
+        np.cumsum(hist, axis=1, out=hist)
+        return _scanned(cluster[first], hist, grid.kappas(), grid, layout, scale, per_observation, best_only)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            held.append(pdf)
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else pdf
+            cluster = rows["cluster"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]])) if len(rows) else np.zeros(0, int)
+            # The last cluster may go on in the next batch.
+            whole = (len(first) - 1) // CLUSTERS * CLUSTERS if len(first) else 0
+            for i in range(0, whole, CLUSTERS):
+                yield packed(rows.iloc[first[i]: first[i + CLUSTERS]])
+            held = [rows.iloc[first[whole]:]] if len(first) else []
+        for rows in held:
+            if len(rows):
+                cluster = rows["cluster"].to_numpy()
+                first = np.append(np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1]])), len(rows))
+                for i in range(0, len(first) - 1, CLUSTERS):
+                    yield packed(rows.iloc[first[i]: first[min(i + CLUSTERS, len(first) - 1)]])
+
+    kind = mom.schema["cluster"].dataType.simpleString()
+    return (mom.select("cluster", "t", *names).repartition(spread_partitions(mom), "cluster").sortWithinPartitions("cluster")
+            .mapInPandas(scan, f"cluster {kind}, kappa int, u int, stat double"))
+
+
 def _chunks(kappas: Sequence[int], grid: ScanGrid, size: int = 20000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Window lengths and splits as flat arrays, whole windows at a time."""
     ks, us, held = [], [], 0
@@ -214,15 +263,17 @@ def detect_transition_change(
     cache: nulls.NullCache | None = None,
     seed: int = 1,
     mom: DataFrame | None = None,
+    many: bool = False,
 ) -> DataFrame:
     """Latest change of the transition regression per cluster.
 
     ``threshold``: ``bridge`` (default), ``chi2`` or ``permutation``; or pass a
-    (kappa, threshold) table as ``limits``.
+    (kappa, threshold) table as ``limits``. ``many`` scores clusters in packs: right for
+    thousands of small ones.
     """
     if mom is None:
         mom = time_moments(label(trans, assignment), p)
-    best = best_splits(trans, grid, p, assignment, lr_scale=lr_scale, mom=mom)
+    best = scan_many(mom, grid, p, lr_scale) if many else best_splits(trans, grid, p, assignment, lr_scale=lr_scale, mom=mom)
     if limits is None and threshold == "permutation":
         perm = permutation_thresholds(mom, grid, p, draws, alpha, lr_scale, seed)
         seen = best.join(perm, ["cluster", "kappa"])
@@ -254,43 +305,47 @@ def detect_individually(trans: DataFrame, grid: ScanGrid, p: int = 1, **kw) -> D
     """Every subject is its own cluster; the result's key is the subject."""
     own = trans.withColumn("cluster", F.col("subject"))
     mom = time_moments(own, p)
-    return detect_transition_change(own, grid, p, mom=mom, **kw).withColumnRenamed("cluster", "subject")
+    return detect_transition_change(own, grid, p, mom=mom, many=True, **kw).withColumnRenamed("cluster", "subject")
 
 
 def permutation_sample(mom: DataFrame, grid: ScanGrid, p: int, draws: int, lr_scale: float = 1.0,
-                       seed: int = 1, block: int = 100) -> DataFrame:
+                       seed: int = 1, block: int = 25) -> DataFrame:
     """(cluster, kappa, rep, stat): scan maximum after shuffling the window's steps.
 
-    Whole steps move, so a shuffle reorders the sums per (cluster, t). Work is
-    split by cluster, window length and block of replicates.
+    Whole steps move, so a shuffle reorders the sums per (cluster, t). A replicate draws one
+    number per step; a window's steps are ordered by theirs, so one copy of the sums serves all
+    windows of a block of replicates. Work is split by cluster and block.
     """
     layout = Moments(p)
     names, end = layout.names, grid.n_times - 1
-    work = (
-        mom.select("*", F.explode(F.lit([k for k in grid.kappas() if grid.splits(k)])).alias("kappa"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1))).alias("block"))
-        .filter(F.col("t") >= F.lit(end) - F.col("kappa"))
-    )
+    work = mom.select("*", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // block) - 1))).alias("block"))
 
     def shuffle(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        cluster, k, b = key[0], int(key[1]), int(key[2])
-        u = np.asarray(grid.splits(k), dtype=int)
+        cluster, b = key[0], int(key[1])
         reps = min(block, draws - b * block)
-        window = np.zeros((k, len(names)))
-        window[pdf["t"].to_numpy() - (end - k)] = pdf[names].to_numpy(float)
-        rng = np.random.Generator(np.random.Philox(key=[seed * 1_000_003 + k, b]))
-        order = np.argsort(rng.random((reps, k)), axis=1)
-        total = window.sum(0)
-        left = np.cumsum(window[order], axis=1)[:, u - 1]
-        obs = total[0] * p
-        sse0 = batch_sse(layout, total)
-        sse1 = batch_sse(layout, left) + batch_sse(layout, total - left)
-        stat = 0.5 * lr_scale * obs * np.log(np.maximum(sse0 / obs, TINY) / np.maximum(sse1 / obs, TINY))
-        return pd.DataFrame({"cluster": cluster, "kappa": np.int32(k), "rep": b * block + np.arange(reps),
-                             "stat": stat.max(axis=1)})
+        sums = np.zeros((end, len(names)))
+        sums[pdf["t"].to_numpy()] = pdf[names].to_numpy(float)
+        rng = np.random.Generator(np.random.Philox(key=[seed * 1_000_003, b]))
+        # Drawn from the last step back: a window's order does not depend on the horizon.
+        place = rng.random((end, reps)).T[:, ::-1]
+        out = []
+        for k in grid.kappas():
+            u = np.asarray(grid.splits(k), dtype=int)
+            if not len(u):
+                continue
+            window = sums[end - k:]
+            total = window.sum(0)
+            left = np.cumsum(window[np.argsort(place[:, end - k:], axis=1)], axis=1)[:, u - 1]
+            obs = total[0] * p
+            sse0 = batch_sse(layout, total)
+            sse1 = batch_sse(layout, left) + batch_sse(layout, total - left)
+            stat = 0.5 * lr_scale * obs * np.log(np.maximum(sse0 / obs, TINY) / np.maximum(sse1 / obs, TINY))
+            out.append((np.full(reps, k), b * block + np.arange(reps), stat.max(axis=1)))
+        kappa, rep, stat = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0),) * 3
+        return pd.DataFrame({"cluster": cluster, "kappa": kappa.astype(np.int32), "rep": rep.astype(np.int64), "stat": stat})
 
     kind = mom.schema["cluster"].dataType.simpleString()
-    keys = ["cluster", "kappa", "block"]
+    keys = ["cluster", "block"]
     return work.repartition(spread_partitions(mom), *keys).groupBy(*keys).applyInPandas(
         shuffle, f"cluster {kind}, kappa int, rep bigint, stat double")
 

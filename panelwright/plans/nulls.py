@@ -16,17 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from panelwright.session import materialize
-
+#: Bytes of random walks that a task holds at once.
+WALK = 1 << 26
 NULL_SCHEMA = "kappa int, rep bigint, stat double"
 
 
-def _bridge_block(rng: np.random.Generator, reps: int, kappas: Sequence[int], df: int) -> np.ndarray:
-    """(reps, len(kappas)): max over u of the squared norm of the bridge."""
+def _bridge_block(key: Sequence[int], reps: int, kappas: Sequence[int], df: int) -> np.ndarray:
+    """(reps, len(kappas)): max over u of the squared norm of the bridge.
+
+    Where the walks of all replicates would take more than ``WALK`` bytes, the same draws are made
+    several times and only some of the replicates kept each time.
+    """
+    per = max(1, WALK // (8 * max(kappas) * df))
+    return np.concatenate([_bridges(key, reps, slice(at, at + per), kappas, df) for at in range(0, reps, per)])
+
+
+def _bridges(key: Sequence[int], reps: int, held: slice, kappas: Sequence[int], df: int) -> np.ndarray:
+    rng = np.random.Generator(np.random.Philox(key=key))
     top = max(kappas)
     # Drawn step by step, so a window's draws do not depend on the longest one asked for.
-    walk = np.cumsum(rng.standard_normal((top, reps, df)).transpose(1, 0, 2), axis=1)
-    out = np.empty((reps, len(kappas)))
+    steps = np.stack([rng.standard_normal((reps, df))[held] for _ in range(top)], axis=1)
+    walk = np.cumsum(steps, axis=1, out=steps)
+    out = np.empty((len(walk), len(kappas)))
     for j, k in enumerate(kappas):
         u = np.arange(1, k, dtype=float)
         bridge = walk[:, : k - 1, :] - (u / k)[None, :, None] * walk[:, k - 1: k, :]
@@ -64,8 +75,9 @@ def null_sample(
         for pdf in batches:
             for b in pdf["id"]:
                 reps = min(block, draws - int(b) * block)
-                rng = np.random.Generator(np.random.Philox(key=[seed, int(b) << 20 | df]))
-                stat = _bridge_block(rng, reps, kappas, df) if kind == "bridge" else _chi2_block(rng, reps, counts, df)
+                key = [seed, int(b) << 20 | df]
+                rng = np.random.Generator(np.random.Philox(key=key))
+                stat = _bridge_block(key, reps, kappas, df) if kind == "bridge" else _chi2_block(rng, reps, counts, df)
                 rep = int(b) * block + np.arange(reps)
                 yield pd.DataFrame({
                     "kappa": np.tile(np.array(kappas, dtype=np.int32), reps),
@@ -94,9 +106,8 @@ class NullCache:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, kind: str, df: int, draws: int, seed: int, kappa: int, splits: int | None) -> str:
-        own = f"kappa={kappa}" if splits is None else f"kappa={kappa}-splits={splits}"
-        return f"{self.root}/{kind}-df{df}-draws{draws}-seed{seed}/{own}"
+    def _path(self, root: str, kappa: int, splits: int | None) -> str:
+        return f"{root}/own=w{kappa}" if splits is None else f"{root}/own=w{kappa}-s{splits}"
 
     def _read(self, path: str) -> DataFrame | None:
         try:
@@ -107,11 +118,17 @@ class NullCache:
     def sample(self, kappas: Sequence[int], df: int, draws: int, kind: str = "bridge",
                split_counts: Sequence[int] | None = None, seed: int = 1) -> DataFrame:
         counts = dict(zip(map(int, kappas), split_counts)) if split_counts is not None else {}
-        paths = {int(k): self._path(kind, df, draws, seed, int(k), counts.get(int(k))) for k in kappas}
+        root = f"{self.root}/{kind}-df{df}-draws{draws}-seed{seed}"
+        paths = {int(k): self._path(root, int(k), counts.get(int(k))) for k in kappas}
         missing = [k for k, path in sorted(paths.items()) if self._read(path) is None]
         if missing:
-            fresh = materialize(null_sample(
-                self.spark, missing, df, draws, kind, [counts[k] for k in missing] if counts else None, seed), "null-draws")
-            for k in missing:
-                fresh.filter(F.col("kappa") == k).write.mode("overwrite").parquet(paths[k])
+            fresh = null_sample(
+                self.spark, missing, df, draws, kind, [counts[k] for k in missing] if counts else None, seed)
+            name = F.concat(F.lit("w"), F.col("kappa").cast("string"))
+            if counts:
+                splits = F.create_map(*[F.lit(v) for k in missing for v in (k, int(counts[k]))])
+                name = F.concat(name, F.lit("-s"), splits[F.col("kappa")].cast("string"))
+            # One job writes all windows that are missing; each replaces its own folder only.
+            (fresh.withColumn("own", name).repartition(len(missing), "own").write.partitionBy("own")
+             .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root))
         return self.spark.read.schema(NULL_SCHEMA).parquet(*paths.values())

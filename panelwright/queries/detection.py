@@ -17,7 +17,12 @@ from panelwright.sources.tables import (
 
 # Limit used where a query is checked against SQL; simulated limits are used elsewhere.
 LIMIT = 5.0
-KAPPA_MEAN = (40, 60)
+# Windows of the mean and marginal scans: from max(25, 2 eps T) to T - 1.
+KAPPA_SQL = f"(SELECT unnest(range(greatest(25, CAST(floor(0.2e0 * {N_SQL}) AS BIGINT)), {N_SQL})) AS kappa)"
+
+
+def level_windows(n_times):
+    return max(25, int(0.2 * n_times)), n_times - 1
 
 
 def narrow_transitions(spark, sf):
@@ -191,14 +196,15 @@ fwd AS (SELECT subject, cluster, t, avg(s1) OVER (PARTITION BY subject ORDER BY
         avg(s1) OVER (PARTITION BY subject ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM cells),
 per_u AS (SELECT cluster, t AS u, count(*) AS nk, abs(sum(f - b)) AS d FROM fwd WHERE t <= {TOP_U} GROUP BY cluster, t),
 scored AS (SELECT cluster, kappa, u, nk, sqrt(({N_SQL} - u) * (u - {N_SQL} + kappa) / (kappa * kappa)) * nk * d AS stat
-  FROM per_u, (SELECT unnest(range({KAPPA_MEAN[0]}, {KAPPA_MEAN[1] + 1})) AS kappa)
+  FROM per_u, {KAPPA_SQL}
   WHERE u > {LOW_U}),
 best AS (SELECT cluster, kappa, nk, max(stat) AS stat, arg_min(u, ROW(-stat, u)) AS u FROM scored GROUP BY cluster, kappa, nk),
 lim AS (SELECT *, 50.0 * power(kappa * nk, -0.5) * log10(n_all * {N_SQL}) AS threshold FROM best, facts)
 SELECT cluster, CAST(CASE WHEN stat < threshold THEN {LOW_U} + 1 ELSE u END AS INTEGER) AS tau,
-       round(stat, 3) AS stat, round(threshold, 4) AS threshold FROM lim WHERE kappa = {KAPPA_MEAN[1]}""")
+       round(stat, 3) AS stat, round(threshold, 4) AS threshold FROM lim WHERE kappa = {N_SQL} - 1""")
 def mean_change(spark, sf):
-    found = cp.detect_mean_change(dense_panel(spark, sf), horizon(spark, sf), KAPPA_MEAN, c1=50.0,
+    n_times = horizon(spark, sf)
+    found = cp.detect_mean_change(dense_panel(spark, sf), n_times, level_windows(n_times), c1=50.0,
                                   assignment=region_assignment(spark, sf))
     return found.select("cluster", "tau", F.round("stat", 3).alias("stat"), F.round("threshold", 4).alias("threshold"))
 
@@ -209,7 +215,7 @@ var AS (SELECT cluster, u, count(DISTINCT subject) AS nk, count(*) AS n, var_pop
    (var_pop(s1) FILTER (t <= u) * count(*) FILTER (t <= u) + var_pop(s1) FILTER (t > u) * count(*) FILTER (t > u)) / count(*) AS v1
   FROM cells, cuts GROUP BY cluster, u),
 scored AS (SELECT cluster, kappa, u, nk, n / 2.0 * ln(v0 / v1) / (kappa * nk) AS stat
-  FROM var, (SELECT unnest(range({KAPPA_MEAN[0]}, {KAPPA_MEAN[1] + 1})) AS kappa)
+  FROM var, {KAPPA_SQL}
   WHERE u > {LOW_U}),
 best AS (SELECT cluster, kappa, nk, max(stat) AS stat, arg_min(u, ROW(-stat, u)) AS u FROM scored GROUP BY cluster, kappa, nk),
 lim AS (SELECT *, power(0.05 * power(kappa * nk, -0.5) * log10(n_all * {N_SQL}), 2) AS threshold FROM best, facts),
@@ -217,7 +223,8 @@ row1 AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY kappa) AS rn
 SELECT c.cluster, CAST(coalesce(row1.u, 0) AS INTEGER) AS tau, CAST(row1.kappa AS INTEGER) AS kappa, round(row1.stat, 6) AS stat
 FROM (SELECT DISTINCT cluster FROM best) c LEFT JOIN row1 ON row1.cluster = c.cluster AND row1.rn = 1""")
 def marginal_change(spark, sf):
-    found = cp.detect_marginal_change(dense_panel(spark, sf), horizon(spark, sf), KAPPA_MEAN, c1=0.05,
+    n_times = horizon(spark, sf)
+    found = cp.detect_marginal_change(dense_panel(spark, sf), n_times, level_windows(n_times), c1=0.05,
                                       assignment=region_assignment(spark, sf), rule="first")
     return found.select("cluster", "tau", "kappa", F.round("stat", 6).alias("stat"))
 
@@ -271,14 +278,11 @@ def null_threshold_chi2(spark, sf):
         (F.col("stat") >= F.col("threshold")).alias("rejected"))
 
 
-PERM = dict(kappa_min=30, step=10)
-
-
 @query("G-07")
 def null_threshold_permutation(spark, sf):
     trans = narrow_transitions(spark, sf)
     found = cp.detect_transition_change(
-        trans, scan_grid(spark, sf, **PERM), assignment=region_assignment(spark, sf), threshold="permutation", draws=200)
+        trans, scan_grid(spark, sf), assignment=region_assignment(spark, sf), threshold="permutation", draws=1000)
     return found.select("cluster", "tau", "kappa", F.round("stat", 4).alias("stat"))
 
 
@@ -286,7 +290,7 @@ def null_threshold_permutation(spark, sf):
 def time_shuffle(spark, sf):
     """Window shuffles of the pooled panel: one scan maximum per replicate."""
     mom = cp.time_moments(cp.label(narrow_transitions(spark, sf), None), 1)
-    return cp.permutation_sample(mom, scan_grid(spark, sf, **PERM), 1, draws=100)
+    return cp.permutation_sample(mom, scan_grid(spark, sf), 1, draws=1000)
 
 
 @query("G-14")

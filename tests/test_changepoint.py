@@ -222,3 +222,54 @@ def test_minimum_norm_with_one_action(spark):
         _, _, a, s, y = step_arrays(pdf)
         c = np.linalg.lstsq(design(a, s), y, rcond=None)[0]
         assert np.allclose(mo.fit_by(trans, "g", 1).first()["coef"], c[:, 0], atol=1e-8)
+
+
+@pytest.mark.parametrize("pack,batch", [(1, 7), (5, 1000), (64, 40)])
+def test_packs_of_subjects_are_scanned_like_groups(spark, change_panel, monkeypatch, pack, batch):
+    """Subjects with gaps, of unequal length and without a row in some windows."""
+    df = spark.createDataFrame(change_panel).filter("not (subject = 2 and t < 45) and not (subject = 3 and t > 20) and t % 11 <> subject % 11")
+    mom = cp.time_moments(transitions(df, ["s1"]).withColumn("cluster", F.col("subject") * 3), 1)
+    grid = ScanGrid(51, kappa_min=8, eps=0.05)
+    monkeypatch.setattr(cp, "CLUSTERS", pack)
+    monkeypatch.setattr(cp, "spread_partitions", lambda df: 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        order = ["cluster", "kappa", "u"]
+        for best in (True, False):
+            got = cp.scan_many(mom, grid, 1, best_only=best).orderBy(*order).toPandas()
+            want = cp.split_statistics(None, grid, 1, mom=mom, best_only=best).orderBy(*order).toPandas()
+            pd.testing.assert_frame_equal(got, want, check_dtype=False)
+        assert cp.scan_many(mom.limit(0), grid, 1).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_every_window_of_a_replicate_is_a_shuffle_of_its_own_steps(spark, steady_panel):
+    """A window's draws don't depend on which other windows are asked for, and have the law of fresh shuffles."""
+    mom = cp.time_moments(cp.label(transitions(spark.createDataFrame(steady_panel), ["s1"]), None), 1)
+    many = cp.permutation_sample(mom, ScanGrid(51, kappa_min=25), 1, 60)
+    one = cp.permutation_sample(mom, ScanGrid(51, kappa_min=30, kappa_max=31), 1, 60)
+    a, b = (x.filter("kappa = 30").orderBy("rep").toPandas() for x in (many, one))
+    assert (a.stat == b.stat).all() and len(a) == 60
+    assert many.select("kappa").distinct().count() == len(ScanGrid(51, kappa_min=25).kappas())
+    rows = mom.orderBy("t").toPandas()
+    layout, names = mo.Moments(1), mo.Moments(1).names
+    window = rows[rows.t >= 20][names].to_numpy(float)
+    rng, u = np.random.default_rng(0), np.asarray(ScanGrid(51, kappa_min=30, kappa_max=31).splits(30))
+    fresh = []
+    for _ in range(400):
+        left = np.cumsum(window[rng.permutation(30)], axis=0)[u - 1]
+        total = window.sum(0)
+        fresh.append((0.5 * total[0] * np.log(mo.batch_sse(layout, total) / (mo.batch_sse(layout, left) + mo.batch_sse(layout, total - left)))).max())
+    assert abs(np.mean(fresh) - a.stat.mean()) < 4 * np.std(fresh) / 60**0.5
+
+
+def test_long_walks_are_held_in_parts(spark, monkeypatch):
+    whole = nulls.null_sample(spark, [10, 20], 2, 30).orderBy("kappa", "rep").toPandas()
+    key = [1, 0 << 20 | 2]
+    walk = np.cumsum(np.random.Generator(np.random.Philox(key=key)).standard_normal((20, 30, 2)).transpose(1, 0, 2), axis=1)
+    u = np.arange(1, 20)
+    bridge = walk[:, :19] - (u / 20)[None, :, None] * walk[:, 19:20]
+    assert np.allclose(whole[whole.kappa == 20].stat, ((bridge**2).sum(2) * 20 / (u * (20 - u))).max(1))
+    monkeypatch.setattr(nulls, "WALK", 8 * 20 * 2 * 7)
+    assert np.array_equal(nulls._bridge_block(key, 30, [10, 20], 2)[:, 1], whole[whole.kappa == 20].stat)
