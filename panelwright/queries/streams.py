@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators.moments import Moments
 from panelwright.queries.base import PANEL, TRANS, query
-from panelwright.queries.detection import narrow_transitions
+from panelwright.queries.detection import TINY_SQL, narrow_transitions, part_sums, sse_sql, time_sums
 from panelwright.queries.policies import FQI, GREEDY, LINEAR, fitted, linear_rows
 from panelwright.session import run_path
 from panelwright.sources.tables import supplier_month_narrow, table
@@ -52,12 +52,39 @@ def batch_source(spark, sf):
         F.count(F.lit(1)).alias("n"), F.sum("s1").alias("s"))
 
 
+LOOP_LIMIT = 4.0
+
+
+def loop_sql(batches: int = 6) -> str:
+    """CTEs log0, log1, ...: each batch's detection from the latest change of the ones before; none for a batch that isn't there."""
+    ctes = []
+    for b in range(batches):
+        before = " UNION ALL ".join(["SELECT 0 AS tau", *[f"SELECT tau FROM log{i}" for i in range(b)]])
+        ctes.append(f"""
+len{b} AS (SELECT n, off, n - off AS len, greatest(CAST(trunc(0.1e0 * (n - off)) AS BIGINT), 5) AS low, greatest((n - off) // 50, 1) AS step
+  FROM (SELECT max(t) + 1 AS n FROM panel WHERE t // {STEP} <= {b} HAVING max(t) // {STEP} = {b}), (SELECT max(tau) AS off FROM ({before}))),
+part{b} AS (SELECT 0 AS cluster, trans.* REPLACE (trans.t - off AS t) FROM trans, len{b} WHERE trans.t >= off AND trans.t <= n - 2),
+{time_sums(f'part{b}').replace('tsum AS', f'sums{b} AS', 1)},
+grid{b} AS (SELECT len - 1 AS e, kappa, unnest(range(1, kappa)) AS u
+  FROM (SELECT len, unnest(range(low, least(CAST(trunc(0.9e0 * len) AS BIGINT), len - 1), step)) AS kappa FROM len{b})),
+seg{b} AS (SELECT kappa, u, {part_sums('t < e - kappa + u', 'l')}, {part_sums('t >= e - kappa + u', 'r')}, {part_sums('TRUE', 'f')}
+  FROM grid{b} JOIN sums{b} ON t >= e - kappa GROUP BY kappa, u),
+best{b} AS (SELECT kappa, max(0.5e0 * obs * ln(greatest(e0 / obs, {TINY_SQL}) / greatest(e1 / obs, {TINY_SQL}))) AS stat
+  FROM (SELECT kappa, fzn + fwn AS obs, {sse_sql('fz')} + {sse_sql('fw')} AS e0,
+        {sse_sql('lz')} + {sse_sql('lw')} + {sse_sql('rz')} + {sse_sql('rw')} AS e1 FROM seg{b}) GROUP BY kappa),
+hit{b} AS (SELECT min(kappa) AS kappa, arg_min(stat, kappa) AS stat FROM best{b} WHERE stat >= {LOOP_LIMIT}),
+log{b} AS (SELECT {b} AS batch_id, n AS n_times, off AS "offset",
+  off + CASE WHEN kappa IS NULL THEN 0 ELSE len - 1 - greatest(kappa - step, low) END AS tau, kappa, stat FROM len{b}, hit{b})""")
+    rows = " UNION ALL ".join(f"SELECT * FROM log{b}" for b in range(batches))
+    return ",".join(ctes) + f", logs AS ({rows})"
+
+
 def batch_loop(spark, sf, restarts=0):
     panel = supplier_month_narrow(spark, sf)
     loop = None
     root = run_path(spark, "batch-loop")
     for path in arriving(spark, panel, "arrivals"):
-        loop = sp.BatchArrival(spark, path, root, panel.schema, limits=4.0)
+        loop = sp.BatchArrival(spark, path, root, panel.schema, limits=LOOP_LIMIT)
         for _ in range(1 + restarts):
             loop.process()
     return loop
@@ -77,7 +104,8 @@ def ingest(spark, sf):
     return runner.run_to_table(all_arrived(spark, supplier_month_narrow(spark, sf), "arrivals"), "ingest")
 
 
-@query("T-02")
+@query("T-02", f"""WITH {TRANS}, {loop_sql()} SELECT batch_id, CAST(n_times AS INTEGER) AS n_times, CAST("offset" AS INTEGER) AS "offset",
+  CAST(tau AS INTEGER) AS tau, CAST(kappa AS INTEGER) AS kappa, round(stat, 4) AS stat FROM logs""")
 def redetect(spark, sf):
     """Detection again after every 25 steps, from the latest change point on."""
     return batch_loop(spark, sf).log().select("batch_id", "n_times", "offset", "tau", "kappa", F.round("stat", 4).alias("stat"))
@@ -98,7 +126,8 @@ def gram_state(spark, sf):
     return state.select("subject", "m_n", "m_s0", "m_s0y0", "k_y0y0")
 
 
-@query("T-04")
+@query("T-04", f"""WITH {TRANS}, {loop_sql()} SELECT batch_id, CAST(max("offset") AS INTEGER) AS "offset", CAST(max(tau) AS INTEGER) AS tau
+FROM logs GROUP BY batch_id""")
 def carry_over(spark, sf):
     """Latest change point after every batch, counted from the start of the panel."""
     return batch_loop(spark, sf).log().groupBy("batch_id").agg(F.max("offset").alias("offset"), F.max("tau").alias("tau"))
