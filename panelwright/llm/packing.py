@@ -43,6 +43,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a task keeps.
 KEEP = 1 << 19
+#: Marks that may separate words; the first that is one token does.
+MARKS = "\u2b50\u2b07\u27a4\u27a1"
 _loaded: dict[str, "WordCoder"] = {}
 # A comma or full stop after an ASCII letter is a word of its own for the tokenizer.
 _stop = re.compile(rb"(?<=[a-z])([,.])(?=[ \t\n\r\x0b\x0c]|\Z)")
@@ -64,6 +66,25 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        #: A mark of one token, set between words that are encoded together.
+        self.mark = next((m for m in MARKS if len(self._encode(m)) == 1), None)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode words in one string, with marks between them; one by one if a word has the mark's token."""
+        if self.mark is not None:
+            ids = self._encode(f" {self.mark} ".join([w.decode() for w in words]))
+            cuts = np.flatnonzero(ids == self._encode(self.mark)[0])
+            # As many as were set: then each is one of those.
+            if len(cuts) == len(words) - 1:
+                raw = ids.tobytes()
+                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+                self.known.update(zip(words, [raw[a:b] for a, b in zip(starts, ends)]))
+                return
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words, found))
 
     def words(self, text) -> list[bytes]:
         raw = text_bytes(text)
@@ -83,10 +104,7 @@ class WordCoder:
                     self.known = {}
                 new = list({w for words in group for w in words if w not in self.known})
                 for at in range(0, len(new), 1 << 14):
-                    part = new[at : at + (1 << 14)]
-                    found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                    for word, x in zip(part, found):
-                        self.known[word] = np.array(x.ids, "<u4").tobytes()
+                    self._learn(new[at : at + (1 << 14)])
                 for words in group:
                     yield b"".join(map(self.known.__getitem__, words))
                 group, size = [], 0
