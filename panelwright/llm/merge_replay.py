@@ -2,10 +2,11 @@
 
 The distinct words of a task's texts form one sequence of symbols. An inverted
 index holds, for each merge, the places of the pairs it applies to. Merges are
-taken in rank order; each is applied at all its places, left to right, and only
-the pairs with the two neighbours are looked up again and entered in the index.
-Words that were met before in the task keep their result (a bounded table that
-is emptied when full; that changes no result).
+taken in rank order; each is applied at all its places at once, in arrays, and only
+the pairs with the two neighbours are looked up again and entered in the index. Where
+a merge makes a pair of lower rank, that pair comes first: the word merges its first
+place alone, and the others wait. Words that were met before in the task keep their
+result (a bounded table that is emptied when full; that changes no result).
 
 Null and empty texts have no tokens and decode to no bytes. Any text decodes to
 its own UTF-8 bytes. Long texts are split like short ones.
@@ -16,7 +17,9 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -26,8 +29,8 @@ from panelwright.llm.text import text_bytes
 
 #: Words whose results a task keeps.
 KEEP = 400_000
-#: Bytes of words that are replayed together.
-REPLAY = 1 << 18
+#: Characters of texts whose new words are replayed together.
+GROUP = 1 << 24
 _SHIFT = 20
 _loaded: dict[tuple[str, str], "ByteCoder"] = {}
 
@@ -37,84 +40,118 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks[bytes([i])] for i in range(256)]
-        #: Pair of ids -> id of the merged token, for every way to cut a token in two.
-        self.merge: dict[int, int] = {}
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.none = max(ranks.values()) + 1
+        # Pairs of ids in order, and the id of the merged token, for every way to cut a token in two.
+        merge: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.merge[left << _SHIFT | right] = rank
+                    merge[left << _SHIFT | right] = rank
+        self.pairs = np.array(sorted(merge), np.int64)
+        self.merged = np.array([merge[k] for k in self.pairs.tolist()], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged token of each pair, ``none`` without one."""
+        if not len(self.pairs):
+            return np.full(len(left), self.none)
+        key = left << _SHIFT | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.merged[at], self.none)
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
-        merge = self.merge
-        symbol: list[int] = []
-        before: list[int] = []
-        after: list[int] = []
-        single = self.single
-        for word in words:
-            start, n = len(symbol), len(word)
-            symbol += [single[b] for b in word]
-            before += range(start - 1, start + n - 1)
-            after += range(start + 1, start + n + 1)
-            if n:
-                before[start] = after[-1] = -1
-        index: dict[int, list[int]] = {}
-        for place, follower in enumerate(after):
-            if follower >= 0:
-                rank = merge.get(symbol[place] << _SHIFT | symbol[follower])
-                if rank is not None:
-                    index.setdefault(rank, []).append(place)
-        waiting = list(index)
-        heapq.heapify(waiting)
+        ids, ends = self.replay(words)
+        flat, out, at = ids.tolist(), [], 0
+        for end in ends.tolist():
+            out.append(flat[at:end])
+            at = end
+        return out
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in turn, and where each word's ids end."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        symbol = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(symbol)
+        word = np.repeat(np.arange(len(words)), sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends[sizes > 0] - 1] = -1
+        before[(ends - sizes)[sizes > 0]] = -1
+        # The merge that the pair at each place allows.
+        pair = np.full(n, self.none)
+        inner = np.flatnonzero(after >= 0)
+        pair[inner] = self._rank(symbol[inner], symbol[inner + 1])
+
+        index: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def enter(places: np.ndarray) -> None:
+            """Enter places in the index by the merge of their pair."""
+            ranks = pair[places]
+            places, ranks = places[ranks < self.none], ranks[ranks < self.none]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+            for rank, start, stop in zip(ranks[cuts].tolist(), cuts, [*cuts[1:], len(ranks)]):
+                if rank not in index:
+                    index[rank] = []
+                    heapq.heappush(waiting, rank)
+                index[rank].append(places[start:stop])
+
+        enter(inner)
         while waiting:
             rank = heapq.heappop(waiting)
-            places = index.pop(rank)
-            places.sort()
-            for at, place in enumerate(places):
-                follower = after[place]
-                # A neighbour's merge may have taken the pair away.
-                if follower < 0 or symbol[place] < 0 or merge.get(symbol[place] << _SHIFT | symbol[follower]) != rank:
-                    continue
-                symbol[place], symbol[follower] = rank, -1
-                end = after[place] = after[follower]
-                lower = False
-                if end >= 0:
-                    before[end] = place
-                    found = merge.get(rank << _SHIFT | symbol[end])
-                    if found is not None:
-                        if found not in index:
-                            index[found] = []
-                            heapq.heappush(waiting, found)
-                        index[found].append(place)
-                        lower = found < rank
-                start = before[place]
-                if start >= 0:
-                    found = merge.get(symbol[start] << _SHIFT | rank)
-                    if found is not None:
-                        if found not in index:
-                            index[found] = []
-                            heapq.heappush(waiting, found)
-                        index[found].append(start)
-                        lower = lower or found < rank
-                if lower and at + 1 < len(places):
-                    # The new pair comes first; the other places wait.
-                    if rank not in index:
-                        index[rank] = []
-                        heapq.heappush(waiting, rank)
-                    index[rank] += places[at + 1 :]
-                    break
-        out, at = [], 0
-        for word in words:
-            out.append([s for s in symbol[at : at + len(word)] if s >= 0])
-            at += len(word)
-        return out
+            held = index.pop(rank)
+            places = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            # A neighbour's merge may have taken the pair away.
+            places = places[pair[places] == rank]
+            if not len(places):
+                continue
+            chosen = _apart(places, after)
+            follower, left = after[chosen], before[chosen]
+            end = after[follower]
+            # What a merge from left to right would meet: the place before is merged already, the one behind not yet.
+            beside = np.where(left == np.concatenate([[-2], follower[:-1]]), rank, symbol[left])
+            lower = (left >= 0) & (self._rank(beside, np.full(len(left), rank)) < rank)
+            lower |= (end >= 0) & (self._rank(np.full(len(end), rank), symbol[end]) < rank)
+            if lower.any():
+                # There the new pair comes first: such a word merges its first place, its others wait.
+                owner = word[chosen]
+                held_back = np.isin(owner, owner[lower])
+                now = ~held_back | (np.diff(owner, prepend=-1) != 0)
+                later = places[np.isin(word[places], owner[lower])]
+                chosen, follower, end = chosen[now], follower[now], end[now]
+            symbol[chosen], symbol[follower] = rank, -1
+            after[chosen], pair[follower] = end, self.none
+            there = end >= 0
+            before[end[there]] = chosen[there]
+            pair[chosen] = self.none
+            pair[chosen[there]] = self._rank(symbol[chosen[there]], symbol[end[there]])
+            left = before[chosen]
+            left = left[left >= 0]
+            pair[left] = self._rank(symbol[left], symbol[after[left]])
+            enter(np.concatenate([chosen, left]))
+            if lower.any():
+                enter(later[pair[later] == rank])
+        kept = symbol >= 0
+        return symbol[kept], np.cumsum(np.bincount(word[kept], minlength=len(words)))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
 
+def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of places whose pairs overlap in a row, the first, third and so on."""
+    joined = np.concatenate([[False], after[places[:-1]] == places[1:]])
+    if not joined.any():
+        return places
+    at = np.arange(len(places))
+    first = np.maximum.accumulate(np.where(joined, 0, at))
+    return places[(at - first) % 2 == 0]
+
+
 class ByteCoder:
     """Splits texts by a pattern, encodes the words by merge replay and decodes them."""
 
@@ -126,41 +163,39 @@ class ByteCoder:
         self.clear()
 
     def clear(self) -> None:
-        #: Word -> (number of ids, ids in decimal joined by one space, decoded bytes).
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode and decode the words that aren't known yet."""
-        block: list[str] = []
-        size = 0
-        for word in words:
-            if word not in self.known:
-                block.append(word)
-                size += len(word)
-            if size > REPLAY:
-                self._replay(block)
-                block, size = [], 0
-        self._replay(block)
-
-    def _replay(self, block: list[str]) -> None:
-        for word, ids in zip(block, self.replay.encode([text_bytes(w) for w in block])):
-            self.known[word] = (len(ids), " ".join(map(str, ids)), self.replay.decode(ids))
+        #: Word -> its number; by number: how many ids, ids in decimal joined by one space, decoded bytes.
+        self.number: dict[str, int] = {}
+        self.n_ids: list[int] = []
+        self.ids: list[str] = []
+        self.decoded: list[bytes] = []
+
+    def _learn(self) -> None:
+        """Encode and decode the words that have a number but no ids yet, all of them in one replay."""
+        new = list(islice(self.number, len(self.ids), None))
+        text: dict[int, str] = {}
+        for ids in self.replay.encode([text_bytes(w) for w in new]):
+            self.n_ids.append(len(ids))
+            self.ids.append(" ".join([text.get(i) or text.setdefault(i, str(i)) for i in ids]))
+            self.decoded.append(self.replay.decode(ids))
 
     def rows(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids in decimal joined by one space, decoded bytes) of each text."""
-        group: list[list[str]] = []
+        group: list[np.ndarray] = []
         size = 0
         for i, text in enumerate(texts):
-            group.append(self.pattern.findall(text))
+            number = self.number
+            group.append(np.array([number.setdefault(w, len(number)) for w in self.pattern.findall(text)], np.int32))
             size += len(text)
-            if size > 1 << 21 or i + 1 == len(texts):
-                if len(self.known) > KEEP:
-                    self.clear()
-                self.learn({w for words in group for w in words})
-                for words in group:
-                    n, ids, back = zip(*map(self.known.__getitem__, words)) if words else ((), (), ())
-                    yield sum(n), " ".join(ids), b"".join(back)
+            if size > GROUP or i + 1 == len(texts):
+                self._learn()
+                counts = np.array(self.n_ids, np.int64)
+                for places in group:
+                    at = places.tolist()
+                    yield (int(counts[places].sum()), " ".join(map(self.ids.__getitem__, at)),
+                           b"".join(map(self.decoded.__getitem__, at)))
                 group, size = [], 0
+                if len(self.number) > KEEP:
+                    self.clear()
 
 
 def coder(path: str, pattern: str) -> ByteCoder:
