@@ -139,38 +139,39 @@ def segment_contrasts(spark, sf):
 
 # --- alternating runs: three standardised states, simulated limits
 
-def fast(spark, sf):
-    return dict(n_times=horizon(spark, sf), p=3, kappa_min=30, kappa_interval=5, draws=2000, max_iter_gmr=10)
+def whole(spark, sf):
+    """The estimator's own windows (all lengths from max(25, 2 eps T)) and draws."""
+    return dict(n_times=horizon(spark, sf), p=3)
 
 
 @query("M-01")
 def segment_and_detect(spark, sf):
-    est = alternate.PanelSegmenter(k=2, init="clusters", max_iter=3, **fast(spark, sf)).fit(scaled_transitions(spark, sf))
+    est = alternate.PanelSegmenter(k=2, init="clusters", max_iter=10, **whole(spark, sf)).fit(scaled_transitions(spark, sf))
     return est.result
 
 
 @query("M-02")
 def detect_and_segment(spark, sf):
-    est = alternate.PanelSegmenter(k=2, init="changepoints", max_iter=2, **fast(spark, sf)).fit(scaled_transitions(spark, sf))
+    est = alternate.PanelSegmenter(k=2, init="changepoints", max_iter=10, **whole(spark, sf)).fit(scaled_transitions(spark, sf))
     return est.result
 
 
 @query("M-03")
 def fit_front_door(spark, sf):
     """K from a list in every round; the run log."""
-    est = alternate.PanelSegmenter(k=[1, 2, 3], init="clusters", max_iter=2, **fast(spark, sf)).fit(scaled_transitions(spark, sf))
+    est = alternate.PanelSegmenter(k=[1, 2, 3], init="clusters", max_iter=10, **whole(spark, sf)).fit(scaled_transitions(spark, sf))
     return est.run_log()
 
 
 @query("M-04")
 def fit_tune_k(spark, sf):
-    _, table = alternate.fit_tune_k([1, 2], scaled_transitions(spark, sf), init="clusters", max_iter=2, **fast(spark, sf))
+    _, table = alternate.fit_tune_k([1, 2], scaled_transitions(spark, sf), init="clusters", max_iter=10, **whole(spark, sf))
     return table
 
 
 @query("M-05")
 def fit_tune_k_each_iter(spark, sf):
-    _, log = alternate.fit_tune_k_each_iter([1, 2], scaled_transitions(spark, sf), rounds=2, **fast(spark, sf))
+    _, log = alternate.fit_tune_k_each_iter([1, 2], scaled_transitions(spark, sf), **whole(spark, sf))
     return log
 
 
@@ -179,12 +180,10 @@ def method_presets(spark, sf):
     """Labels and change points of every method, one row per method and label."""
     trans = scaled_transitions(spark, sf, ("s1",))
     truth = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster")
-    coarse = dict(kappa_min=30, kappa_interval=5, draws=1000, max_iter_gmr=5)
     n_times = horizon(spark, sf)
     out = None
     for method in alternate.PRESETS:
-        extra = {"max_iter": 2} if method == "proposed" else {}
-        found = alternate.run_method(method, trans, n_times, (1, 2), truth, **coarse, **extra)
+        found = alternate.run_method(method, trans, n_times, (1, 2), truth)
         rows = found.groupBy(F.lit(method).alias("method"), "tau").agg(
             F.count(F.lit(1)).alias("n_subjects"), F.countDistinct("cluster").alias("n_clusters"))
         out = rows if out is None else out.unionByName(rows)
@@ -199,7 +198,7 @@ def test_period_labels(spark, sf):
     own = label(trans.select("subject").distinct(), region_assignment(spark, sf)).withColumn("tau", F.lit(20))
     out = None
     for kind in ("test_set_only", "after_cp", "after_proposed_cp", "proposed_g_index", "g_index"):
-        found = alternate.test_period_labels(kind, trans, n_times, own, 60, own, (1, 2), max_iter_gmr=5)
+        found = alternate.test_period_labels(kind, trans, n_times, own, n_times - 23, own, (1, 2))
         rows = own.select("subject", F.col("cluster").alias("k_train")).join(
             found.withColumnRenamed("cluster", "k_test"), "subject"
         ).groupBy(F.lit(kind).alias("source"), "k_train", "k_test").agg(F.count(F.lit(1)).alias("n"))
@@ -211,7 +210,7 @@ def test_period_labels(spark, sf):
 def detection_sink(spark, sf):
     """A run written below method=/seed= and read back."""
     path = alternate.estimate_path(spark)
-    seg = alternate.PanelSegmenter(k=1, init="clusters", max_iter=1, only_changepoints=True, **fast(spark, sf))
+    seg = alternate.PanelSegmenter(k=1, init="clusters", max_iter=1, only_changepoints=True, **whole(spark, sf))
     trans = scaled_transitions(spark, sf)
     est = seg.fit(trans, assignment=trans.select("subject").distinct().withColumn("cluster", F.lit(0)))
     alternate.write_estimate(est, path, "only_cp", 1)
