@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from panelwright.llm.text import text_bytes
 
 #: Words whose results a task keeps.
-KEEP = 400_000
+KEEP = 300_000
 #: Characters of texts whose new words are replayed together.
-GROUP = 1 << 24
+GROUP = 1 << 23
 _SHIFT = 20
 _loaded: dict[tuple[str, str], "ByteCoder"] = {}
 
