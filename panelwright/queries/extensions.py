@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 
 from panelwright.functions import criteria
 from panelwright.functions.features import FeatureMap
-from panelwright.operators import kernel, ranking
+from panelwright.operators import ranking
 from panelwright.operators.moments import Moments, fit_by, moments_by
 from panelwright.plans import alternate, policy, segment
 from panelwright.plans.changepoint import label
 from panelwright.queries.base import TRANS, query
 from panelwright.queries.detection import narrow_transitions
-from panelwright.queries.policies import BW, FQI, GAMMA, LINEAR, linear_rows, scaled
+from panelwright.queries.policies import BW, FQI, GAMMA, LINEAR, cv_sql, linear_rows, scaled
 from panelwright.queries.segmenting import em_sql, scaled_transitions, start
 from panelwright.queries.summaries import FACTS, facts
 from panelwright.sources.tables import horizon, region_assignment
 from panelwright.session import materialize
 
 
-@query("U-01", f"{FQI} SELECT CAST(a AS INTEGER) AS action, round(c, 4) AS c, round(b, 4) AS b FROM q4")
+@query("U-01", f"{FQI} SELECT CAST(a AS INTEGER) AS action, round(CASE a WHEN 1 THEN c1 ELSE c0 END, 4) AS c, round(CASE a WHEN 1 THEN b1 ELSE b0 END, 4) AS b "
+       "FROM fq, (SELECT unnest([0, 1]) AS a) WHERE step = 4")
 def own_regressor(spark, sf):
-    """Fitted-Q iteration with MLlib's linear regression as the regressor."""
+    """Four updates of fitted-Q iteration with MLlib's linear regression as the regressor."""
     model = policy.q_iteration_with(linear_rows(spark, sf), policy.mllib_linear, GAMMA, 4)
     return model.frame(spark).select("action", F.round(F.col("coef")[0], 4).alias("c"), F.round(F.col("coef")[1], 4).alias("b"))
 
@@ -58,14 +59,19 @@ def own_clusterer(spark, sf):
     return seg.fit(trans, zero).result
 
 
-@query("U-04")
+@query("U-04", f"""WITH {TRANS}, {cv_sql(3, 40, 'TRUE')},
+kd AS (SELECT grp, a, x, r + {GAMMA} * greatest(c0 + b0 * z, c1 + b1 * z) - CASE WHEN a = 1 THEN c1 + b1 * x ELSE c0 + b0 * x END AS tde,
+  row_number() OVER (ORDER BY subject, t) AS id FROM base JOIN df ON fold = grp),
+kp AS (SELECT p.grp, abs(p.a - q.a) AS ka, exp(-{BW} * (p.x - q.x) ** 2) AS ks, p.tde * q.tde AS e FROM kd p JOIN kd q ON p.grp = q.grp AND p.id < q.id),
+kl AS (SELECT grp, avg((1 + ka + ks + ka * ks) * e) AS loss FROM kp GROUP BY grp)
+SELECT 0 AS param_id, round(avg(loss), 7) AS test_error FROM kl""")
 def own_metric(spark, sf):
     """Cross-validation scored by the kernel loss instead of the mean square."""
     trans = scaled(spark, sf)
     folds = ranking.contiguous_chunks(trans.select("subject").distinct(), "subject", 3)
     errors = policy.select_linear_cv(
-        trans, folds, ["s1"], [LINEAR], GAMMA, max_iter=2, early_stopping=False,
-        metric=lambda td: kernel.kernel_td_loss(td, "x1", BW))
+        trans, folds, ["s1"], [LINEAR], GAMMA, tol=1e-10, early_stopping=False,
+        metric=policy.kernel_metric(["x1"], bandwidth=BW))
     return errors.withColumn("test_error", F.round("test_error", 7))
 
 

@@ -17,7 +17,7 @@ from panelwright.session import materialize, run_path
 from panelwright.sources import files
 from panelwright.sources.tables import region_assignment, supplier_month, supplier_month_narrow
 
-GAMMA = 0.9
+GAMMA = 0.5
 LINEAR = FeatureMap("polynomial", degree=1)
 
 
@@ -32,42 +32,61 @@ def linear_rows(spark, sf):
     return materialize(policy.policy_rows(scaled(spark, sf), ["s1"], LINEAR), "policy-rows")
 
 
-def fitted(rows, max_iter=3):
+def fitted(rows, max_iter=200):
     return policy.fitted_q_iteration(rows, GAMMA, max_iter=max_iter).model
 
 
-# --- SQL text: fitted-Q iteration and evaluation unrolled.
+# --- SQL text: fitted-Q iteration and evaluation as recursions that end by the operators' own rules.
 
-def fqi_sql(updates: int, where: str = "TRUE") -> str:
-    """CTEs q0..q{updates}; each holds (a, c, b). ``row0`` holds the rows."""
-    ctes = [f"row0 AS (SELECT subject, t, a, s1 / 100 AS x, y1 / 100 AS z, y1 / 100 AS r FROM trans WHERE {where})",
-            "q0 AS (SELECT a, regr_intercept(r, x) AS c, regr_slope(r, x) AS b FROM row0 GROUP BY a)"]
-    for i in range(1, updates + 1):
-        ctes.append(f"w{i} AS (SELECT max(c) FILTER (a=0) AS c0, max(b) FILTER (a=0) AS b0, max(c) FILTER (a=1) AS c1, max(b) FILTER (a=1) AS b1 FROM q{i - 1})")
-        ctes.append(f"t{i} AS (SELECT a, x, r + {GAMMA} * greatest(c0 + b0 * z, c1 + b1 * z) AS y FROM row0, w{i})")
-        ctes.append(f"q{i} AS (SELECT a, regr_intercept(y, x) AS c, regr_slope(y, x) AS b FROM t{i} GROUP BY a)")
-    n = updates
-    ctes.append(f"qf AS (SELECT max(c) FILTER (a=0) AS c0, max(b) FILTER (a=0) AS b0, max(c) FILTER (a=1) AS c1, max(b) FILTER (a=1) AS b1 FROM q{n})")
-    return ",\n".join(ctes)
+def coef_sql(y: str) -> str:
+    return ", ".join(f"regr_{kind}({y}, x) FILTER (a = {a}) AS {c}{a}" for a in (0, 1) for c, kind in (("c", "intercept"), ("b", "slope")))
 
 
-def fqe_sql(updates: int, pi: str = "CASE WHEN c1 + b1 * z > c0 + b0 * z THEN 1 ELSE 0 END") -> str:
-    """CTEs act (rows with pi) and ef, the evaluated coefficients."""
-    ctes = [f"act AS (SELECT row0.*, {pi} AS pi FROM row0, qf)", "e0 AS (SELECT * FROM qf)"]
-    for i in range(1, updates + 1):
-        ctes.append(f"u{i} AS (SELECT a, x, r + {GAMMA} * CASE WHEN pi = 1 THEN c1 + b1 * z ELSE c0 + b0 * z END AS y FROM act, e{i - 1})")
-        ctes.append(f"v{i} AS (SELECT a, regr_intercept(y, x) AS c, regr_slope(y, x) AS b FROM u{i} GROUP BY a)")
-        ctes.append(f"e{i} AS (SELECT max(c) FILTER (a=0) AS c0, max(b) FILTER (a=0) AS b0, max(c) FILTER (a=1) AS c1, max(b) FILTER (a=1) AS b1 FROM v{i})")
-    ctes.append(f"ef AS (SELECT * FROM e{updates})")
-    return ",\n".join(ctes)
+def line_sql(q: str, x: str, a: str = "a") -> str:
+    return f"CASE WHEN {a} = 1 THEN {q}.c1 + {q}.b1 * {x} ELSE {q}.c0 + {q}.b0 * {x} END"
+
+
+def fqi_sql(max_iter: int = 200, tol: float = 1e-6) -> str:
+    """CTEs row0 (the rows), fq (coefficients after each update) and qf (the last ones).
+
+    An update's change is that of the fitted values against their size; the first is compared with zero.
+    """
+    return f"""row0 AS (SELECT subject, t, a, s1 / 100 AS x, y1 / 100 AS z, y1 / 100 AS r FROM trans),
+fq AS (
+  SELECT 0 AS step, {coef_sql('r')}, false AS done FROM row0
+  UNION ALL (
+  WITH cur AS (SELECT * FROM fq WHERE NOT done),
+  nx AS (SELECT any_value(step) + 1 AS step, {coef_sql('y')}
+    FROM (SELECT a, x, step, r + {GAMMA} * greatest(c0 + b0 * z, c1 + b1 * z) AS y FROM row0, cur) HAVING count(*) > 0),
+  mv AS (SELECT sqrt(sum((new - old) ** 2)) / (sqrt(sum(old * old)) + 1e-6) AS err FROM (
+    SELECT {line_sql('nx', 'x')} AS new, CASE WHEN cur.step = 0 THEN 0 ELSE {line_sql('cur', 'x')} END AS old FROM row0, nx, cur))
+  SELECT nx.*, err <= {tol} OR step > {max_iter} AS done FROM nx, mv)),
+qf AS (SELECT c0, b0, c1, b1 FROM fq WHERE done)"""
+
+
+def fqe_sql(pi: str = "CASE WHEN c1 + b1 * z > c0 + b0 * z THEN 1 ELSE 0 END", relative: bool = False, max_iter: int = 200,
+            rows: str = "row0, qf") -> str:
+    """CTEs act (rows with pi), ev (coefficients after each round) and ef, the evaluated ones."""
+    return f"""act AS (SELECT row0.*, {pi} AS pi FROM {rows}),
+ev AS (
+  SELECT 0 AS step, c0, b0, c1, b1, false AS done FROM qf
+  UNION ALL (
+  WITH cur AS (SELECT * FROM ev WHERE NOT done),
+  nx AS (SELECT any_value(step) + 1 AS step, {coef_sql('y')}
+    FROM (SELECT a, x, step, r + {GAMMA} * {line_sql('cur', 'z', 'pi')} AS y FROM act, cur) HAVING count(*) > 0),
+  mv AS (SELECT avg((new - old) ** 2{' / (old * old)' if relative else ''}) AS err FROM (
+    SELECT {line_sql('nx', 'z', 'pi')} AS new, {line_sql('cur', 'z', 'pi')} AS old FROM act, nx, cur))
+  SELECT nx.*, err < 1e-7 OR step >= {max_iter} AS done FROM nx, mv)),
+ef AS (SELECT c0, b0, c1, b1 FROM ev WHERE done)"""
 
 
-FQI = f"WITH {TRANS}, {fqi_sql(4)}"
+FQI = f"WITH RECURSIVE {TRANS}, {fqi_sql()}"
+COEFS = "SELECT CAST(a AS INTEGER) AS action, round(CASE a WHEN 1 THEN c1 ELSE c0 END, 6) AS c, round(CASE a WHEN 1 THEN b1 ELSE b0 END, 6) AS b FROM qf, (SELECT unnest([0, 1]) AS a)"
 
 
-@query("Q-01", f"{FQI} SELECT CAST(a AS INTEGER) AS action, round(c, 6) AS c, round(b, 6) AS b FROM q4")
+@query("Q-01", f"{FQI} {COEFS}")
 def fitted_q_iteration(spark, sf):
-    """Four updates of linear fitted-Q iteration."""
+    """Linear fitted-Q iteration until the fitted values settle."""
     return fitted(linear_rows(spark, sf)).frame(spark).select(
         "action", F.round(F.col("coef")[0], 6).alias("c"), F.round(F.col("coef")[1], 6).alias("b"))
 
@@ -89,16 +108,15 @@ def greedy_action(spark, sf):
     return policy.greedy_from_table(rows, fitted(rows).frame(spark)).select("subject", "t", "opt_action")
 
 
-VOTE = f"""WITH {TRANS}, {fqi_sql(4)}, m AS (SELECT 1 AS m, max(c) FILTER (a=0) AS c0, max(b) FILTER (a=0) AS b0, max(c) FILTER (a=1) AS c1, max(b) FILTER (a=1) AS b1 FROM q0
-  UNION ALL SELECT 2, max(c) FILTER (a=0), max(b) FILTER (a=0), max(c) FILTER (a=1), max(b) FILTER (a=1) FROM q2 UNION ALL SELECT 3, c0, b0, c1, b1 FROM qf),
+VOTE = f"""{FQI}, m AS (SELECT CASE step WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS m, c0, b0, c1, b1 FROM fq WHERE step IN (0, 2) OR done),
 v AS (SELECT subject, t, m, {{0}} AS a, greatest(c0 + b0 * {{1}}, c1 + b1 * {{1}}) AS q FROM row0, m),
 n AS (SELECT subject, t, a, count(*) AS n, avg(q) AS q FROM v GROUP BY ALL)"""
 
 
 def three_models(rows):
-    """The Q functions after the first fit, two and four updates."""
+    """The Q functions after the first fit, after two updates and after the last."""
     first = policy.LinearQ({k: policy._solve(g, b) for k, (g, b, _) in policy._grams(rows, 2).items()})
-    return [first, fitted(rows, 1), fitted(rows, 3)]
+    return [first, fitted(rows, 1), fitted(rows)]
 
 
 @query("Q-04", VOTE.format(GREEDY.format("x"), "x") +
@@ -170,30 +188,29 @@ def median_bandwidth(spark, sf):
         "median", F.round("bandwidth", 8).alias("bandwidth"))
 
 
-@query("Q-06", f"{FQI}, {fqe_sql(3)} SELECT subject, t, round(CASE WHEN pi = 1 THEN c1 + b1 * z ELSE c0 + b0 * z END, 5) AS value FROM act, ef")
+@query("Q-06", f"{FQI}, {fqe_sql()} SELECT subject, t, round(CASE WHEN pi = 1 THEN c1 + b1 * z ELSE c0 + b0 * z END, 5) AS value FROM act, ef")
 def fitted_q_evaluation(spark, sf):
     rows = linear_rows(spark, sf)
-    done = policy.fitted_q_evaluation(rows, fitted(rows), GAMMA, max_iter=3)
+    done = policy.fitted_q_evaluation(rows, fitted(rows), GAMMA)
     return done.values().select("subject", "t", F.round("value", 5).alias("value"))
 
 
-@query("Q-07", f"""{FQI}, {fqe_sql(3)}, f AS (SELECT subject, arg_min(x, t) AS x FROM row0 GROUP BY subject)
+@query("Q-07", f"""{FQI}, {fqe_sql(relative=True)}, f AS (SELECT subject, arg_min(x, t) AS x FROM row0 GROUP BY subject)
 SELECT subject, round(greatest(c0 + b0 * x, c1 + b1 * x), 5) AS value FROM f, ef""")
 def evaluation_at_start(spark, sf):
     """Evaluated Q at each subject's first state under the greedy action."""
     rows = linear_rows(spark, sf)
-    done = policy.fitted_q_evaluation(rows, fitted(rows), GAMMA, max_iter=3, rule="relative")
+    done = policy.fitted_q_evaluation(rows, fitted(rows), GAMMA, rule="relative")
     return policy.initial_values(rows, done.model, done.model).select("subject", F.round("value", 5).alias("value"))
 
 
 @query("Q-08", f"{VOTE.format(GREEDY.format('z'), 'z')}, pv AS (SELECT subject, t, CAST(arg_max(a, ROW(n, -a)) AS INTEGER) AS pi FROM n GROUP BY subject, t), "
-       + fqe_sql(3).replace(f"act AS (SELECT row0.*, {GREEDY.format('z')} AS pi FROM row0, qf)",
-                            "act AS (SELECT row0.*, pi FROM row0 JOIN pv USING (subject, t))")
+       + fqe_sql("pi", rows="row0 JOIN pv USING (subject, t)")
        + " SELECT subject, t, round(CASE WHEN pi = 1 THEN c1 + b1 * z ELSE c0 + b0 * z END, 5) AS value FROM act, ef")
 def evaluation_of_vote(spark, sf):
     rows = linear_rows(spark, sf)
     models = three_models(rows)
-    done = policy.fitted_q_evaluation(rows, models[-1], GAMMA, max_iter=3, policy="vote", models=models)
+    done = policy.fitted_q_evaluation(rows, models[-1], GAMMA, policy="vote", models=models)
     return done.values().select("subject", "t", F.round("value", 5).alias("value"))
 
 
@@ -204,7 +221,7 @@ def epsilon_greedy(spark, sf):
     return scored.select("subject", "t", "opt_action", "action")
 
 
-@query("A-06", f"{FQI} SELECT CAST(a AS INTEGER) AS action, round(c, 6) AS c, round(b, 6) AS b FROM q4")
+@query("A-06", f"{FQI} {COEFS}")
 def policy_sink(spark, sf):
     """Models written to Parquet, read back, and used as the table they are."""
     path = run_path(spark, "models")
@@ -215,7 +232,7 @@ def policy_sink(spark, sf):
 
 # --- trees: one per (cluster, action), on the steps after the cluster's change, to their own stop rule
 
-TREE_GAMMA = 0.5
+TREE_GAMMA = GAMMA
 TREE_ROWS = f"""{TRANS}, {REGION}, base AS (SELECT subject, t, cluster AS g, a, s1 / 100 AS x, y1 / 100 AS z, y1 / 100 AS r
   FROM trans JOIN region_of USING (subject) WHERE t >= cluster * 10 + 20)"""
 
@@ -307,11 +324,11 @@ def cv_sql(folds: int, updates: int, where: str) -> str:
     return ",\n".join(parts)
 
 
-@query("Q-10", f"WITH {TRANS}, {cv_sql(3, 3, 't % 5 = 0')} SELECT 0 AS param_id, round(avg(loss), 6) AS test_error FROM te")
+@query("Q-10", f"WITH {TRANS}, {cv_sql(3, 40, 't % 5 = 0')} SELECT 0 AS param_id, round(avg(loss), 6) AS test_error FROM te")
 def cv_at_sampled_times(spark, sf):
     """Fit and score at every fifth step only; the next state is the step after it."""
     trans = scaled(spark, sf)
     folds = ranking.contiguous_chunks(trans.select("subject").distinct(), "subject", 3)
     times = trans.select("t").distinct().filter("t % 5 = 0")
-    return policy.select_linear_cv(trans, folds, ["s1"], [LINEAR], GAMMA, max_iter=2, early_stopping=False,
+    return policy.select_linear_cv(trans, folds, ["s1"], [LINEAR], GAMMA, tol=1e-10, early_stopping=False,
                                    times=times).withColumn("test_error", F.round("test_error", 6))

@@ -46,6 +46,8 @@ def em_sql(k: int, steps: int, where: str = "TRUE") -> str:
 
 
 EM = f"WITH {TRANS}, "
+# More rounds than it takes until nobody moves; those after it change nothing.
+ROUNDS = 30
 
 
 @query("K-01")
@@ -64,11 +66,11 @@ def cluster_by_marginal(spark, sf):
     return segment.cluster_by_marginal(lev, 3, start(3), max_iter=1)
 
 
-@query("K-03", f"{EM}{em_sql(3, 6)} SELECT subject, cluster, round(err / n / 10, 4) AS err FROM lab3_6")
+@query("K-03", f"{EM}{em_sql(3, ROUNDS)} SELECT subject, cluster, round(err / n / 10, 4) AS err FROM lab3_{ROUNDS}")
 def cluster_by_dynamics(spark, sf):
-    """Six rounds of hard EM from the labels subject mod 3."""
+    """Hard EM from the labels subject mod 3 until nobody moves."""
     subj = segment.prepared(narrow_transitions(spark, sf), 1)
-    found = segment.cluster_by_dynamics(subj, 3, 1, start(3), max_iter=6)
+    found = segment.cluster_by_dynamics(subj, 3, 1, start(3))
     err = F.col("err") / F.col("m_n") / 10
     return found.scored.select("subject", "cluster", F.round(err, 4).alias("err"))
 
@@ -84,15 +86,15 @@ def density_score(spark, sf):
     return segment.density_loss(subj, coefs, 1).select(F.round(F.col("loss") * 1e4, 6).alias("loss"))
 
 
-@query("K-05", f"{EM}{em_sql(1, 4)}, {em_sql(2, 4)}, {em_sql(3, 4)}, l AS (" + " UNION ALL ".join(
-    f"SELECT {k} AS k, -sum(err / n) AS loss, count(*) AS n FROM lab{k}_4" for k in (1, 2, 3)) +
+@query("K-05", f"{EM}{em_sql(1, ROUNDS)}, {em_sql(2, ROUNDS)}, {em_sql(3, ROUNDS)}, l AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS k, -sum(err / n) AS loss, count(*) AS n FROM lab{k}_{ROUNDS}" for k in (1, 2, 3)) +
     ") SELECT k, round(loss / 1000, 4) AS loss, round((loss - 2 * k * sqrt(n)) / 1000, 4) AS ic FROM l")
 def select_k(spark, sf):
     """Every K in one pass per iteration; the criterion of each."""
     subj = segment.prepared(narrow_transitions(spark, sf), 1)
     n_times = horizon(spark, sf)
     n = float(n_times - 1)
-    _, table = segment.select_k(subj, [1, 2, 3], 1, n_times, (n, n), "sqrtN", 2.0, max_iter=4,
+    _, table = segment.select_k(subj, [1, 2, 3], 1, n_times, (n, n), "sqrtN", 2.0,
                                 init={k: start(k) for k in (1, 2, 3)})
     return table.select("k", F.round(F.col("loss") / 1000, 4).alias("loss"), F.round(F.col("ic") / 1000, 4).alias("ic"))
 
@@ -113,11 +115,11 @@ def cluster_at_end(spark, sf):
     return found.select("subject", "cluster", "tau")
 
 
-@query("K-08", f"{EM}{em_sql(2, 3, f't >= {N_SQL} - 26')} SELECT subject, cluster, round(err / n / 10, 4) AS err FROM lab2_3")
+@query("K-08", f"{EM}{em_sql(2, ROUNDS, f't >= {N_SQL} - 26')} SELECT subject, cluster, round(err / n / 10, 4) AS err FROM lab2_{ROUNDS}")
 def initial_window(spark, sf):
     """The first clustering uses the shortest window's steps only."""
     subj = segment.prepared(narrow_transitions(spark, sf), 1, horizon(spark, sf) - 26)
-    found = segment.cluster_by_dynamics(subj, 2, 1, start(2), max_iter=3)
+    found = segment.cluster_by_dynamics(subj, 2, 1, start(2))
     err = F.col("err") / F.col("m_n") / 10
     return found.scored.select("subject", "cluster", F.round(err, 4).alias("err"))
 
