@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from panelwright.session import drop_path, materialize_at, run_path
 
 
+#: Keys that are broadcast at most, as each holds more than this share of the rows; and the fewest rows of such a key.
+MAX_FREQUENT, FREQUENT = 10_000, 100
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written ``table`` of one row per ``key``, whose column ``n`` tells how many rows have the key.
+
+    Keys that hold more than a ``MAX_FREQUENT``-th of the ``total`` rows are broadcast: there are fewer than
+    ``MAX_FREQUENT`` of them, whatever the data. All others meet their rows by a shuffle, where none is large.
+    ``n`` isn't returned.
+    """
+    limit = max(FREQUENT, total // MAX_FREQUENT)
+    common = table.filter(F.col(n) > limit).drop(n).withColumn("_frequent", F.lit(True))
+    met = rows.join(F.broadcast(common), key, "left")
+    rest = met.filter("_frequent is null").select(*rows.columns).join(table.filter(F.col(n) <= limit).drop(n), key, how)
+    return met.filter("_frequent").drop("_frequent").unionByName(rest)
+
+
 def _state(links: DataFrame) -> tuple[int, int]:
     row = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row["n"], row["x"] or 0

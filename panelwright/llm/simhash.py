@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.components import components
+from panelwright.llm.components import components, join_spread
 from panelwright.llm.text import text_bytes
 from panelwright.session import materialize
 
@@ -128,10 +128,13 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"),
                     fingerprints(F.col("text"), shingle).alias("fp")),
         "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    counted = rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    prints = counted.select("fp", "id")
     found = components(links(prints.filter("id is not null"), max_bits, segments))
-    classes = prints.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(classes, "fp").select("doc_id", "body", "fp", "component_id")
+    classes = materialize(
+        counted.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "classes")
+    joined = join_spread(rows, classes, "fp", "n", rows.count())
+    return joined.select("doc_id", "body", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

@@ -354,7 +354,7 @@ def test_toxicity_odd_rows(spark, odd_docs, no_docs, rng):
 # Registered queries and the pipeline
 
 def test_queries_are_registered():
-    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k.split("_")[0][2:]) for k in QUERIES) == list(range(1, 14))
     assert set(ORACLES) < set(QUERIES)
 
 
@@ -396,3 +396,17 @@ def test_pipeline_stages_keep_columns_and_agree_with_brute_force(spark, rng, tmp
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.select("doc_id", "piece", "ids_crc32").collect())) == sorted(
         packed[["doc_id", "piece", "ids_crc32"]].itertuples(index=False, name=None))
+
+
+def test_frequent_keys_join_like_others(spark, monkeypatch):
+    """A key of a third of the rows, keys without a row in the table, null keys: the rows of a plain join."""
+    from panelwright.llm import components as parts
+
+    monkeypatch.setattr(parts, "FREQUENT", 5)
+    rows = spark.createDataFrame([(i, 7 if i % 3 == 0 else (None if i % 11 == 0 else i % 40)) for i in range(300)], "id int, k int")
+    n = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k is not null and k <> 12")
+    table = n.select("k", (F.col("k") * 2).alias("v"), "n")
+    for how in ("inner", "left"):
+        got = parts.join_spread(rows, table, "k", "n", 300, how)
+        want = rows.join(table.drop("n"), "k", how)
+        assert got.columns == ["k", "id", "v"] and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
