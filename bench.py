@@ -19,6 +19,8 @@ HEADLINE = [
     "E-04", "G-01", "G-02", "G-03", "G-05", "G-08", "G-12", "G-13", "G-14",
     "K-03", "K-05", "Q-01", "Q-06", "Q-03", "P-05", "T-06", "C-12",
 ]
+# Timed beside them; their sum is reported on its own, so that the headline stays comparable.
+MORE = ["C-10", "G-07", "Q-02", "Q-09", "T-02", "T-03", "T-08", "A-05"]
 
 
 def main() -> None:
@@ -28,14 +30,20 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     # Start the JVM's scan path and the Python workers before timing.
     QUERIES["G-13"](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times = {}
-    for key in HEADLINE:
-        start = time.perf_counter()
-        QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[key] = round(time.perf_counter() - start, 3)
+
+    def timed(keys):
+        times = {}
+        for key in keys:
+            start = time.perf_counter()
+            QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[key] = round(time.perf_counter() - start, 3)
+        return times
+
+    times, more = timed(HEADLINE), timed(MORE)
     spark.stop()
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+                      "queries": times, "more": more, "more_seconds": round(sum(more.values()), 3),
+                      "sf": os.path.basename(sf_dir.rstrip("/"))}))
 
 
 if __name__ == "__main__":
