@@ -29,6 +29,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from panelwright.session import materialize
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a task keeps.
-KEEP = 1 << 19
+KEEP = 3 << 18
 #: Marks that may separate words; the first that is one token does.
 MARKS = "\u2b50\u2b07\u27a4\u27a1"
 _loaded: dict[str, "WordCoder"] = {}
@@ -65,26 +66,40 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         #: A mark of one token, set between words that are encoded together.
         self.mark = next((m for m in MARKS if len(self._encode(m)) == 1), None)
+        self.clear()
+
+    def clear(self) -> None:
+        #: Word -> its number; by number: where its ids start and how many there are.
+        self.number: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode words in one string, with marks between them; one by one if a word has the mark's token."""
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in turn, and each word's number of ids.
+
+        The words are encoded in one string with marks between them; one by one if a word has the mark's token.
+        """
         if self.mark is not None:
             ids = self._encode(f" {self.mark} ".join([w.decode() for w in words]))
-            cuts = np.flatnonzero(ids == self._encode(self.mark)[0])
+            marks = ids == self._encode(self.mark)[0]
+            cuts = np.flatnonzero(marks)
             # As many as were set: then each is one of those.
             if len(cuts) == len(words) - 1:
-                raw = ids.tobytes()
-                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-                self.known.update(zip(words, [raw[a:b] for a, b in zip(starts, ends)]))
-                return
+                return ids[~marks], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words, found))
+        return np.array([i for x in found for i in x.ids], "<u4"), np.array([len(x.ids) for x in found])
+
+    def _learn(self) -> None:
+        """Encode the words that have a number but no ids yet."""
+        new = list(islice(self.number, len(self.sizes), None))
+        parts = [self._encoded(new[at : at + (1 << 14)]) for at in range(0, len(new), 1 << 14)]
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
+        self.sizes = np.concatenate([self.sizes, *(n for _, n in parts)])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def words(self, text) -> list[bytes]:
         raw = text_bytes(text)
@@ -94,20 +109,27 @@ class WordCoder:
 
     def ids(self, texts: list) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        group: list[list[bytes]] = []
+        group: list[np.ndarray] = []
         size = 0
         for i, text in enumerate(texts):
-            group.append(self.words(text))
+            number = self.number
+            group.append(np.array([number.setdefault(w, len(number)) for w in self.words(text)], np.int32))
             size += len(group[-1])
             if size > 1 << 19 or i + 1 == len(texts):
-                if len(self.known) > KEEP:
-                    self.known = {}
-                new = list({w for words in group for w in words if w not in self.known})
-                for at in range(0, len(new), 1 << 14):
-                    self._learn(new[at : at + (1 << 14)])
-                for words in group:
-                    yield b"".join(map(self.known.__getitem__, words))
+                self._learn()
+                places = np.concatenate(group)
+                sizes = self.sizes[places]
+                upto = np.cumsum(sizes)
+                total = int(upto[-1]) if len(upto) else 0
+                raw = self.flat[np.repeat(self.starts[places] - (upto - sizes), sizes) + np.arange(total)].tobytes()
+                ends = np.concatenate([[0], upto])[np.cumsum([len(x) for x in group])].tolist()
+                at = 0
+                for end in ends:
+                    yield raw[4 * at : 4 * end]
+                    at = end
                 group, size = [], 0
+                if len(self.number) > KEEP:
+                    self.clear()
 
 
 def coder(path: str) -> WordCoder:
