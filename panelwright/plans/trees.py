@@ -441,11 +441,11 @@ def _stacked(parts: list[Trees], bins: Sequence[Bins]) -> Trees:
     return out
 
 
-def _kept(new: Trees, old: Trees, active: Sequence[int], observed_only: bool = False) -> Trees:
-    """``new`` for the active models, ``old`` for those that have stopped (and for actions without a row)."""
+def _kept(new: Trees, old: Trees, active: Sequence[int], taken: np.ndarray | None = None) -> Trees:
+    """``new`` for the active models, ``old`` for those that have stopped; of ``taken`` actions only, where they have rows."""
     for m in range(len(new.clusters)):
         for a in range(len(ACTIONS)):
-            if m not in active or (observed_only and np.isnan(new.value[m, a, 0])):
+            if m not in active or (taken is not None and (np.isnan(new.value[m, a, 0]) or not taken[m, a])):
                 n = old.feature.shape[2]
                 for name in ("feature", "cut", "value"):
                     getattr(new, name)[m, a, :n] = getattr(old, name)[m, a]
@@ -537,7 +537,7 @@ def td_losses(table: DataFrame, fit: TreeFit, gamma: float) -> np.ndarray:
 
 @dataclass
 class TreeEvaluation:
-    """``trees``: the evaluated Q. ``unobserved``: (cluster, action) that have no row; they keep the start's tree."""
+    """``trees``: the evaluated Q. ``unobserved``: (cluster, action) that the policy takes but no row does; they keep the start's tree."""
 
     trees: Trees
     iterations: list[int]
@@ -545,11 +545,21 @@ class TreeEvaluation:
     unobserved: list[tuple[int, int]]
 
 
+def _taken(batches: Iterator[pa.RecordBatch], job: _Pass, d: int) -> Iterator[pa.RecordBatch]:
+    """(model, slot, n, s): how often the policy takes each action at the next states."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for m, _, z, _, n, _, _ in job.rows(batch, d):
+            sums[m] = sums.get(m, 0) + np.bincount(best_action(job.policy.predict(m, z)), n, len(ACTIONS))
+    for m, n in sums.items():
+        yield _rows(m, np.arange(len(ACTIONS)), n, n)
+
+
 def evaluate_q(table: DataFrame, start: Trees, specs: Sequence[Spec], gamma: float = 0.95, max_iter: int = 500,
                early_stopping: bool = False, tol: float = 1e-7) -> TreeEvaluation:
     """Q of the greedy policy of ``start`` on other rows: the trees are grown anew each round.
 
-    ``start`` has a model for each of ``specs``. Rounds end at a mean squared relative change
+    Only actions that the policy takes at a next state are grown, the others keep their tree. ``start`` has a model for each of ``specs``. Rounds end at a mean squared relative change
     below ``tol`` of the next states' values, with ``early_stopping`` when it settles, or after ``max_iter``.
     """
     grower = Grower(table, specs, start.bins)
@@ -558,9 +568,13 @@ def evaluate_q(table: DataFrame, start: Trees, specs: Sequence[Spec], gamma: flo
     smallest = [np.inf] * len(specs)
     if max_iter <= 0:
         return TreeEvaluation(start, [0] * len(specs), errors, [])
+    job, d = _Pass(list(specs), active, gamma, None, start), len(start.bins)
+    got = _merged(table.mapInArrow(lambda b: _taken(b, job, d), "model int, slot int, n double, s double"))
+    taken = np.zeros((len(specs), len(ACTIONS)), bool)
+    taken[got["model"].to_numpy(), got["slot"].to_numpy()] = got["n"].to_numpy() > 0
     trees, _ = grower.round(active, gamma, start, policy=start)
-    unobserved = [(specs[m].cluster, ACTIONS[a]) for m in active for a in range(len(ACTIONS)) if np.isnan(trees.value[m, a, 0])]
-    trees, before = _kept(trees, start, active, observed_only=True), start
+    unobserved = [(specs[m].cluster, ACTIONS[a]) for m, a in zip(*np.nonzero(taken)) if np.isnan(trees.value[m, a, 0])]
+    trees, before = _kept(trees, start, active, taken), start
     while True:
         following, changes = grower.round(active, gamma, trees, policy=start, before=before, relative=True)
         for m in list(active):
@@ -572,7 +586,7 @@ def evaluate_q(table: DataFrame, start: Trees, specs: Sequence[Spec], gamma: flo
             smallest[m] = min(smallest[m], err)
         if not active:
             return TreeEvaluation(trees, [len(e) for e in errors], errors, unobserved)
-        before, trees = trees, _kept(following, trees, active, observed_only=True)
+        before, trees = trees, _kept(following, trees, active, taken)
 
 
 def clusters_of(rows: DataFrame) -> list[int]:

@@ -89,7 +89,8 @@ def evaluate_sql(name: str, cells: str, start: str, gamma: float, max_iter: int
   SELECT 0 AS step, g, a, c0, cl, cr, v0, v1, v2, v3, 1e300::DOUBLE AS err, false AS done FROM {start}
   UNION ALL (
   WITH cur AS (SELECT * FROM {s}all WHERE NOT done),
-  y AS (SELECT c.g, c.a, c.depth, c.leaf, c.cx, c.n, c.r + {gamma} * c.n * ({taken}) AS y FROM {s}c c {with_trees('cur')}),
+  y AS (SELECT c.g, c.a, c.depth, c.leaf, c.cx, c.n, c.r + {gamma} * c.n * ({taken}) AS y FROM {s}c c {with_trees('cur')}
+    WHERE EXISTS (SELECT 1 FROM {s}c q WHERE q.g = c.g AND q.pi = c.a)),
   {grow_sql('gr', 'y')},
   nw AS (SELECT * FROM gr UNION ALL SELECT g, a, c0, cl, cr, v0, v1, v2, v3 FROM cur WHERE NOT EXISTS (SELECT 1 FROM gr WHERE gr.g = cur.g AND gr.a = cur.a)),
   old AS (SELECT c.g, c.pi, c.cz, sum(c.n) AS n, any_value({taken}) AS q FROM {s}c c {with_trees('cur')} GROUP BY c.g, c.pi, c.cz),
