@@ -169,15 +169,22 @@ def pair_sum(spark, sf):
     return kernel.kernel_pair_sum(td_rows(spark, sf), "x1", BW, "cluster").select(F.round(F.col("s") / 1000, 4).alias("s"))
 
 
+def td_with_states(spark, sf):
+    """The TD errors beside the second and third state of their steps.
+
+    Both sides have a row per step; by the size of its compressed files one would be broadcast.
+    """
+    more = transitions(supplier_month(spark, sf), ["s1", "s2", "s3"]).select(
+        "subject", "t", (F.col("s2") / 20000).alias("u"), (20 * F.col("s3")).alias("v"))
+    return td_rows(spark, sf).join(more.hint("merge"), ["subject", "t"])
+
+
 @query("D-33", f"{TDE}, i AS (SELECT td.a, tde, x, s2 / 20000 AS u, 20 * s3 AS v, row_number() OVER (ORDER BY subject, t) AS id FROM td JOIN trans USING (subject, t)), "
        f"k AS (SELECT exp(-{BW} * ((p.x - q.x) ** 2 + (p.u - q.u) ** 2 + (p.v - q.v) ** 2)) AS ks, abs(p.a - q.a) AS ka, p.tde * q.tde AS e FROM i p JOIN i q ON p.id < q.id) "
        "SELECT round(avg((1 + ka + ks + ka * ks) * e), 7) AS loss FROM k")
 def kernel_td_loss(spark, sf):
     """Kernel loss over all three states, without the pairs."""
-    more = transitions(supplier_month(spark, sf), ["s1", "s2", "s3"]).select(
-        "subject", "t", (F.col("s2") / 20000).alias("u"), (20 * F.col("s3")).alias("v"))
-    td = td_rows(spark, sf).join(more, ["subject", "t"])
-    return kernel.kernel_td_loss(td, ["x1", "u", "v"], BW).select(F.round("loss", 7).alias("loss"))
+    return kernel.kernel_td_loss(td_with_states(spark, sf), ["x1", "u", "v"], BW).select(F.round("loss", 7).alias("loss"))
 
 
 @query("C-10", f"""WITH {PANEL}, i AS (SELECT s1, row_number() OVER (ORDER BY subject, t) AS id FROM panel)

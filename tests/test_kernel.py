@@ -1,8 +1,11 @@
 """Kernel sums of several states against all pairs."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import noise
 from pyspark.sql import functions as F
 
 from panelwright.operators import distances, gauss, kernel
@@ -91,3 +94,18 @@ def test_medians_without_distances(spark):
 def test_lagged_products_are_exact():
     counts = [3, 0, (1 << 40) + 7, 1, 1 << 33]
     assert distances._lagged(counts) == [sum(counts[i] * counts[i + k] for i in range(5 - k)) for k in range(1, 5)]
+
+
+def test_steps_are_not_broadcast_to_the_kernel_loss(spark, tmp_path):
+    """TD errors meet their states by a merge, however small their files are."""
+    from panelwright.queries import policies
+
+    rows = [(i, dt.datetime(1995 + t // 12, t % 12 + 1, 5 + j), float(noise(i, 40 * t + j) % 50 + 1), float(noise(i, 90 * t + j) % 9000), 0.05 * j,
+             "RN"[noise(i, 70 * t + j) % 2]) for i in range(6) for t in range(14) for j in range(3)]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double, "
+                                "l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    td = policies.td_with_states(spark, str(tmp_path))
+    plan = td._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert td.count() == 6 * 13
+    assert policies.kernel_td_loss(spark, str(tmp_path)).first()["loss"] is not None
