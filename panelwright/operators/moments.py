@@ -46,11 +46,13 @@ class Moments:
         out += [F.expr(f"sum(case when `{action}` = 1 then {x} else 0.0D end)").alias(f"k_{t}") for t, x in each.items()]
         return out
 
-    def of_rows(self, s: np.ndarray, y: np.ndarray, a: np.ndarray) -> np.ndarray:
-        """The sums over rows of arrays: states (rows, p), next states (rows, p), actions."""
+    def products(self, s: np.ndarray, y: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """What each row of arrays adds to the sums: states (rows, p), next states (rows, p), actions."""
         held = {"s": s, "y": y}
-        each = [np.ones(len(s)) if t == "n" else np.prod([held[kind][:, i] for kind, i in _split(t)], axis=0) for t in self.terms]
-        return np.array([v.sum() for v in each] + [v[a == 1].sum() for v in each])
+        each = np.ones((len(s), self.half))
+        for i, t in enumerate(self.terms[1:], 1):
+            each[:, i] = np.prod([held[kind][:, j] for kind, j in _split(t)], axis=0)
+        return np.hstack([each, np.where((a == 1)[:, None], each, 0.0)])
 
     # Matrix form, batched over leading axes.
     def design(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -105,9 +105,10 @@ def online_cusum(stream: DataFrame) -> DataFrame:
 class StepBuffer(StatefulProcessor):
     """Joins each subject's steps to transitions as they arrive, in whatever order, and sums them up.
 
-    State: the steps that may still meet a neighbour, and the sums of products so far. A
+    A key holds all subjects of a bucket (:func:`bucket`), so that a call works on arrays of many subjects.
+    State: the steps that may still meet a neighbour, and the sums of products of each subject so far. A
     transition is made as soon as both of its steps are there. A step is let go once the watermark has
-    passed the time of the step after it, by a timer if the subject sends nothing more; the same
+    passed the time of the step after it, by a timer if the bucket gets nothing more; the same
     step delivered again before that is dropped.
     """
 
@@ -117,16 +118,17 @@ class StepBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("steps", "t array<int>, x array<double>, sums array<double>")
+        self.state = handle.getValueState("steps", "subject binary, t binary, x binary, known binary, sums binary")
 
-    def _read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t, x, sums = self.state.get() if self.state.exists() else ([], [], [])
-        return (np.array(t, np.int64), np.array(x, float).reshape(len(t), self.p + 1),
-                np.array(sums, float) if len(sums) else np.zeros(len(self.layout.names)))
+    def _read(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Subject, t and values of the steps held; the subjects with sums, in order, and their sums."""
+        subject, t, x, known, sums = self.state.get() if self.state.exists() else (b"",) * 5
+        return (np.frombuffer(subject, np.int64), np.frombuffer(t, np.int64), np.frombuffer(x).reshape(-1, self.p + 1),
+                np.frombuffer(known, np.int64), np.frombuffer(sums).reshape(-1, len(self.layout.names)))
 
-    def _keep(self, t: np.ndarray, x: np.ndarray, sums: np.ndarray, watermark: int) -> None:
+    def _keep(self, subject: np.ndarray, t: np.ndarray, x: np.ndarray, known: np.ndarray, sums: np.ndarray, watermark: int) -> None:
         held = self.origin + (t + 1) * self.step >= watermark
-        self.state.update((t[held].tolist(), x[held].ravel().tolist(), sums.tolist()))
+        self.state.update(tuple(v.tobytes() for v in (subject[held], t[held], x[held], known, sums)))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
         if held.any():
@@ -135,24 +137,37 @@ class StepBuffer(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [*[f"s{i + 1}" for i in range(self.p)], "a"]
         watermark = timerValues.getCurrentWatermarkInMs()
-        old_t, old_x, sums = self._read()
-        batch = pd.concat(list(rows)).drop_duplicates("t")
-        batch = batch[~batch["t"].isin(old_t) & (self.origin + batch["t"] * self.step >= watermark)]
+        old_subject, old_t, old_x, known, sums = self._read()
+        batch = pd.concat(list(rows))
+        batch = batch[self.origin + batch["t"] * self.step >= watermark]
+        subject = np.concatenate([old_subject, batch["subject"].fillna(0).to_numpy(np.int64)])
         t = np.concatenate([old_t, batch["t"].to_numpy(np.int64)])
-        order = np.argsort(t, kind="stable")
+        # Held steps come first among equal ones, and the first stays.
+        order = np.lexsort((t, subject))
+        order = order[np.append(True, (np.diff(subject[order]) != 0) | (np.diff(t[order]) != 0))[: len(order)]]
         new = (np.arange(len(t)) >= len(old_t))[order]
-        t, x = t[order], np.concatenate([old_x, batch[names].to_numpy(float)])[order]
-        at = np.flatnonzero((np.diff(t) == 1) & (new[1:] | new[:-1]))
+        subject, t, x = subject[order], t[order], np.concatenate([old_x, batch[names].to_numpy(float)])[order]
+        at = np.flatnonzero((np.diff(subject) == 0) & (np.diff(t) == 1) & (new[1:] | new[:-1]))
         s, y, a = x[at, : self.p], x[at + 1, : self.p], x[at, self.p]
         if self.sums:
-            sums = sums + self.layout.of_rows(s, y, a)
-        self._keep(t, x, sums, watermark)
+            changed, first = np.unique(subject[at], return_index=True)
+            before, known = known, np.union1d(known, changed)
+            total = np.zeros((len(known), len(self.layout.names)))
+            total[np.searchsorted(known, before)] = sums
+            if len(at):
+                total[np.searchsorted(known, changed)] += np.add.reduceat(self.layout.products(s, y, a), first)
+            sums = total
+        self._keep(subject, t, x, known, sums, watermark)
         if not len(at):
             return
+        # The bucket of null holds that subject only.
+        name = (lambda ids: np.full(len(ids), None)) if key[0] is None or key[0] < 0 else (lambda ids: ids)
         if self.sums:
-            yield pd.DataFrame([(key[0], *sums)], columns=["subject", *self.layout.names])
+            found = pd.DataFrame(sums[np.searchsorted(known, changed)], columns=self.layout.names)
+            found.insert(0, "subject", name(changed))
+            yield found
         else:
-            yield pd.DataFrame({"subject": key[0], "t": t[at], **{f"s{i + 1}": s[:, i] for i in range(self.p)}, "a": a.astype(int),
+            yield pd.DataFrame({"subject": name(subject[at]), "t": t[at], **{f"s{i + 1}": s[:, i] for i in range(self.p)}, "a": a.astype(int),
                                 **{f"y{i + 1}": y[:, i] for i in range(self.p)}})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -163,6 +178,15 @@ class StepBuffer(StatefulProcessor):
         pass
 
 
+#: Keys of the step buffer: its calls and state rows, whatever the number of subjects.
+BUCKETS = 512
+
+
+def bucket():
+    """The bucket of a step's subject; steps without a subject have one of their own."""
+    return F.when(F.col("subject").isNull(), -1).otherwise(F.pmod(F.xxhash64("subject"), F.lit(BUCKETS)).cast("int")).alias("bucket")
+
+
 def _steps(stream: DataFrame, p: int, origin: str, step: str, delay: str) -> tuple[DataFrame, int, int]:
     spark = stream.sparkSession
     row = spark.range(1).select(
@@ -182,7 +206,7 @@ def streamed_transitions(stream: DataFrame, p: int, delay: str, origin: str = "2
     timed, start, length = _steps(stream, p, origin, step, delay)
     schema = "subject bigint, t int, " + "".join(f"s{i + 1} double, " for i in range(p)) + "a int" + "".join(
         f", y{i + 1} double" for i in range(p))
-    return timed.groupBy("subject").transformWithStateInPandas(
+    return timed.withColumn("bucket", bucket()).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=StepBuffer(p, start, length, False), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
@@ -190,7 +214,7 @@ def streamed_moments(stream: DataFrame, p: int, delay: str, origin: str = "2000-
     """(subject, sums of products): as :func:`running_moments`, from steps instead of transitions."""
     timed, start, length = _steps(stream, p, origin, step, delay)
     schema = "subject bigint, " + ", ".join(f"{c} double" for c in Moments(p).names)
-    return timed.groupBy("subject").transformWithStateInPandas(
+    return timed.withColumn("bucket", bucket()).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=StepBuffer(p, start, length, True), outputStructType=schema, outputMode="Update", timeMode="EventTime")
 
 

@@ -2,6 +2,9 @@
 
 import os
 
+import numpy as np
+import pandas as pd
+from conftest import step_arrays
 from pyspark.sql import functions as F
 
 from panelwright.operators.moments import moments_by
@@ -93,6 +96,60 @@ def test_steps_in_any_order_become_transitions(spark, change_panel, tmp_path):
     assert "rocksdb" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass").lower()
 
 
+class Held:
+    """State and timers of one key."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    listTimers = lambda self: iter(list(self.timers))
+    registerTimer = lambda self, at: self.timers.append(at)
+    deleteTimer = lambda self, at: self.timers.remove(at)
+    getCurrentWatermarkInMs = lambda self: 0
+
+    def update(self, value):
+        self.value = value
+
+
+def test_a_key_of_the_step_buffer_holds_many_subjects(change_panel):
+    """One call for the steps of all its subjects, some given twice or late; sums as those of each by itself."""
+    wide = [Held(), *[Held() for _ in range(12)]]
+    buffers = [sp.StepBuffer(1, 0, 1, True) for _ in wide]
+    for b, h in zip(buffers, wide):
+        b.init(h)
+    df = change_panel[~((change_panel.subject == 3) & (change_panel.t == 10))]
+    late = (df.subject + df.t) % 7 == 0
+    for part in (df[(df.t < 30) & ~late], df[(df.t >= 30) | late], df[df.t > 45]):
+        many = [x for x in buffers[0].handleInputRows((5,), iter([part, part]), wide[0])]
+        alone = [x for i in range(12) for x in buffers[i + 1].handleInputRows((5,), iter([part[part.subject == i]]), wide[i + 1])]
+        assert len(many) == bool(alone)
+        if alone:
+            want = pd.concat(alone).sort_values("subject").reset_index(drop=True)
+            assert many[0].subject.tolist() == want.subject.tolist() and np.allclose(many[0], want, rtol=1e-12, atol=1e-12)
+            last = many[0]
+    assert len(last) == 12 and last.m_n.sum() == len(step_arrays(df)[0]) and len(wide[0].timers) == 1
+
+
+def test_steps_of_many_subjects_share_keys(spark, tmp_path):
+    """Keys of the buffer don't grow with the subjects; steps without a subject are one by themselves."""
+    ids = [*range(3000), None]
+    df = spark.createDataFrame([(i, t, float(t + (i or 0)), t % 2) for i in ids for t in range(3)], "subject long, t int, s1 double, a int")
+    path, root = str(tmp_path / "in"), str(tmp_path / "out")
+    df.write.parquet(path)
+    stream = sp.streamed_moments(runner.file_stream(runner.stateful_session(spark), path, df.schema), 1, "40 days")
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "bucket" in plan
+    runner.run_available(stream, f"{root}/checkpoint", runner.write_batch(f"{root}/out"), "update")
+    got = {r.subject: (r.m_n, r.m_s0, r.k_y0y0) for r in spark.read.parquet(f"{root}/out").collect()}
+    assert got == {i: (2.0, 2.0 * (i or 0) + 1, (2.0 + (i or 0)) ** 2) for i in ids}
+    assert df.select(sp.bucket()).distinct().count() <= sp.BUCKETS + 1
+
+
 def test_steps_are_let_go_behind_the_watermark(spark, change_panel, tmp_path):
     """A step later than the delay meets nobody."""
     df = steps_of(spark, change_panel)
