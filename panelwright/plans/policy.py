@@ -692,8 +692,13 @@ def kernel_metric(states: Sequence[str], panel: DataFrame | None = None, bandwid
     return lambda td: kernel.kernel_td_loss(td, list(states), bandwidth)
 
 
-def with_folds(trans: DataFrame, folds: DataFrame | int) -> DataFrame:
-    """``trans`` with a ``fold``: of its subject, its step or its row, as the keys of ``folds`` tell; or that many by rule."""
+def with_folds(trans: DataFrame, folds: DataFrame | int | None) -> DataFrame:
+    """``trans`` with a ``fold``: of its subject, its step or its row, as the keys of ``folds`` tell; or that many by rule.
+
+    None says that ``trans`` has a ``fold`` already.
+    """
+    if folds is None:
+        return trans
     if isinstance(folds, int):
         return assign_folds(trans, folds)
     keys = [c for c in ("subject", "t") if c in folds.columns]
@@ -702,7 +707,7 @@ def with_folds(trans: DataFrame, folds: DataFrame | int) -> DataFrame:
 
 def select_linear_cv(
     trans: DataFrame,
-    folds: DataFrame | int,
+    folds: DataFrame | int | None,
     states: Sequence[str],
     maps: Sequence[FeatureMap],
     gamma: float,

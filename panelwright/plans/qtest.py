@@ -223,8 +223,11 @@ def select_basis(trans: DataFrame, folds: DataFrame, states: Sequence[str], u: i
                  gamma: float, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """(param_id, test_error): two-sided cross-validated TD error per feature map.
 
-    The error of a map is the sum of its errors on the steps before and from u.
+    The error of a map is the sum of its errors on the steps before and from u. The steps are computed
+    once, with their folds, for all maps and both sides.
     """
-    left = policy.select_linear_cv(trans.filter(F.col("t") < u), folds, states, maps, gamma, max_iter, tol, False)
-    right = policy.select_linear_cv(trans.filter(F.col("t") >= u), folds, states, maps, gamma, max_iter, tol, False)
+    steps = trans.select("subject", "t", "a", "r", *states, *[f"y{i + 1}" for i in range(len(states))])
+    trans = materialize(policy.with_folds(steps, folds), "basis-steps")
+    left = policy.select_linear_cv(trans.filter(F.col("t") < u), None, states, maps, gamma, max_iter, tol, False)
+    right = policy.select_linear_cv(trans.filter(F.col("t") >= u), None, states, maps, gamma, max_iter, tol, False)
     return left.unionByName(right).groupBy("param_id").agg(F.sum("test_error").alias("test_error"))

@@ -364,3 +364,23 @@ def test_windows_without_covariates_are_kept(spark, change_panel):
     rows = per.collect()
     assert rows and all(r["df"] == 0 and r["threshold"] is None and r["pvalue"] == 1.0 for r in rows)
     assert found.first()["tau"] == 0
+
+
+def test_basis_selection_computes_the_steps_once(spark, pdf, monkeypatch):
+    """One table of steps with folds serves all maps and both sides, with the errors of each by itself."""
+    from panelwright.operators.ranking import contiguous_chunks
+    from panelwright.plans import qtest
+
+    trans = transitions(spark.createDataFrame(pdf), ["s1"])
+    folds = contiguous_chunks(trans.select("subject").distinct(), "subject", 3)
+    maps = [FeatureMap("polynomial", degree=1), FeatureMap("polynomial", degree=2)]
+    want = [0.0, 0.0]
+    for side in ("t < 20", "t >= 20"):
+        for r in policy.select_linear_cv(trans.filter(side), folds, ["s1"], maps, 0.5, 3, 1e-4, False).collect():
+            want[r.param_id] += r.test_error
+    sources = []
+    keep = policy.select_linear_cv
+    monkeypatch.setattr(policy, "select_linear_cv", lambda rows, *rest: sources.append(tuple(rows.inputFiles())) or keep(rows, *rest))
+    got = {r.param_id: r.test_error for r in qtest.select_basis(trans, folds, ["s1"], 20, maps, 0.5, 3).collect()}
+    assert np.allclose([got[0], got[1]], want) and len(sources) == 2
+    assert all("basis-steps" in f for s in sources for f in s) and set(sources[0]) == set(sources[1])
