@@ -12,6 +12,7 @@ from panelwright.queries.base import N_SQL, PANEL, TRANS, query
 from panelwright.queries.detection import narrow_transitions
 from panelwright.queries.prepare import region_tau
 from panelwright.queries.summaries import BASE, QUAL, WSUM
+from panelwright.session import materialize
 from panelwright.sources.tables import horizon, region_assignment, supplier_month, supplier_month_narrow
 
 
@@ -180,7 +181,7 @@ def fit_tune_k_each_iter(spark, sf):
 @query("M-06")
 def method_presets(spark, sf):
     """Labels and change points of every method, one row per method and label."""
-    trans = scaled_transitions(spark, sf, ("s1",))
+    trans = materialize(scaled_transitions(spark, sf, ("s1",)), "transitions")
     truth = region_assignment(spark, sf).join(region_tau(spark, sf), "cluster")
     n_times = horizon(spark, sf)
     out = None
