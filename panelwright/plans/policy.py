@@ -530,8 +530,9 @@ def pair_labels(rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[tup
     ``rows`` have the training label as ``cluster``; ``labels`` has (subject, k_test). There are as many pairs
     as labels times labels at most.
     """
+    # By the size of its compressed files the side of all steps would be broadcast.
     both = rows.withColumn("k_train", F.col("cluster").cast("long")).drop("cluster").join(
-        labels.select("subject", F.col("k_test").cast("long").alias("k_test")), "subject")
+        labels.select("subject", F.col("k_test").cast("long").alias("k_test")).hint("merge"), "subject")
     found = both.select("k_test", "k_train").distinct().filter("k_test is not null and k_train is not null").collect()
     pairs = sorted((r["k_test"], r["k_train"]) for r in found)
     table = rows.sparkSession.createDataFrame(
