@@ -108,7 +108,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
     if segments not in (8, 16):
         raise ValueError("a segment has 8 or 4 bits, so that its count fits beside the others")
     entries = _entries(prints, segments)
-    x, y = entries.alias("x"), entries.alias("y")
+    # By its size check Spark would broadcast the entries, as it takes them for as many as the fingerprints.
+    x, y = entries.alias("x"), entries.hint("merge").alias("y")
     return x.join(
         y,
         (F.col("x.point") == F.col("y.point"))
@@ -132,7 +133,8 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     prints = counted.select("fp", "id")
     found = components(links(prints.filter("id is not null"), max_bits, segments))
     classes = materialize(
-        counted.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "classes")
+        counted.join(found.hint("merge"), "id", "left")
+        .select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "classes")
     joined = join_spread(rows, classes, "fp", "n", rows.count())
     return joined.select("doc_id", "body", "fp", "component_id")
 
@@ -145,4 +147,4 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MA
     kept = near_copies(docs, shingle, max_bits).filter("component_id is null or doc_id = component_id")
     kept = kept.select(F.col("doc_id").alias("_near_id"), F.col("body").alias("_near_body")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_near_id")) & (F.xxhash64(docs["text"]) == F.col("_near_body"))
-    return docs.join(kept, same, "left_semi")
+    return docs.join(kept.hint("merge"), same, "left_semi")

@@ -139,6 +139,31 @@ def test_grid_join_finds_each_link_once(spark, segments, max_bits):
     assert got == want
 
 
+def test_entries_are_not_broadcast(spark, rng, monkeypatch):
+    """Rows of fingerprints, grid entries and links meet by a merge, however small their files are."""
+    plans = []
+
+    def seen(module, name):
+        keep = getattr(module, name)
+
+        def noted(df, *rest):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return keep(df, *rest)
+
+        monkeypatch.setattr(module, name, noted)
+
+    seen(simhash, "materialize")
+    seen(components, "materialize_at")
+    base = prose(rng, 400).split()
+    rows = [(i, " ".join(base[: 10 * i] + ["new"] + base[10 * i + 1 :])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.drop_near_copies(docs)
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert 0 < kept.count() < 30
+    assert len(plans) > 4 and "SortMergeJoin" in plans[1] and not any("BroadcastHashJoin" in x for x in plans[:-1])
+    assert plans[-1].count("BroadcastHashJoin") == 2  # of join_spread's frequent keys, of which there are few whatever the data
+
+
 def test_near_copies(spark, rng, odd_docs, no_docs):
     rows = [(i, t) for i, t in enumerate(ODD * 2 + [prose(rng, 3) for _ in range(20)])] + [(None, "word"), (4, "other id twice")]
     base = prose(rng, 400).split()
