@@ -106,3 +106,20 @@ def test_near_copies_take_fingerprints(spark, rng, monkeypatch):
     rows = planted(rng)[:40]
     kept = minhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == set(brute_force(rows)) and len(asked) == 1
+
+
+def test_no_stage_table_is_broadcast(spark, rng, monkeypatch):
+    """Keys, sets, pairs and parts meet by a merge, however small their files are."""
+    plans = {}
+
+    def noted(df, label, keep=minhash.materialize):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, label)
+
+    monkeypatch.setattr(minhash, "materialize", noted)
+    kept = minhash.drop_near_copies(spark.createDataFrame(planted(rng), "doc_id long, text string"))
+    last = kept._jdf.queryExecution().executedPlan().toString()
+    for label in ("near-buckets", "near-sets", "near-links", "near-parts", "near-rows", "near-labels"):
+        assert "SortMergeJoin" in plans[label] and "BroadcastHashJoin" not in plans[label], label
+    # The frequent keys of join_spread, of which there are few whatever the data.
+    assert all(x.count("BroadcastHashJoin") <= 2 for x in (plans["near-prints"], plans["near-classes"], last))
