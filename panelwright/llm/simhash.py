@@ -120,16 +120,17 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS)
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
-                segments: int = SEGMENTS) -> DataFrame:
+                segments: int = SEGMENTS, unnamed: bool = False) -> DataFrame:
     """(doc_id, body, fp, component_id) for each row of ``docs`` (doc_id, text); other columns aren't read.
 
-    ``body`` is the hash of the text, which tells rows with equal ids apart.
+    ``body`` is the hash of the text, which tells rows with equal ids apart. With ``unnamed`` the fingerprints of
+    rows without an id are linked like any other, and ``component_id`` is the smallest fingerprint of the component.
     """
     rows = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"),
                     fingerprints(F.col("text"), shingle).alias("fp")),
         "fingerprints")
-    counted = rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    counted = rows.groupBy("fp").agg(F.min("fp" if unnamed else "doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
     prints = counted.select("fp", "id")
     found = components(links(prints.filter("id is not null"), max_bits, segments))
     classes = materialize(

@@ -123,3 +123,39 @@ def test_no_stage_table_is_broadcast(spark, rng, monkeypatch):
         assert "SortMergeJoin" in plans[label] and "BroadcastHashJoin" not in plans[label], label
     # The frequent keys of join_spread, of which there are few whatever the data.
     assert all(x.count("BroadcastHashJoin") <= 2 for x in (plans["near-prints"], plans["near-classes"], last))
+
+
+def test_rows_without_an_id_are_compared(spark, rng):
+    """Rows without an id go with their near copies, also as the link between two others, and among themselves."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    w = [[word() for _ in range(120)] for _ in range(5)]
+    text = lambda words, at="", new="new": " ".join([x if i != at else new for i, x in enumerate(words)])
+    # Two changes away from each other, by ten of 116 sequences and then as many of the other end.
+    far = [" ".join(w[1]), " ".join(["new"] * 9 + w[1][9:]), " ".join(["new"] * 9 + w[1][9:-9] + ["end"] * 9)]
+    rows = [
+        (1, text(w[0])), (None, text(w[0], 60)),
+        (2, far[0]), (None, far[1]), (3, far[2]),
+        (None, text(w[2])), (None, text(w[2], 3)), (None, text(w[2], 100)),
+        (None, text(w[3])), (None, text(w[3])), (4, text(w[4]))]
+    assert jaccard(far[0], far[2]) < 0.8 <= min(jaccard(far[0], far[1]), jaccard(far[1], far[2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keys = minhash.fingerprint_keys(docs)
+    assert keys.filter("doc_id is null").select("body").distinct().count() == len({t for d, t in rows if d is None})
+    got = {(r.doc_id, r.text): r.component_id for r in minhash.near_copies(docs).join(
+        docs.select("text", F.xxhash64("text").alias("body")).distinct(), "body").collect()}
+    assert got == {(d, t): c for (d, t), c in zip(rows, [1, 1, 2, 2, 2, None, None, None, None, None, 4])}
+    kept = [(r.doc_id, r.text) for r in minhash.drop_near_copies(docs).collect()]
+    assert sorted(d for d, _ in kept if d) == [1, 2, 4]
+    # One text of the three near copies without an id, and the text that comes twice.
+    left = [t for d, t in kept if d is None]
+    assert sorted(map(left.count, set(left))) == [1, 2] and left.count(text(w[3])) == 2
+
+
+def test_simhash_links_rows_without_an_id(spark, rng):
+    """A key of a fingerprint component doesn't depend on which of its rows have ids."""
+    base = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(400)]
+    rows = [(i, " ".join(base[: 40 * i] + ["new"] + base[40 * i + 1 :])) for i in range(10)]
+    some = [(d if d % 3 == 0 else None, t) for d, t in rows]
+    keys = [{r.body: r.key for r in minhash.fingerprint_keys(spark.createDataFrame(x, "doc_id long, text string")).collect()}
+            for x in (rows, some)]
+    assert keys[0] == keys[1] and len(keys[0]) == 10 and len(set(keys[0].values())) < 10
