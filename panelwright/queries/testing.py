@@ -80,5 +80,5 @@ def select_basis(spark, sf):
     trans = scaled(spark, sf)
     folds = ranking.contiguous_chunks(trans.select("subject").distinct(), "subject", 3)
     maps = [FeatureMap("rbf", dim=0), FeatureMap("polynomial", degree=2)]
-    return qtest.select_basis(trans, folds, ["s1"], 40, maps, GAMMA, max_iter=3).withColumn(
+    return qtest.select_basis(trans, folds, ["s1"], 40, maps, GAMMA).withColumn(
         "test_error", F.round("test_error", 6))

@@ -384,3 +384,20 @@ def test_basis_selection_computes_the_steps_once(spark, pdf, monkeypatch):
     got = {r.param_id: r.test_error for r in qtest.select_basis(trans, folds, ["s1"], 20, maps, 0.5, 3).collect()}
     assert np.allclose([got[0], got[1]], want) and len(sources) == 2
     assert all("basis-steps" in f for s in sources for f in s) and set(sources[0]) == set(sources[1])
+
+
+def test_basis_query_runs_to_its_stop_rule(spark, monkeypatch):
+    """G-11 fits until the fitted values settle, on both sides and for both maps."""
+    from panelwright.queries import QUERIES, testing
+
+    panel = panel_frame(range(9), 60, steady)
+    panel["r"] = panel["s1"] + 1.0
+    trans = transitions(spark.createDataFrame(panel), ["s1"])
+    monkeypatch.setattr(testing, "scaled", lambda spark, sf: trans)
+    fits, fit = [], policy.fitted_q_iteration
+    monkeypatch.setattr(policy, "fitted_q_iteration", lambda *x, **y: fits.append(fit(*x, **y)) or fits[-1])
+    got = QUERIES["G-11"](spark, "").collect()
+    assert len(fits) == 4 and sorted(r.param_id for r in got) == [0, 1]
+    for found in fits:
+        assert all(found.converged.values()) and len(found.converged) == 3
+        assert all(e[-1] <= 1e-4 < min(e[:-1]) and len(e) > 4 for e in found.errors.values())
